@@ -221,7 +221,7 @@ def patient_dropout_dates(spark, sf_dir):
 SELECT trial_id, 'completed' AS patient_group, age FROM patients_v WHERE NOT dropped_out
 UNION ALL SELECT trial_id, 'dropped', age FROM patients_v WHERE dropped_out""", "patients_v"))
 def patient_groups_union(spark, sf_dir):
-    patients = view(spark, sf_dir, "patients_v")
-    completed = patients.where(~F.col("dropped_out")).select("trial_id", F.lit("completed").alias("patient_group"), "age")
-    dropped = patients.where(F.col("dropped_out")).select("trial_id", "age", F.lit("dropped").alias("patient_group"))
-    return completed.unionByName(dropped)
+    # both groups in one pass over the patients
+    return view(spark, sf_dir, "patients_v").select(
+        "trial_id", F.when(F.col("dropped_out"), "dropped").otherwise("completed").alias("patient_group"), "age"
+    )

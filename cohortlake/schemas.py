@@ -3,8 +3,17 @@
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(),
+    "TEXTS": T.ArrayType(T.StringType()),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Nullable fields from ``name KIND`` pairs; needs no running session."""
+    pairs = [field.split() for field in spec.split(",")]
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in pairs])
 
 
 TRIALS = _struct(
@@ -48,14 +57,19 @@ ADVERSE_EVENTS = _struct(
     "trial_id STRING, event_type STRING, severity STRING, patient_id STRING, "
     "occurrence_day INT, resolved BOOLEAN"
 )
-DESIGN = _struct(
-    "trial_id STRING, trial_name STRING, phase STRING, therapeutic_area STRING, drug_name STRING, "
-    "indication STRING, target_enrollment INT, "
-    "inclusion_criteria STRUCT<min_age: INT, max_age: INT, required_biomarkers: ARRAY<STRING>, "
-    "excluded_conditions: ARRAY<STRING>>, duration_days INT, primary_endpoint STRING, "
-    "secondary_endpoints ARRAY<STRING>, treatment_arms ARRAY<STRING>, control_arm STRING, "
-    "expected_dropout_rate DOUBLE, expected_success_rate DOUBLE"
+CRITERIA = _struct("min_age INT, max_age INT, required_biomarkers TEXTS, excluded_conditions TEXTS")
+DESIGN = T.StructType(
+    _struct(
+        "trial_id STRING, trial_name STRING, phase STRING, therapeutic_area STRING, drug_name STRING, "
+        "indication STRING, target_enrollment INT"
+    ).fields
+    + [T.StructField("inclusion_criteria", CRITERIA)]
+    + _struct(
+        "duration_days INT, primary_endpoint STRING, secondary_endpoints TEXTS, treatment_arms TEXTS, "
+        "control_arm STRING, expected_dropout_rate DOUBLE, expected_success_rate DOUBLE"
+    ).fields
 )
+INTERVAL = _struct("lo DOUBLE, hi DOUBLE")
 
 TABLES = {
     "trials": TRIALS,

@@ -37,7 +37,6 @@ def differences(df, con, sql: str) -> list[str]:
         out.append(f"{len(got)} rows against {len(want)}")
     left, right = sorted(repr(tuple(r)) for r in got), sorted(repr(r) for r in want)
     if left != right:
-        extra = [x for x in left if x not in set(right)][:2]
-        lacking = [x for x in right if x not in set(left)][:2]
-        out.append(f"only here {extra} only there {lacking}")
+        extra, lacking = set(left) - set(right), set(right) - set(left)
+        out.append(f"only here {sorted(extra)[:2]} only there {sorted(lacking)[:2]}")
     return out
