@@ -123,6 +123,28 @@ class OrderedRows:
         )
         return replace(self, whole=whole, ranged=ranged)
 
+    def first_value(self, name: str, value: Column) -> OrderedRows:
+        """``value`` of the key's first row, on every row."""
+
+        def local(ranged: bool) -> Column:
+            return F.first(value).over(self._window(Window.unboundedPreceding, 0, ranged))
+
+        whole = self.whole.withColumn(name, local(False))
+        if self.ranged is None:
+            return replace(self, whole=whole)
+        firsts = self.ranged.groupBy(*self.keys, CHUNK).agg(
+            F.min_by(F.struct(value.alias("value")), F.struct(*self.order)).alias("_first")
+        )
+        incoming = firsts.select(
+            *self.keys, CHUNK, F.first("_first").over(self._earlier(Window.unboundedPreceding)).alias("_start")
+        )
+        ranged = (
+            self._with_incoming(self.ranged.withColumn("_local", local(True)), incoming)
+            .withColumn(name, F.when(F.col("_start").isNotNull(), F.col("_start.value")).otherwise(F.col("_local")))
+            .drop("_local", "_start")
+        )
+        return replace(self, whole=whole, ranged=ranged)
+
     def row_number(self, name: str) -> OrderedRows:
         """Position of each row inside its key, from 1."""
 

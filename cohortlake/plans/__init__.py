@@ -1,6 +1,12 @@
 """Registered queries: operators applied to the given tables."""
 
-from cohortlake.plans import portfolio_queries, results_queries, scoring_queries  # noqa: F401
+from cohortlake.plans import (  # noqa: F401
+    chat_queries,
+    portfolio_queries,
+    results_queries,
+    scoring_queries,
+    user_queries,
+)
 from cohortlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -93,7 +93,8 @@ SELECT event_id AS chat_id, CAST(user_id AS STRING) AS user_id, CAST(ts AS TIMES
          ELSE CASE event_id % 4 WHEN 0 THEN 'Show my simulations'
                                 WHEN 1 THEN 'Translate this to Hindi'
                                 WHEN 2 THEN concat('How is SIM_', CAST(event_id - event_id % 150 + user_id AS STRING), ' doing?')
-                                ELSE 'आंकड़े दिखाओ' END END AS message
+                                ELSE 'आंकड़े दिखाओ' END END AS message,
+       CASE WHEN event_id % 41 = 0 THEN 'bn' WHEN event_id % 97 = 0 THEN 'hi' END AS forced_language
 FROM {events}""",
     "changes_v": """
 SELECT event_id AS change_id, concat('sim_', CAST(event_id % 20000 - event_id % 3 AS STRING)) AS simulation_id,
@@ -140,7 +141,7 @@ SELECT CAST(c_custkey + 1 AS INT) AS index, c_mktsegment AS first_name, 'User' A
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'New' END AS first_name,
        'Person' AS last_name,
        CASE WHEN o_orderkey % 3 = 0 THEN concat('CUSTOMER#', lpad(CAST(o_custkey AS STRING), 9, '0'))
-            ELSE concat('User', CAST(o_orderkey AS STRING)) END AS username,
+            ELSE concat('User', CAST(o_orderkey - o_orderkey % 4 AS STRING)) END AS username,
        CASE WHEN o_orderkey % 5 = 0 THEN concat('Customer#', lpad(CAST(o_custkey AS STRING), 9, '0'), '@EXAMPLE.com')
             ELSE concat('user', CAST(o_orderkey AS STRING), '@new.org') END AS email,
        concat('pw', CAST(o_orderkey AS STRING)) AS password
