@@ -3,6 +3,7 @@
 from cohortlake.plans import (  # noqa: F401
     chat_queries,
     portfolio_queries,
+    report_queries,
     results_queries,
     scoring_queries,
     user_queries,
