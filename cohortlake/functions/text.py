@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from cohortlake import fixed_values as V
@@ -36,12 +34,12 @@ def fill(template: str, **parts: Column) -> Column:
 
 
 def any_word(text: Column, words: list[str]) -> Column:
-    """True when one of the words occurs anywhere in the text."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """True when one of the words (no pattern characters in them) occurs anywhere in the text."""
+    return text.rlike("|".join(words))
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.trim(_col(text), F.lit(" \t\n\r\f\x0b"))
 
 
 # ---------------------------------------------------------------- identifiers
@@ -85,14 +83,25 @@ def message_language(text) -> Column:
 
 def confirmation(text) -> Column:
     """confirm, cancel or null for a whole message taken as one word."""
-    word = strip(F.lower(_col(text)))
-    yes = [w for words in V.CONFIRM_WORDS.values() for w in words]
-    no = [w for words in V.CANCEL_WORDS.values() for w in words]
-    return F.when(word.isin(yes), "confirm").when(word.isin(no), "cancel")
+    classes = {w: "confirm" for words in V.CONFIRM_WORDS.values() for w in words}
+    classes |= {w: "cancel" for words in V.CANCEL_WORDS.values() for w in words}
+    table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    return F.try_element_at(table, strip(F.lower(_col(text))))
+
+
+def _first_hit(candidates: list[Column]) -> Column:
+    """First struct whose ``new_value`` is not blank; each is worked out once."""
+    return F.slice(F.filter(F.array(*candidates), lambda c: c["new_value"] != ""), 1, 1)
 
 
-def _first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def _whole_word(pattern: str) -> str:
+    """The same matches, but tried only at word starts and without giving letters back.
+
+    A match inside a word could always be extended to the word's start, so the
+    leftmost match is the same; long words no longer cost quadratic time.
+    """
+    word = "[A-Za-z0-9_]"
+    return "(?i)" + pattern.replace(f"({word}+)", f"(?<!{word})({word}++)")
 
 
 def update_intent(text) -> Column:
@@ -100,27 +109,30 @@ def update_intent(text) -> Column:
 
     Short forms ("set it to 40") come first and always mean the enrolled
     patients of the carried simulation. Other messages need an update word,
-    then the first field pattern that matches decides.
+    then the first field pattern that matches decides. The ordered patterns
+    run only on messages that pass one cheap test.
     """
     t = _col(text)
     low = F.lower(t)
-    short = F.coalesce(*[_first_group(low, p) for p in V.SHORT_UPDATE_PATTERNS])
-    named = [(_first_group(low, p), field) for p, field in V.NAMED_FIELD_PATTERNS]
-    field = F.coalesce(
-        *[F.when(value.isNotNull(), field) for value, field in named],
-        *[_first_group(t, "(?i)" + p) for p in V.ANY_FIELD_PATTERNS],
-    )
-    value = F.coalesce(
-        *[value for value, _ in named],
-        *[_first_group(t, "(?i)" + p, 2) for p in V.ANY_FIELD_PATTERNS],
-    )
-    shape = "struct<named_id:string,field:string,new_value:string>"
-    return F.when(
-        short.isNotNull(),
-        F.struct(F.lit(None).cast("string"), F.lit(V.SHORT_UPDATE_FIELD), short).cast(shape),
-    ).when(
-        any_word(low, V.UPDATE_WORDS) & field.isNotNull(),
-        F.struct(_first_group(t, V.ID_PATTERN), field, value).cast(shape),
+
+    def hit(field: Column, value: Column) -> Column:
+        return F.struct(field.alias("field"), value.alias("new_value"))
+
+    short = [hit(F.lit(V.SHORT_UPDATE_FIELD), F.regexp_extract(low, p, 1)) for p in V.SHORT_UPDATE_PATTERNS]
+    named = [hit(F.lit(field), F.regexp_extract(low, p, 1)) for p, field in V.NAMED_FIELD_PATTERNS]
+    other = [hit(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)) for p in map(_whole_word, V.ANY_FIELD_PATTERNS)]
+    named_id = F.nullif(F.regexp_extract(t, V.ID_PATTERN, 1), F.lit(""))
+
+    def with_id(found: Column, target: Column) -> Column:
+        whole = F.transform(
+            found, lambda c: F.struct(target.alias("named_id"), c["field"].alias("field"), c["new_value"].alias("new_value"))
+        )
+        return F.try_element_at(whole, F.lit(1))
+
+    is_short = low.rlike("|".join(f"(?:{p})" for p in V.SHORT_UPDATE_PATTERNS))
+    return F.when(is_short, with_id(_first_hit(short), F.lit(None).cast("string"))).when(
+        any_word(low, V.UPDATE_WORDS),
+        F.coalesce(with_id(_first_hit(named), named_id), with_id(_first_hit(other), named_id)),
     )
 
 
@@ -162,7 +174,7 @@ def done_text(language, simulation_id, field, old, new) -> Column:
 
 # -------------------------------------------------------------- tagged answers
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_SHARE = r"^\s*%*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)%*(?!\S)"
 
 
 def parse_answer(text) -> Column:
@@ -173,22 +185,20 @@ def parse_answer(text) -> Column:
     """
     t = _col(text)
 
+    def after(tag: str) -> Column:
+        return F.try_element_at(F.split(t, tag + ":"), F.lit(2))
+
     def number(tag: str, default: float) -> Column:
-        word = F.regexp_replace(F.regexp_extract(t, tag + r":\s*(\S+)", 1), "^%+|%+$", "")
-        share = F.when(word.rlike(_NUMBER), word).try_cast("double") / F.lit(100.0)
+        share = F.regexp_extract(after(tag), _SHARE, 1).try_cast("double") / F.lit(100.0)
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(default))))
 
-    after = F.element_at(F.split(t, "RISK_FACTORS:"), 2)
-    section = F.element_at(F.split(after, "EXPLANATION:"), 1)
+    section = F.element_at(F.split(after("RISK_FACTORS"), "EXPLANATION:"), 1)
     factors = F.filter(F.transform(F.split(section, ","), strip), lambda x: x != "")
-    told = F.split(t, "EXPLANATION:")
     return F.struct(
         number("SUCCESS_PROBABILITY", V.ANSWER_DEFAULT_PROBABILITY).alias("success_probability"),
         number("CONFIDENCE", V.ANSWER_DEFAULT_CONFIDENCE).alias("confidence_score"),
-        F.when(t.contains("RISK_FACTORS:"), F.slice(factors, 1, 5))
-        .otherwise(F.array().cast("array<string>")).alias("risk_factors"),
-        F.when(t.contains("EXPLANATION:"), strip(F.element_at(told, 2)))
-        .otherwise(F.lit(V.ANSWER_DEFAULT_EXPLANATION)).alias("explanation"),
+        F.coalesce(F.slice(factors, 1, 5), F.array().cast("array<string>")).alias("risk_factors"),
+        F.coalesce(strip(after("EXPLANATION")), F.lit(V.ANSWER_DEFAULT_EXPLANATION)).alias("explanation"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake import fixed_values as V
 from cohortlake.functions.scoring import dropout_risk, exact_sum, outcome_scores
@@ -73,18 +73,24 @@ def eligible_patients(trials: DataFrame, patients: DataFrame) -> DataFrame:
 def eligible_pool_size(trials: DataFrame, patients: DataFrame) -> DataFrame:
     """How many patients of the whole pool fit each trial's age range.
 
-    Ages are whole years from 18 to 100, so the pool is reduced to a count per
-    age and each trial adds up its slice: no patient-trial pairs are built.
+    Ages are whole years from 18 to 100, so the pool is reduced to a running
+    count per age (one short array) and each trial subtracts two entries: no
+    patient-trial pairs are built.
     """
-    ages = patients.where(F.col("age").between(18, 100)).groupBy("age").agg(F.count(F.lit(1)).alias("_n"))
-    counts = ages.agg(F.map_from_entries(F.collect_list(F.struct("age", "_n"))).alias("by_age"))
-    low, high = F.greatest("min_age", F.lit(18)), F.least("max_age", F.lit(100))
-    span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    pool = F.col("_pool.by_age")
-    total = F.aggregate(
-        span, F.lit(0).cast("bigint"), lambda s, a: s + F.coalesce(F.try_element_at(pool, a), F.lit(0))
-    )
-    return (
-        trials.withColumn("_pool", scalar(counts))
-        .select("trial_id", "min_age", "max_age", total.alias("eligible"))
+    first, last = 18, 100
+    ages = patients.where(F.col("age").between(first, last)).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
+    entries = ages.agg(F.collect_list(F.struct("age", "n")).alias("_ages"))
+
+    def up_to(age: Column) -> Column:
+        younger = F.filter("_ages", lambda e: e["age"] <= age)
+        return F.aggregate(younger, F.lit(0).cast("bigint"), lambda total, e: total + e["n"])
+
+    # entry 1 is zero, entry i + 1 counts ages 18 to 17 + i
+    running = entries.select(F.transform(F.sequence(F.lit(first - 1), F.lit(last)), up_to).alias("upto"))
+    low, high = F.greatest("min_age", F.lit(first)), F.least("max_age", F.lit(last))
+    counts = F.col("_pool.upto")
+    eligible = F.element_at(counts, high - (first - 2)) - F.element_at(counts, low - (first - 1))
+    return trials.withColumn("_pool", scalar(running)).select(
+        "trial_id", "min_age", "max_age",
+        F.when(low <= high, eligible).otherwise(F.lit(0)).cast("bigint").alias("eligible"),
     )

@@ -6,6 +6,7 @@ from cohortlake.plans import (  # noqa: F401
     report_queries,
     results_queries,
     scoring_queries,
+    streaming_queries,
     user_queries,
 )
 from cohortlake.plans.registry import ORACLES, QUERIES

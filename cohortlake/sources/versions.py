@@ -7,19 +7,30 @@ job that dies half way leaves no commit row behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+COMMITS = "version INT, batch STRING, committed_at TIMESTAMP"
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """Highest committed version, 0 when there is none."""
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """Committed versions with the name of the batch that wrote each."""
     try:
-        commits = spark.read.schema("version INT, committed_at TIMESTAMP").parquet(f"{path}/commits")
+        return spark.read.schema(COMMITS).parquet(f"{path}/commits")
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return 0
-        raise
-    return commits.agg(F.max("version")).first()[0] or 0
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS)
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """Highest committed version, 0 when there is none."""
+    return commits(spark, path).agg(F.max("version")).first()[0] or 0
+
+
+def is_committed(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether a named batch was written before."""
+    return not commits(spark, path).where(F.col("batch") == batch).isEmpty()
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
@@ -30,14 +41,17 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
-def replace_table(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write ``df`` as the next (or the given) version and make it current."""
+def replace_table(df: DataFrame, path: str, batch: str | None = None) -> int:
+    """Write ``df`` as the next version and make it current.
+
+    Leftovers of an attempt that never got its commit row are overwritten.
+    """
     spark = df.sparkSession
-    if version is None:
-        version = current_version(spark, path) + 1
+    version = current_version(spark, path) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    commit = spark.range(1).select(
-        F.lit(version).cast("int").alias("version"), F.current_timestamp().alias("committed_at")
+    row = spark.range(1).select(
+        F.lit(version).cast("int").alias("version"), F.lit(batch).cast("string").alias("batch"),
+        F.current_timestamp().alias("committed_at"),
     )
-    commit.write.mode("append").parquet(f"{path}/commits")
+    row.write.mode("append").parquet(f"{path}/commits")
     return version
