@@ -9,6 +9,9 @@ from cohortlake.operators.ordered import number_all_rows
 from cohortlake.operators.portfolio import scalar
 from cohortlake.session import checkpointed
 
+INCOMPLETE = "All fields are required"
+NAME_TAKEN = "Username already exists"
+MAIL_TAKEN = "Email already exists"
 REQUIRED = ["first_name", "last_name", "username", "email", "password"]
 
 
@@ -31,9 +34,9 @@ def registration_problems(registrations: DataFrame, users: DataFrame) -> DataFra
         .join(taken_mail, F.lower("email") == F.col("_mail"), "left")
         .select(
             *registrations.columns,
-            F.when(missing, "All fields are required")
-            .when(F.col("_has_name"), "Username already exists")
-            .when(F.col("_has_mail"), "Email already exists")
+            F.when(missing, INCOMPLETE)
+            .when(F.col("_has_name"), NAME_TAKEN)
+            .when(F.col("_has_mail"), MAIL_TAKEN)
             .alias("problem"),
         )
     )
@@ -71,20 +74,18 @@ def register(registrations: DataFrame, users: DataFrame, order: str = "request_i
     numbered = number_all_rows(accepted, [F.asc(order)], "_number")
     start = scalar(highest_index(users))["highest"]
     given = numbered.select(order, (F.col("_number") + start).alias("new_index"))
-    taken = accepted.select(F.col("_name"), F.lit(True).alias("_taken"))
+    taken = accepted.select(F.col("_name"), F.col(order).alias("_taken_by"))
+    held = (F.col("problem") == NAME_TAKEN) | (F.col("_taken_by") < F.col(order))
+    reason = (
+        F.when(F.col("new_index").isNotNull(), F.lit(None))
+        .when(F.col("problem") == INCOMPLETE, INCOMPLETE)
+        .when(held, NAME_TAKEN)
+        .otherwise(MAIL_TAKEN)
+    )
     return (
         checked.join(given, order, "left")
         .join(taken, "_name", "left")
-        .withColumn(
-            "problem",
-            F.coalesce(
-                "problem",
-                F.when(
-                    F.col("new_index").isNull(),
-                    F.when(F.col("_taken"), "Username already exists").otherwise("Email already exists"),
-                ),
-            ),
-        )
+        .withColumn("problem", reason)
         .select(*registrations.columns, "problem", "new_index")
     )
 

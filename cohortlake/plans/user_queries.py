@@ -47,10 +47,14 @@ def registration_check(spark, sf_dir):
 @query(with_views(f""", {PROBLEMS},
 ranked AS (SELECT *, CASE WHEN problem IS NULL THEN row_number() OVER (
              PARTITION BY problem, lower(username) ORDER BY request_id) END AS turn FROM problems),
-numbered AS (SELECT request_id, row_number() OVER (ORDER BY request_id) + (SELECT max(index) FROM users_v) AS new_index
+numbered AS (SELECT request_id, lower(username) AS held_name, row_number() OVER (ORDER BY request_id) + (SELECT max(index) FROM users_v) AS new_index
              FROM ranked WHERE turn = 1)
-SELECT k.request_id, n.new_index, coalesce(problem, CASE WHEN turn > 1 THEN 'Username already exists' END) AS problem
-FROM ranked k LEFT JOIN numbered n ON k.request_id = n.request_id""", "registrations_v", "users_v"))
+SELECT k.request_id, n.new_index, CASE WHEN n.new_index IS NOT NULL THEN NULL
+    WHEN problem = 'All fields are required' THEN problem
+    WHEN problem = 'Username already exists' OR h.request_id < k.request_id THEN 'Username already exists'
+    ELSE 'Email already exists' END AS problem
+FROM ranked k LEFT JOIN numbered n ON k.request_id = n.request_id
+LEFT JOIN numbered h ON h.held_name = lower(k.username)""", "registrations_v", "users_v"))
 def register_users(spark, sf_dir):
     load = loader(spark, sf_dir)
     return us.register(load("registrations_v"), load("users_v")).select("request_id", "new_index", "problem")
