@@ -104,6 +104,11 @@ def _whole_word(pattern: str) -> str:
     return "(?i)" + pattern.replace(f"({word}+)", f"(?<!{word})({word}++)")
 
 
+def named_simulation(text) -> Column:
+    """The id after "simulation", "sim", "id" or "for", null when there is none."""
+    return F.nullif(F.regexp_extract(_col(text), V.ID_PATTERN, 1), F.lit(""))
+
+
 def update_intent(text) -> Column:
     """struct<named_id, field, new_value> of an update request, else null.
 
@@ -121,7 +126,7 @@ def update_intent(text) -> Column:
     short = [hit(F.lit(V.SHORT_UPDATE_FIELD), F.regexp_extract(low, p, 1)) for p in V.SHORT_UPDATE_PATTERNS]
     named = [hit(F.lit(field), F.regexp_extract(low, p, 1)) for p, field in V.NAMED_FIELD_PATTERNS]
     other = [hit(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)) for p in map(_whole_word, V.ANY_FIELD_PATTERNS)]
-    named_id = F.nullif(F.regexp_extract(t, V.ID_PATTERN, 1), F.lit(""))
+    named_id = named_simulation(t)
 
     def with_id(found: Column, target: Column) -> Column:
         whole = F.transform(

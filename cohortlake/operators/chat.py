@@ -28,18 +28,18 @@ def classify(messages: DataFrame) -> DataFrame:
     )
 
 
-def find_ids(classified: DataFrame, results: DataFrame) -> DataFrame:
+def find_ids(messages: DataFrame, results: DataFrame) -> DataFrame:
     """Per message with any hit: ``mention`` and ``named_owner``.
 
     ``mention`` is the first of the sender's own simulations, by creation, that
-    the text names as a whole token; ``named_owner`` owns the id an update
-    request names. Ids are looked up by equality on tokens taken out of the
-    text, so no message is compared with every id.
+    the text names as a whole token; ``named_owner`` owns the id after words
+    like "simulation". Ids are looked up by equality on tokens taken out of
+    the text, so no message is compared with every id, and only messages with
+    a token leave the scan.
     """
-    tokens = F.array_distinct(
-        F.array_compact(F.concat(tx.id_tokens("message"), F.array(F.lower("named_id"))))
-    )
-    candidates = classified.select("chat_id", "user_id", "named_id", F.explode(tokens).alias("_token"))
+    named = messages.select("chat_id", "user_id", "message", tx.named_simulation("message").alias("named_id"))
+    tokens = F.array_distinct(F.array_compact(F.concat(tx.id_tokens("message"), F.array(F.lower("named_id")))))
+    candidates = named.select("chat_id", "user_id", "named_id", F.explode(tokens).alias("_token"))
     owned = results.select(
         F.lower("simulation_id").alias("_token"), "simulation_id", F.col("user_id").alias("_owner"), "created_at"
     )
@@ -53,7 +53,7 @@ def find_ids(classified: DataFrame, results: DataFrame) -> DataFrame:
 
 def mentions(messages: DataFrame, results: DataFrame) -> DataFrame:
     """(chat_id, mention) for messages that name one of the sender's simulations."""
-    return find_ids(classify(messages), results).where(F.col("mention").isNotNull()).select("chat_id", "mention")
+    return find_ids(messages, results).where(F.col("mention").isNotNull()).select("chat_id", "mention")
 
 
 def only_simulation(results: DataFrame) -> DataFrame:
@@ -69,8 +69,7 @@ def session_rows(messages: DataFrame, results: DataFrame, hot: HotKeys | None =
 
     The language is the first message's, until a forced language replaces it.
     """
-    classified = classify(messages)
-    found = classified.join(find_ids(classified, results), "chat_id", "left")
+    found = classify(messages).join(find_ids(messages, results), "chat_id", "left")
     hot = hot or find_hot_keys(messages, ["user_id"])
     rows = OrderedRows.of(found, ["user_id"], ORDER, hot)
     rows = rows.carry_last("current_id", F.col("mention"), with_current=True)
@@ -150,7 +149,7 @@ def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -
 def _with_target(df: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
     """Target simulation of an update request and whether the request may open."""
     asks = F.col("field").isNotNull()
-    named = F.when(F.col("named_owner").isNotNull(), F.col("named_id"))
+    named = F.when(F.col("named_owner").isNotNull(), F.col("named_id"))  # named_id is null in short forms
     target = F.when(asks, F.coalesce(named, "current_id", "only_id"))
     # a carried or only simulation is the sender's own
     allowed = F.when(named.isNotNull(), F.col("named_owner") == F.col("user_id")).otherwise(F.lit(True))

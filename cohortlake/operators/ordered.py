@@ -102,24 +102,21 @@ class OrderedRows:
         end = 0 if with_current else -1
 
         def found(ranged: bool) -> Column:
-            return F.last("_value", ignorenulls=True).over(
-                self._window(Window.unboundedPreceding, end, ranged)
-            )
+            return F.last(value, ignorenulls=True).over(self._window(Window.unboundedPreceding, end, ranged))
 
-        whole = self.whole.withColumn("_value", value).withColumn(name, found(False)).drop("_value")
+        whole = self.whole.withColumn(name, found(False))
         if self.ranged is None:
             return replace(self, whole=whole)
-        valued = self.ranged.withColumn("_value", value)
-        at = F.when(F.col("_value").isNotNull(), F.struct(*self.order))
-        left = valued.groupBy(*self.keys, CHUNK).agg(F.max_by("_value", at).alias("_left"))
+        at = F.when(value.isNotNull(), F.struct(*self.order))
+        left = self.ranged.groupBy(*self.keys, CHUNK).agg(F.max_by(value, at).alias("_left"))
         incoming = left.select(
             *self.keys, CHUNK,
             F.last("_left", ignorenulls=True).over(self._earlier(Window.unboundedPreceding)).alias("_carried"),
         )
         ranged = (
-            self._with_incoming(valued.withColumn("_found", found(True)), incoming)
+            self._with_incoming(self.ranged.withColumn("_found", found(True)), incoming)
             .withColumn(name, F.coalesce("_found", "_carried"))
-            .drop("_value", "_found", "_carried")
+            .drop("_found", "_carried")
         )
         return replace(self, whole=whole, ranged=ranged)
 

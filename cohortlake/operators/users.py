@@ -57,12 +57,11 @@ def register(registrations: DataFrame, users: DataFrame, order: str = "request_i
     open_rows = checked.where(F.col("problem").isNull()).select(order, "_name", "_mail")
     accepted = None
     while True:
-        first_name = open_rows.groupBy("_name").agg(F.min(order).alias("_by_name"))
-        first_mail = open_rows.groupBy("_mail").agg(F.min(order).alias("_by_mail"))
+        # joined on the request id, which no two rows share
+        first_of_name = open_rows.groupBy("_name").agg(F.min(order).alias(order)).select(order)
+        first_of_mail = open_rows.groupBy("_mail").agg(F.min(order).alias(order)).select(order)
         winners = checkpointed(
-            open_rows.join(first_name, "_name").join(first_mail, "_mail")
-            .where((F.col(order) == F.col("_by_name")) & (F.col(order) == F.col("_by_mail")))
-            .select(order, "_name", "_mail")
+            open_rows.join(first_of_name, order, "left_semi").join(first_of_mail, order, "left_semi")
         )
         accepted = winners if accepted is None else accepted.unionByName(winners)
         open_rows = checkpointed(
