@@ -63,92 +63,93 @@ def test_routing_does_not_depend_on_the_cut(spark, sf_dir):
 
 # ---------------------------------------------------------------- chat rules
 
-def route(spark, log, owned=(("sim_1", "u"), ("sim_2", "u"), ("sim_9", "other"))):
-    results = spark.createDataFrame(
-        [(s, u, 100, 0.1, dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i, (s, u) in enumerate(owned)],
-        "simulation_id string, user_id string, patients_enrolled int, dropout_rate double, created_at timestamp",
-    )
+REQUEST = "update simulation {1} dropout rate to 0.5"
+# name: (messages of one user, what happens to each); {1} {2} {9} {only} are ids:
+# 1 and 2 belong to the user, 9 to somebody else
+LOGS = {
+    "a confirm runs the open request once": (
+        [REQUEST, "yes", "yes"], ["update_request", "update_executed", "chat"]),
+    "words without an open request are chat": (["yes", "no", REQUEST], ["chat", "chat", "update_request"]),
+    "a cancel closes": ([REQUEST, "नहीं", "yes"], ["update_request", "cancelled", "chat"]),
+    "a newer request replaces an older one": (
+        [REQUEST, "update simulation {2} dropout rate to 0.7", "ok"],
+        ["update_request", "update_request", "update_executed"]),
+    "a refused request leaves the older one open": (
+        [REQUEST, "update simulation {9} dropout rate to 0.7", "confirm"],
+        ["update_request", "error", "update_executed"]),
+    "a failing update stays open until cancelled": (
+        ["update simulation {1} dropout rate to 1.2.3", "yes", "yes", "no", "yes"],
+        ["update_request", "error", "error", "cancelled", "chat"]),
+    "an unknown field, then a good request": (
+        ["update simulation {1} colour: 3", "yes", REQUEST, "yes"],
+        ["update_request", "error", "update_request", "update_executed"]),
+    "the short form uses the carried simulation": (
+        ["How is {2}?", "set it to 250", "yes"], ["chat", "update_request", "update_executed"]),
+    "without a target the user is asked": (["set it to 5"], ["clarification"]),
+    "an id that does not exist gives way to the carried one": (
+        ["{1} please", "update simulation dropout rate to 0.2"], ["chat", "update_request"]),
+    "a mention is a whole token and the oldest wins": (["{1}2 and x{1}", "{2} or {1}"], ["chat", "chat"]),
+    "an update comes before a translation": (
+        ["{1}", "translate and set it to 5", "translate this to bengali", "translate"],
+        ["chat", "update_request", "translation", "clarification"]),
+    "the first message sets the language": (["नमस्ते", "hello", "হ্যালো"], ["chat", "chat", "chat"]),
+}
+
+
+@pytest.fixture(scope="module")
+def routed(spark):
+    """All logs in one job, one user each, and a user who owns a single simulation."""
     start = dt.datetime(2025, 1, 1)
-    messages = spark.createDataFrame(
-        [(i, "u", start + dt.timedelta(minutes=i), m) for i, m in enumerate(log)],
+    results, messages, number = [("lone_1", "lone", 1, 0.1, start)], [("lone", "set it to 5")], {}
+    for i, (name, (log, _)) in enumerate(LOGS.items()):
+        ids = {k: f"u{i}_{k}" for k in ("1", "2", "9")}
+        results += [(ids[k], f"u{i}" if k != "9" else "other", 100, 0.1, start + dt.timedelta(days=int(k))) for k in ids]
+        for text in log:
+            for k, value in ids.items():
+                text = text.replace("{" + k + "}", value)
+            messages.append((f"u{i}", text))
+        number[name] = i
+    df = spark.createDataFrame(
+        [(i, u, start + dt.timedelta(minutes=i), m) for i, (u, m) in enumerate(messages)],
         "chat_id long, user_id string, timestamp timestamp, message string",
     )
-    return chat.route(messages, results).orderBy("chat_id").collect()
-
-
-def actions(spark, log, **kwargs):
-    return [r.action_type for r in route(spark, log, **kwargs)]
-
-
-REQUEST = "update simulation sim_1 dropout rate to 0.5"
-
-
-def test_confirm_runs_the_open_request_once(spark):
-    got = route(spark, [REQUEST, "yes", "yes"])
-    assert [r.action_type for r in got] == ["update_request", "update_executed", "chat"]
-    assert (got[1].resolves, got[1].simulation_id, got[1].field, got[1].new_value) == (0, "sim_1", "dropout_rate", "0.5")
-
-
-def test_words_without_an_open_request_are_chat(spark):
-    assert actions(spark, ["yes", "no", REQUEST]) == ["chat", "chat", "update_request"]
-
-
-def test_cancel_closes(spark):
-    assert actions(spark, [REQUEST, "नहीं", "yes"]) == ["update_request", "cancelled", "chat"]
-
-
-def test_newer_request_replaces_older(spark):
-    got = route(spark, [REQUEST, "update sim_2 simulation sim_2 dropout rate to 0.7", "ok"])
-    assert got[2].resolves == 1 and got[2].simulation_id == "sim_2"
-
-
-def test_refused_request_leaves_the_older_one_open(spark):
-    got = route(spark, [REQUEST, "update simulation sim_9 dropout rate to 0.7", "confirm"])
-    assert [r.action_type for r in got] == ["update_request", "error", "update_executed"]
-    assert got[2].resolves == 0
-
-
-def test_failing_update_stays_open_until_cancelled(spark):
-    log = ["update simulation sim_1 dropout rate to 1.2.3", "yes", "yes", "no", "yes"]
-    assert actions(spark, log) == ["update_request", "error", "error", "cancelled", "chat"]
-
-
-def test_unknown_field_then_a_good_request(spark):
-    log = ["update simulation sim_1 colour: 3", "yes", REQUEST, "yes"]
-    got = route(spark, log)
-    assert [r.action_type for r in got] == ["update_request", "error", "update_request", "update_executed"]
-    assert got[3].resolves == 2
-
-
-def test_short_form_uses_the_carried_simulation(spark):
-    got = route(spark, ["How is sim_2?", "set it to 250", "yes"])
-    assert (got[1].simulation_id, got[1].field, got[2].new_value) == ("sim_2", "patients_enrolled", "250")
-
-
-def test_without_target_one_owned_simulation_is_the_default(spark):
-    assert actions(spark, ["set it to 5"]) == ["clarification"]
-    got = route(spark, ["set it to 5"], owned=(("sim_7", "u"),))
-    assert (got[0].action_type, got[0].simulation_id) == ("update_request", "sim_7")
-
-
-def test_an_id_that_does_not_exist_falls_back_to_the_carried_one(spark):
-    got = route(spark, ["sim_1 please", "update simulation dropout rate to 0.2"])
-    assert (got[1].action_type, got[1].simulation_id) == ("update_request", "sim_1")
-
-
-def test_mention_is_a_whole_token_and_the_oldest_wins(spark):
-    got = route(spark, ["sim_12 and xsim_1", "sim_2 or SIM_1"])
-    assert [r.simulation_id for r in got] == [None, "sim_1"]
-
-
-def test_update_comes_before_translation(spark):
-    got = route(spark, ["sim_1", "translate and set it to 5", "translate this to bengali", "translate"])
-    assert [r.action_type for r in got] == ["chat", "update_request", "translation", "clarification"]
-    assert got[2].reply_language == "bn"
-
-
-def test_language_is_the_first_messages(spark):
-    assert {r.language for r in route(spark, ["नमस्ते", "hello", "হ্যালো"])} == {"hi"}
+    table = spark.createDataFrame(
+        results, "simulation_id string, user_id string, patients_enrolled int, dropout_rate double, created_at timestamp")
+    out = {}
+    for row in chat.route(df, table).orderBy("chat_id").collect():
+        out.setdefault(row.user_id, []).append(row)
+    return lambda name: out["lone" if name == "lone" else f"u{number[name]}"]
+
+
+@pytest.mark.parametrize("name", LOGS)
+def test_log(routed, name):
+    assert [r.action_type for r in routed(name)] == LOGS[name][1]
+
+
+def test_what_a_confirm_resolves(routed):
+    got = routed("a confirm runs the open request once")
+    assert got[1].resolves == got[0].chat_id
+    assert (got[1].simulation_id[-2:], got[1].field, got[1].new_value) == ("_1", "dropout_rate", "0.5")
+    got = routed("a newer request replaces an older one")
+    assert got[2].resolves == got[1].chat_id and got[2].simulation_id.endswith("_2")
+    got = routed("a refused request leaves the older one open")
+    assert got[2].resolves == got[0].chat_id
+    got = routed("an unknown field, then a good request")
+    assert got[3].resolves == got[2].chat_id
+
+
+def test_targets(routed):
+    got = routed("the short form uses the carried simulation")
+    assert (got[1].simulation_id[-2:], got[1].field, got[2].new_value) == ("_2", "patients_enrolled", "250")
+    assert routed("an id that does not exist gives way to the carried one")[1].simulation_id.endswith("_1")
+    got = routed("a mention is a whole token and the oldest wins")
+    assert got[0].simulation_id is None and got[1].simulation_id.endswith("_1")
+    assert (routed("lone")[0].action_type, routed("lone")[0].simulation_id) == ("update_request", "lone_1")
+
+
+def test_languages(routed):
+    assert routed("an update comes before a translation")[2].reply_language == "bn"
+    assert {r.language for r in routed("the first message sets the language")} == {"hi"}
 
 
 def test_context_holds_the_five_exchanges_before(spark):
