@@ -27,14 +27,19 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def exact_sum(value: Column | str, scale: int = 2) -> Column:
-    """Sum of a fixed-point quantity, independent of partitioning and retries."""
+def exact_sum(value: Column | str, scale: int) -> Column:
+    """Sum of a quantity with ``scale`` decimals, independent of partitioning and retries."""
     return F.sum(_col(value).cast(f"decimal(18,{scale})")).cast("double")
 
 
-def exact_avg(value: Column | str, scale: int = 2) -> Column:
-    """Null-skipping mean of a fixed-point quantity, independent of partitioning."""
-    return F.try_divide(exact_sum(value, scale), F.count(_col(value)))
+def mean(value: Column | str, scale: int | None = None) -> Column:
+    """Null-skipping mean.
+
+    With ``scale`` the values are taken as fixed-point numbers and summed
+    exactly, which needs the column to have no more decimals than that.
+    """
+    c = _col(value)
+    return F.avg(c) if scale is None else F.try_divide(exact_sum(c, scale), F.count(c))
 
 
 def risk_band(probability: Column | str) -> Column:

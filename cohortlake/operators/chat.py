@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions import text as tx
 from cohortlake.operators.changes import change_problem, changeable
-from cohortlake.operators.ordered import HotKeys, OrderedRows, find_hot_keys, first_per_group
+from cohortlake.operators.ordered import (
+    HotKeys, OrderedRows, find_hot_keys, first_per_group, first_value, last_value,
+)
 
 ORDER = ["timestamp", "chat_id"]
 
@@ -65,20 +67,23 @@ def only_simulation(results: DataFrame) -> DataFrame:
 
 
 def session_rows(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -> OrderedRows:
-    """Messages with the session's language and the carried simulation id.
+    """Messages with the session's language, the carried and the only simulation id.
 
     The language is the first message's, until a forced language replaces it.
     """
     found = classify(messages).join(find_ids(messages, results), "chat_id", "left")
+    # joined before large users are cut: a later join on the user alone would
+    # bring their ranges back together
+    found = found.join(only_simulation(results), "user_id", "left")
     hot = hot or find_hot_keys(messages, ["user_id"])
-    rows = OrderedRows.of(found, ["user_id"], ORDER, hot)
-    rows = rows.carry_last("current_id", F.col("mention"), with_current=True)
-    rows = rows.first_value("_first_language", F.col("detected_language"))
-    if "forced_language" in messages.columns:
-        rows = rows.carry_last("_forced", F.col("forced_language"), with_current=True)
-        language = F.coalesce("_forced", "_first_language")
-    else:
-        language = F.col("_first_language")
+    if "forced_language" not in messages.columns:
+        found = found.withColumn("forced_language", F.lit(None).cast("string"))
+    rows = OrderedRows.of(found, ["user_id"], ORDER, hot).scan(
+        current_id=last_value(F.col("mention")),
+        _first_language=first_value(F.col("detected_language")),
+        _forced=last_value(F.col("forced_language")),
+    )
+    language = F.coalesce("_forced", "_first_language")
     return rows.map(lambda df: df.withColumn("language", language).drop("_first_language", "_forced"))
 
 
@@ -93,8 +98,7 @@ def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -
     """
     kinds = changeable(results.schema, "simulation_id")
     rows = session_rows(messages, results, hot)
-    only = only_simulation(results)
-    rows = rows.map(lambda df: _with_target(df.join(only, "user_id", "left"), kinds))
+    rows = rows.map(lambda df: _with_target(df, kinds))
 
     opened = F.when(
         F.col("request_state") == "open",
@@ -110,9 +114,9 @@ def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -
     # last request or cancel before the row, confirms left aside: it tells
     # whether a confirm here can end anything
     asked = F.coalesce(opened, F.when(F.col("word") == "cancel", closed))
-    rows = rows.carry_last("_asked", asked, with_current=False)
+    rows = rows.scan(_asked=last_value(asked, with_current=False))
     ends = (F.col("word") == "confirm") & (F.col("_asked.state") == "open") & F.col("_asked.problem").isNull()
-    rows = rows.carry_last("_pending", F.coalesce(asked, F.when(ends, closed)), with_current=False)
+    rows = rows.scan(_pending=last_value(F.coalesce(asked, F.when(ends, closed)), with_current=False))
 
     pending = F.col("_pending.state") == "open"
     action = (

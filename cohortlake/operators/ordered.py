@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlake.session import checkpointed
 
 HOT_ROWS = 5_000_000
+BROADCAST_KEYS = 1_000_000
 CHUNK = "_range"
 
 
@@ -27,8 +28,14 @@ class HotKeys:
     """Keys with more than ``hot_rows`` rows (None when there are none)."""
 
     keys: DataFrame | None
+    count: int
     ranges: int
 
+    def marks(self) -> DataFrame:
+        """The keys under other names; broadcast only while their counted number is small."""
+        renamed = self.keys.withColumnsRenamed({k: f"_hot_{k}" for k in self.keys.columns})
+        return F.broadcast(renamed) if self.count <= BROADCAST_KEYS else renamed
+
 
 def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotKeys:
     """Count rows per key (combined before the shuffle) and keep the large ones.
@@ -36,10 +43,54 @@ def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> H
     There are at most ``rows / hot_rows`` of them, whatever the data.
     """
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    total = large.agg(F.sum("_n")).first()[0]
-    if total is None:
-        return HotKeys(None, 0)
-    return HotKeys(checkpointed(large.select(*keys)), 2 * math.ceil(total / hot_rows))
+    count, rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if count == 0:
+        return HotKeys(None, 0, 0)
+    return HotKeys(checkpointed(large.select(*keys)), count, 2 * math.ceil(rows / hot_rows))
+
+
+@dataclass(frozen=True)
+class Scan:
+    """A value that runs along the order of a key.
+
+    ``within`` works on one window, ``summary`` is what a range leaves behind,
+    ``incoming`` combines what earlier ranges left, ``merge`` joins both.
+    """
+
+    within: Callable[[Callable], Column]
+    summary: Callable[[Column], Column]
+    incoming: Callable[[Column, object], Column]
+    merge: Callable[[Column, Column], Column]
+
+
+def last_value(value: Column, with_current: bool = True) -> Scan:
+    """Last non-null value up to (or strictly before) each row."""
+    return Scan(
+        within=lambda window: F.last(value, ignorenulls=True).over(window(0 if with_current else -1)),
+        summary=lambda order: F.max_by(value, F.when(value.isNotNull(), order)),
+        incoming=lambda left, earlier: F.last(left, ignorenulls=True).over(earlier),
+        merge=lambda local, carried: F.coalesce(local, carried),
+    )
+
+
+def first_value(value: Column) -> Scan:
+    """Value of the key's first row, on every row."""
+    return Scan(
+        within=lambda window: F.first(value).over(window(0)),
+        summary=lambda order: F.min_by(F.struct(value.alias("value")), order),
+        incoming=lambda left, earlier: F.first(left).over(earlier),
+        merge=lambda local, carried: F.when(carried.isNotNull(), carried["value"]).otherwise(local),
+    )
+
+
+def position() -> Scan:
+    """Place of each row inside its key, from 1."""
+    return Scan(
+        within=lambda window: F.count(F.lit(1)).over(window(0)),
+        summary=lambda order: F.count(F.lit(1)),
+        incoming=lambda left, earlier: F.sum(left).over(earlier),
+        merge=lambda local, carried: local + F.coalesce(carried, F.lit(0)),
+    )
 
 
 @dataclass(frozen=True)
@@ -47,13 +98,15 @@ class OrderedRows:
     """Rows with a key and an order that is unique inside the key.
 
     ``whole`` holds the keys that fit one task, ``ranged`` the rows of the
-    large keys with their range number (None when there are none).
+    large keys with their range number (None when there are none). ``pairs``
+    bounds the number of (key, range) pairs.
     """
 
     whole: DataFrame
     ranged: DataFrame | None
     keys: list[str]
     order: list[str]
+    pairs: int = 0
 
     @staticmethod
     def of(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys | None = None,
@@ -62,7 +115,7 @@ class OrderedRows:
         hot = hot or find_hot_keys(df, keys, hot_rows)
         if hot.keys is None:
             return OrderedRows(df, None, keys, order)
-        marks = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+        marks = hot.marks()
         same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
         # One range partition holds neighbours in (key, order). The checkpoint
         # pins each row's range, so a lost executor cannot change it.
@@ -71,7 +124,7 @@ class OrderedRows:
             .repartitionByRange(hot.ranges, *keys, *order)
             .withColumn(CHUNK, F.spark_partition_id())
         )
-        return OrderedRows(df.join(marks, same, "left_anti"), ranged, keys, order)
+        return OrderedRows(df.join(marks, same, "left_anti"), ranged, keys, order, hot.ranges + hot.count)
 
     def rows(self) -> DataFrame:
         if self.ranged is None:
@@ -91,77 +144,43 @@ class OrderedRows:
         return Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(first, -1)
 
     def _with_incoming(self, df: DataFrame, incoming: DataFrame) -> DataFrame:
-        """Add to each row what its range receives; one row per (key, range) joins."""
+        """Add to each row what its range receives.
+
+        One row per (key, range) joins; ranges share keys only at their ends,
+        so there are no more rows than ranges and large keys together.
+        """
         names = [*self.keys, CHUNK]
         other = incoming.withColumnsRenamed({n: f"_in_{n}" for n in names})
+        if self.pairs <= BROADCAST_KEYS:
+            other = F.broadcast(other)
         on = [F.col(n).eqNullSafe(F.col(f"_in_{n}")) for n in names]
         return df.join(other, on, "left").drop(*[f"_in_{n}" for n in names])
 
-    def carry_last(self, name: str, value: Column, with_current: bool) -> OrderedRows:
-        """Last non-null ``value`` up to (or strictly before) each row."""
-        end = 0 if with_current else -1
+    def scan(self, **scans: Scan) -> OrderedRows:
+        """Add the scans' columns; all of them share one shuffle and sort."""
 
-        def found(ranged: bool) -> Column:
-            return F.last(value, ignorenulls=True).over(self._window(Window.unboundedPreceding, end, ranged))
+        def within(ranged: bool, prefix: str = "") -> dict[str, Column]:
+            window = lambda last: self._window(Window.unboundedPreceding, last, ranged)
+            return {prefix + name: s.within(window) for name, s in scans.items()}
 
-        whole = self.whole.withColumn(name, found(False))
+        whole = self.whole.withColumns(within(False))
         if self.ranged is None:
             return replace(self, whole=whole)
-        at = F.when(value.isNotNull(), F.struct(*self.order))
-        left = self.ranged.groupBy(*self.keys, CHUNK).agg(F.max_by(value, at).alias("_left"))
+        at = F.struct(*self.order)
+        left = self.ranged.groupBy(*self.keys, CHUNK).agg(
+            *[s.summary(at).alias(f"_left_{name}") for name, s in scans.items()]
+        )
+        earlier = self._earlier(Window.unboundedPreceding)
         incoming = left.select(
             *self.keys, CHUNK,
-            F.last("_left", ignorenulls=True).over(self._earlier(Window.unboundedPreceding)).alias("_carried"),
+            *[s.incoming(F.col(f"_left_{name}"), earlier).alias(f"_carried_{name}") for name, s in scans.items()],
         )
-        ranged = (
-            self._with_incoming(self.ranged.withColumn("_found", found(True)), incoming)
-            .withColumn(name, F.coalesce("_found", "_carried"))
-            .drop("_found", "_carried")
+        joined = self._with_incoming(self.ranged.withColumns(within(True, "_local_")), incoming)
+        merged = joined.withColumns(
+            {name: s.merge(F.col(f"_local_{name}"), F.col(f"_carried_{name}")) for name, s in scans.items()}
         )
-        return replace(self, whole=whole, ranged=ranged)
-
-    def first_value(self, name: str, value: Column) -> OrderedRows:
-        """``value`` of the key's first row, on every row."""
-
-        def local(ranged: bool) -> Column:
-            return F.first(value).over(self._window(Window.unboundedPreceding, 0, ranged))
-
-        whole = self.whole.withColumn(name, local(False))
-        if self.ranged is None:
-            return replace(self, whole=whole)
-        firsts = self.ranged.groupBy(*self.keys, CHUNK).agg(
-            F.min_by(F.struct(value.alias("value")), F.struct(*self.order)).alias("_first")
-        )
-        incoming = firsts.select(
-            *self.keys, CHUNK, F.first("_first").over(self._earlier(Window.unboundedPreceding)).alias("_start")
-        )
-        ranged = (
-            self._with_incoming(self.ranged.withColumn("_local", local(True)), incoming)
-            .withColumn(name, F.when(F.col("_start").isNotNull(), F.col("_start.value")).otherwise(F.col("_local")))
-            .drop("_local", "_start")
-        )
-        return replace(self, whole=whole, ranged=ranged)
-
-    def row_number(self, name: str) -> OrderedRows:
-        """Position of each row inside its key, from 1."""
-
-        def local(ranged: bool) -> Column:
-            parts = [*self.keys, CHUNK] if ranged else self.keys
-            return F.row_number().over(Window.partitionBy(*parts).orderBy(*self.order)).cast("bigint")
-
-        whole = self.whole.withColumn(name, local(False))
-        if self.ranged is None:
-            return replace(self, whole=whole)
-        sizes = self.ranged.groupBy(*self.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        incoming = sizes.select(
-            *self.keys, CHUNK, F.sum("_n").over(self._earlier(Window.unboundedPreceding)).alias("_before")
-        )
-        ranged = (
-            self._with_incoming(self.ranged.withColumn("_local", local(True)), incoming)
-            .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
-            .drop("_local", "_before")
-        )
-        return replace(self, whole=whole, ranged=ranged)
+        temporary = [f"{p}{name}" for name in scans for p in ("_local_", "_carried_")]
+        return replace(self, whole=whole, ranged=merged.drop(*temporary))
 
     def last_values(self, name: str, value: Column, count: int) -> OrderedRows:
         """Values of the ``count`` rows before each row, oldest first."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake import fixed_values as V
-from cohortlake.functions.scoring import exact_avg
+from cohortlake.functions.scoring import mean
 from cohortlake.operators.ordered import first_per_group
 
 STATS = {
@@ -17,19 +17,23 @@ STATS = {
 }
 
 
-def portfolio_stats(trials: DataFrame) -> DataFrame:
+def portfolio_stats(trials: DataFrame, scale: int | None = None) -> DataFrame:
     """One row: trial count and null-skipping means; a fixed value for a missing column.
 
-    Sums are exact decimals, so the result does not depend on how the table is
-    partitioned. The partial sums leave one row per task to shuffle.
+    ``scale`` states that rates and costs have that many decimals; their sums
+    are then exact, so the result does not depend on how the table is
+    partitioned. Partial sums leave one row per task to shuffle.
     """
-    def mean(name: str) -> Column:
+
+    def average(name: str) -> Column:
         if name not in trials.columns:
             return F.first(F.lit(V.DEFAULT_STATS[name]))
-        return exact_avg(F.col(name).cast("int") if name == "success" else F.col(name), 4)
+        if name == "success":
+            return F.avg(F.col(name).cast("int"))
+        return mean(name, scale if name in ("dropout_rate", "cost_usd") else None)
 
     return trials.agg(
-        F.count(F.lit(1)).alias("total_trials"), *[mean(c).alias(out) for c, out in STATS.items()]
+        F.count(F.lit(1)).alias("total_trials"), *[average(c).alias(out) for c, out in STATS.items()]
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake import fixed_values as V
-from cohortlake.functions.scoring import exact_sum
+from cohortlake.functions.scoring import mean
 from cohortlake.functions.text import fill, matches_search
 from cohortlake.operators.ordered import number_all_rows
 
@@ -18,13 +18,15 @@ SORTS = {
 }
 
 
-def dashboard_stats(results: DataFrame) -> DataFrame:
-    """One row of figures in which a missing value counts as zero."""
-    n = F.count(F.lit(1))
+def dashboard_stats(results: DataFrame, scale: int | None = None) -> DataFrame:
+    """One row of figures in which a missing value counts as zero.
+
+    ``scale`` states the decimals of the probabilities, for an exact sum.
+    """
     return results.agg(
-        n.alias("total"),
-        (exact_sum(F.coalesce("success_probability", F.lit(0.0)), 4) / n).alias("avg_success"),
-        (exact_sum(F.coalesce("patients_enrolled", F.lit(0)), 0) / n).alias("avg_patients"),
+        F.count(F.lit(1)).alias("total"),
+        mean(F.coalesce("success_probability", F.lit(0.0)), scale).alias("avg_success"),
+        F.avg(F.coalesce("patients_enrolled", F.lit(0))).alias("avg_patients"),
         F.count_if(F.col("patients_completed") > 0).alias("completed"),
     )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortlake.operators import filters as flt, portfolio as pf
 from cohortlake.plans.registry import query
 from cohortlake.sources.adapters import loader, view, with_views
-from cohortlake.functions.scoring import exact_avg
+from cohortlake.functions.scoring import mean
 
 # null-skipping mean of a fixed-point column, exact in both engines
 AVG = "CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count({c})"
@@ -19,7 +19,7 @@ SELECT count(*) AS total_trials, round({AVG.format(c='CAST(success AS INT)')}, 6
        round({AVG.format(c='cost_usd')}, 6) AS avg_cost
 FROM trials_v""", "trials_v"))
 def portfolio_stats(spark, sf_dir):
-    stats = pf.portfolio_stats(view(spark, sf_dir, "trials_v"))
+    stats = pf.portfolio_stats(view(spark, sf_dir, "trials_v"), scale=2)
     return stats.select("total_trials", *[F.round(c, 6).alias(c) for c in stats.columns[1:]])
 
 
@@ -56,7 +56,7 @@ def filtered_portfolio(spark, sf_dir):
         {"phase": ["Phase II", "Phase III"], "status": "Completed", "sponsor": "unknown key"},
     )
     return rows.groupBy("therapeutic_area").agg(
-        F.count(F.lit(1)).alias("trials"), F.round(exact_avg("dropout_rate", 4), 6).alias("avg_dropout")
+        F.count(F.lit(1)).alias("trials"), F.round(mean("dropout_rate", 2), 6).alias("avg_dropout")
     )
 
 
@@ -91,7 +91,7 @@ def clean_floats(spark, sf_dir):
     return flt.clean_floats(view(spark, sf_dir, "drugs_v")).agg(
         F.count(F.lit(1)).alias("drugs"),
         F.count("bioavailability").alias("finite_values"),
-        F.round(exact_avg("bioavailability"), 6).alias("avg_bioavailability"),
+        F.round(mean("bioavailability", 2), 6).alias("avg_bioavailability"),
     )
 
 
@@ -205,7 +205,7 @@ FROM trials_v, (SELECT {AVG.format(c='CAST(success AS INT)')} AS rate, {AVG.form
        {AVG.format(c='dropout_rate')} AS dropout, {AVG.format(c='cost_usd')} AS cost FROM trials_v) b""", "trials_v"))
 def benchmark_gap(spark, sf_dir):
     trials = view(spark, sf_dir, "trials_v")
-    rows = pf.with_benchmarks(trials, pf.portfolio_stats(trials))
+    rows = pf.with_benchmarks(trials, pf.portfolio_stats(trials, scale=2))
     return rows.select(
         "trial_id", F.round("benchmark_success", 6).alias("benchmark_success"),
         F.round("benchmark_duration_days", 6).alias("benchmark_duration_days"),

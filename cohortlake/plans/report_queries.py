@@ -147,7 +147,7 @@ def portfolio_summary(spark, sf_dir):
         shown = pf.distribution_map(trials, column).select(F.array_join(each, "\n").alias("lines"))
         return pf.scalar(shown)["lines"]
 
-    stats = pf.scalar(pf.portfolio_stats(trials))
+    stats = pf.scalar(pf.portfolio_stats(trials, scale=2))
     # every section is worked out once, as one-row subqueries
     with_stats = load("questions_v").select(
         "question_id", "query", stats.alias("s"), lines("phase").alias("phases"), lines("therapeutic_area").alias("areas")
@@ -173,7 +173,7 @@ def trial_report(spark, sf_dir):
     load = loader(spark, sf_dir)
     trials = load("trials_v")
     joined = pf.results_with_trial(load("results_v"), trials).withColumn(
-        "s", pf.scalar(pf.portfolio_stats(trials))
+        "s", pf.scalar(pf.portfolio_stats(trials, scale=2))
     )
     metrics = sc.result_metrics()
     result = {c: F.col(c) for c in ("success_probability", "patients_completed", "patients_enrolled",

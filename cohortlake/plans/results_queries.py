@@ -16,7 +16,7 @@ SELECT count(*) AS total,
        count(*) FILTER (patients_completed > 0) AS completed
 FROM results_v""", "results_v"))
 def dashboard_stats(spark, sf_dir):
-    stats = rs.dashboard_stats(view(spark, sf_dir, "results_v"))
+    stats = rs.dashboard_stats(view(spark, sf_dir, "results_v"), scale=2)
     return stats.withColumns({c: F.round(c, 6) for c in ("avg_success", "avg_patients")})
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators import chat
-from cohortlake.operators.ordered import OrderedRows, find_hot_keys, first_per_group, number_all_rows
+from cohortlake.operators.ordered import (
+    OrderedRows, find_hot_keys, first_per_group, first_value, last_value, number_all_rows, position,
+)
 from cohortlake.sources.adapters import view
 
 
@@ -24,8 +26,9 @@ def test_cut_keys_equal_whole_keys(spark, skewed, hot_rows):
 
     def scan(limit):
         rows = OrderedRows.of(skewed, ["user_id"], ["ts", "event_id"], hot_rows=limit)
-        rows = rows.carry_last("seen", value, True).carry_last("before", value, False)
-        rows = rows.first_value("start", value).row_number("n").last_values("tail", F.col("event_id"), 5)
+        rows = rows.scan(seen=last_value(value), before=last_value(value, with_current=False),
+                         start=first_value(value), n=position())
+        rows = rows.last_values("tail", F.col("event_id"), 5)
         return rows, sorted((tuple(r) for r in rows.rows().collect()), key=lambda r: r[0])
 
     whole, want = scan(10**9)
