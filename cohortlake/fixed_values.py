@@ -60,6 +60,18 @@ ANSWER_DEFAULT_PROBABILITY = 0.65
 ANSWER_DEFAULT_CONFIDENCE = 0.75
 ANSWER_DEFAULT_EXPLANATION = "Prediction based on trial parameters and historical data"
 
+ANSWER_TEXT = (
+    "SUCCESS_PROBABILITY: {points}%\nCONFIDENCE: {confidence}%\nRISK_FACTORS: {risks}\n"
+    "EXPLANATION: This {phase} trial in {area} has a moderate success probability based on historical data. "
+    "The trial design appears feasible with {enrollment} patients over {years} years."
+)
+PREDICTION_TEXT = (
+    "**Clinical Trial Success Prediction**\n\n**Predicted Success Probability: {probability}%**\n"
+    "Confidence Score: {confidence}%\n\n**Identified Risk Factors:**\n{risks}\n**Analysis:**\n{explanation}\n\n"
+    "{mark} **Assessment**: {band}"
+)
+BAND_MARK = {"high": "✓", "moderate": "⚠", "low": "✗"}
+
 # Chat words: language, class, words
 CONFIRM_WORDS = {
     "en": ["yes", "confirm", "ok", "proceed", "y"],

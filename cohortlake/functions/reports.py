@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from cohortlake import fixed_values as V
+from cohortlake.functions.scoring import band_text, heuristic_points, pick, risk_band, risk_factors
 from cohortlake.functions.text import any_word, fill, fixed
 
 
@@ -16,6 +17,32 @@ def _lines(lines: list[str], **parts: Column) -> Column:
     return fill("\n".join(lines), **parts)
 
 
+def heuristic_answer(phase, area, enrollment, days, dropout_rate) -> Column:
+    """The heuristic prediction as a tagged answer, in the form ``parse_answer`` reads."""
+    return fill(
+        V.ANSWER_TEXT,
+        points=heuristic_points(phase, enrollment, dropout_rate).cast("string"),
+        confidence=F.lit(str(V.PREDICTION_CONFIDENCE)),
+        risks=F.array_join(risk_factors(dropout_rate, days, enrollment, area), ", "),
+        phase=F.coalesce(_col(phase), F.lit("")), area=F.coalesce(_col(area), F.lit("")),
+        enrollment=_col(enrollment).cast("string"), years=fixed(_col(days) / F.lit(365), 1),
+    )
+
+
+def prediction_text(answer: Column) -> Column:
+    """A parsed answer as readable text with numbered risks and the band's assessment."""
+    numbered = F.transform(
+        answer["risk_factors"], lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r, F.lit("\n"))
+    )
+    band = risk_band(answer["success_probability"])
+    return fill(
+        V.PREDICTION_TEXT,
+        probability=fixed(answer["success_probability"] * 100, 1), confidence=fixed(answer["confidence_score"] * 100, 1),
+        risks=F.array_join(numbered, ""), explanation=answer["explanation"],
+        mark=pick(band, V.BAND_MARK, None), band=band_text(band),
+    )
+
+
 def _advice_tests(enrollment, days, dropout_rate, simulated_dropout) -> dict[str, Column]:
     always = F.lit(True)
     return {

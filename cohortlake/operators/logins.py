@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions.access import client_ip, is_private, location_source
 from cohortlake.operators.ordered import first_per_group
+from cohortlake.schemas import LOGINS
 
 PLACE = ["country", "region", "city", "isp", "timezone"]
 
@@ -79,6 +80,17 @@ def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> Dat
     )
 
 
+def audit_rows(placed: DataFrame) -> DataFrame:
+    """Placed logins in the stored form of the login history, ready to append."""
+    present = set(placed.columns)
+    return placed.select(
+        *[
+            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in LOGINS.fields
+        ]
+    )
+
+
 def _newest(tie: str) -> list[Column]:
     return [F.desc("timestamp"), F.desc(tie)]
 

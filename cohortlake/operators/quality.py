@@ -71,6 +71,22 @@ def design_rules() -> list[Rule]:
     ]
 
 
+def flatten_design(df: DataFrame) -> DataFrame:
+    """Nested design records as the flat columns the rules and scores read."""
+    flat = [c for c in df.columns if c not in ("inclusion_criteria", "treatment_arms", "control_arm")]
+    age = lambda name, default: F.coalesce(F.col(f"inclusion_criteria.{name}"), F.lit(default)).alias(name)
+    return df.select(
+        *flat, age("min_age", 18), age("max_age", 75),
+        F.coalesce("control_arm", F.lit("Placebo")).alias("control_arm"),
+        F.coalesce(F.size("treatment_arms"), F.lit(0)).alias("arm_count"), "treatment_arms",
+    ).withColumns(
+        {
+            "expected_dropout_rate": F.coalesce("expected_dropout_rate", F.lit(0.15)),
+            "expected_success_rate": F.coalesce("expected_success_rate", F.lit(0.7)),
+        }
+    )
+
+
 def patient_rules() -> list[Rule]:
     """Bounds of patient demographics."""
     return [

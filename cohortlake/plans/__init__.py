@@ -7,6 +7,7 @@ from cohortlake.plans import (  # noqa: F401
     results_queries,
     scoring_queries,
     streaming_queries,
+    table_queries,
     user_queries,
 )
 from cohortlake.plans.registry import ORACLES, QUERIES

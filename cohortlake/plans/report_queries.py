@@ -48,6 +48,40 @@ def parse_answers(spark, sf_dir):
     )
 
 
+POINTS = """(CASE phase WHEN 'Phase I' THEN 70 WHEN 'Phase II' THEN 50 WHEN 'Phase III' THEN 60 WHEN 'Phase IV' THEN 75 ELSE 60 END
+  + CASE WHEN enrollment < 100 THEN -5 WHEN enrollment > 500 THEN 5 ELSE 0 END + CASE WHEN dropout_rate > 25e-2 THEN -10 ELSE 0 END)"""
+RISKS = """list_filter([CASE WHEN dropout_rate > 2e-1 THEN 'High expected dropout rate' END,
+  CASE WHEN duration_days > 730 THEN 'Long trial duration' END, CASE WHEN enrollment > 1000 THEN 'Large enrollment target' END,
+  CASE WHEN therapeutic_area = 'Oncology' THEN 'Complex therapeutic area' END], lambda x: x IS NOT NULL)"""
+EXPLAINED = (f"concat('This ', phase, ' trial in ', therapeutic_area, ' has a moderate success probability based on historical data. "
+             f"The trial design appears feasible with ', enrollment, ' patients over ', {_fixed('duration_days / 365', 1)}, ' years.')")
+
+
+@query(with_views(f"""
+SELECT trial_id, concat('SUCCESS_PROBABILITY: ', {POINTS}, '%\nCONFIDENCE: 75%\nRISK_FACTORS: ',
+       CASE WHEN len({RISKS}) = 0 THEN 'Standard trial risks' ELSE array_to_string({RISKS}, ', ') END,
+       '\nEXPLANATION: ', {EXPLAINED}) AS answer
+FROM trials_v""", "trials_v"))
+def heuristic_answers(spark, sf_dir):
+    answer = rp.heuristic_answer("phase", "therapeutic_area", "enrollment", "duration_days", "dropout_rate")
+    return view(spark, sf_dir, "trials_v").select("trial_id", answer.alias("answer"))
+
+
+@query(with_views(f"""
+SELECT trial_id, concat('**Clinical Trial Success Prediction**\n\n**Predicted Success Probability: ', {_fixed('p / 100e0 * 100', 1)},
+       '%**\nConfidence Score: 75.0%\n\n**Identified Risk Factors:**\n',
+       array_to_string(list_transform(risks, lambda r, i: concat(i, '. ', r, chr(10))), ''), '\n**Analysis:**\n', explained, '\n\n',
+       CASE WHEN p >= 70 THEN '✓ **Assessment**: High probability of success. Trial design appears robust.'
+            WHEN p >= 50 THEN '⚠ **Assessment**: Moderate probability. Consider risk mitigation strategies.'
+            ELSE '✗ **Assessment**: Lower probability. Significant protocol optimization recommended.' END) AS prediction
+FROM (SELECT trial_id, {POINTS} AS p, CASE WHEN len({RISKS}) = 0 THEN ['Standard trial risks'] ELSE {RISKS} END AS risks,
+             {EXPLAINED} AS explained FROM trials_v)""", "trials_v"))
+def prediction_texts(spark, sf_dir):
+    answer = rp.heuristic_answer("phase", "therapeutic_area", "enrollment", "duration_days", "dropout_rate")
+    parsed = view(spark, sf_dir, "trials_v").select("trial_id", tx.parse_answer(answer).alias("a"))
+    return parsed.select("trial_id", rp.prediction_text(F.col("a")).alias("prediction"))
+
+
 @query(with_views("""
 SELECT event_id, CASE WHEN json_valid(context) THEN json_extract_string(context, '$.k') END AS k,
        CASE WHEN NOT json_valid(context) THEN context END AS raw_context

@@ -162,6 +162,20 @@ def test_request_and_outcome_rules(spark):
     assert len(q.validate(scores, q.outcome_rules()).first().errors) == 2
 
 
+def test_nested_design(spark):
+    from cohortlake.schemas import DESIGN
+
+    row = dict.fromkeys(DESIGN.names)
+    row |= {"trial_name": "Trial", "phase": "Phase II", "drug_name": "D", "indication": "I", "target_enrollment": 200,
+            "inclusion_criteria": {"min_age": 18, "max_age": None, "required_biomarkers": ["x"], "excluded_conditions": []},
+            "duration_days": 730, "primary_endpoint": "P", "treatment_arms": ["a", "b"]}
+    flat = q.flatten_design(spark.createDataFrame([row], DESIGN))
+    got = flat.first()
+    assert (got.min_age, got.max_age, got.arm_count, got.control_arm) == (18, 75, 2, "Placebo")
+    assert (got.expected_dropout_rate, got.expected_success_rate) == (0.15, 0.7)
+    assert q.validate(flat, q.design_rules()).first().errors == []
+
+
 # ------------------------------------------------------------------ changes
 
 @pytest.fixture(scope="module")

@@ -160,3 +160,14 @@ def test_advice(spark):
     assert rows[1][0] == ["cost", "endpoint", "safety"]
     assert "Current duration: 2.0 years" in rows[0][1] and "(26.0%)" in rows[0][1] and "- Primary: OS" in rows[0][1]
     assert rows[1][1].startswith("**Trial Protocol Optimization Recommendations**\n\n\n**4. Cost")
+
+
+def test_heuristic_answer_is_read_back(spark):
+    df = spark.createDataFrame([("Phase III", "Oncology", 600, 731, 0.26)], "p string, a string, n int, d int, r double")
+    parsed = tx.parse_answer(rp.heuristic_answer("p", "a", "n", "d", "r"))
+    row = df.select(parsed.alias("a"), rp.prediction_text(parsed)).first()
+    assert (row.a.success_probability, row.a.confidence_score) == (0.55, 0.75)
+    assert row.a.risk_factors == ["High expected dropout rate", "Long trial duration", "Complex therapeutic area"]
+    assert row.a.explanation.endswith("feasible with 600 patients over 2.0 years.")
+    assert "Probability: 55.0%**" in row[1] and "3. Complex therapeutic area\n\n**Analysis:**" in row[1]
+    assert row[1].endswith("⚠ **Assessment**: Moderate probability. Consider risk mitigation strategies.")
