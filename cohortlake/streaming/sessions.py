@@ -57,14 +57,17 @@ def with_candidates(messages: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def _messages(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per message: its first own simulation and the named id's owner."""
-    ranked = rows.sort_values(["timestamp", "chat_id", "own_created", "own_id"], na_position="last")
-    return ranked.groupby(["timestamp", "chat_id"], sort=True, as_index=False).first()
+MESSAGE = ["timestamp", "chat_id", "forced_language", "detected_language", "own_id", "word", "field", "new_value",
+           "named_id", "named_owner", "problem", "only_id", "asks_translation", "translation_target"]
 
 
-def _text(value: object) -> str | None:
-    return None if value is None or pd.isna(value) else str(value)
+def _messages(rows: pd.DataFrame) -> Iterator[tuple]:
+    """One tuple per message in time order, with its first own simulation and the named id's owner."""
+    ranked = rows.sort_values(["timestamp", "chat_id", "own_created", "own_id"], na_position="last")
+    owners = ranked.dropna(subset=["named_owner"]).set_index("chat_id")["named_owner"].to_dict()
+    first = ranked.drop_duplicates("chat_id")
+    first = first.assign(named_owner=first["chat_id"].map(owners))[MESSAGE]
+    return zip(*[first[c].astype(object).where(first[c].notna(), None) for c in MESSAGE])
 
 
 def session_step(pending_seconds: float | None):
@@ -74,14 +77,14 @@ def session_step(pending_seconds: float | None):
         language, current, *request = state.get if state.exists else (None, None, *NO_REQUEST)
         request = tuple(request)
         out = []
-        for m in _messages(pd.concat(list(batches))).itertuples(index=False):
-            word, field, named_owner = _text(m.word), _text(m.field), _text(m.named_owner)
-            language = _text(m.forced_language) or language or m.detected_language
-            current = _text(m.own_id) or current
-            at = m.timestamp.timestamp()
+        for (time, chat_id, forced, detected, own_id, word, field, value, named_id, named_owner, problem, only_id,
+             asks_translation, translation_target) in _messages(pd.concat(list(batches))):
+            language = forced or language or detected
+            current = own_id or current
+            at = time.timestamp()
             if pending_seconds is not None and request[0] is not None and at - request[5] > pending_seconds:
                 request = NO_REQUEST
-            resolves, simulation, shown, value = None, None, field, _text(m.new_value)
+            resolves, simulation, shown = None, None, field
             if request[0] is not None and word:
                 resolves, simulation, shown, value = request[:4]
                 failed = word == "confirm" and request[4] is not None
@@ -89,19 +92,19 @@ def session_step(pending_seconds: float | None):
                 if not failed:
                     request = NO_REQUEST
             elif field:
-                simulation = (_text(m.named_id) if named_owner else None) or current or _text(m.only_id)
+                simulation = (named_id if named_owner else None) or current or only_id
                 if simulation is None:
                     action = "clarification"
                 elif named_owner and named_owner != key[0]:
                     action = "error"
                 else:
                     action = "update_request"
-                    request = (int(m.chat_id), simulation, field, value, _text(m.problem), at)
-            elif m.asks_translation:
-                action = "translation" if _text(m.translation_target) else "clarification"
+                    request = (int(chat_id), simulation, field, value, problem, at)
+            elif asks_translation:
+                action = "translation" if translation_target else "clarification"
             else:
                 action = "chat"
-            out.append((m.chat_id, key[0], m.timestamp, language, action, simulation or current, shown, value, resolves))
+            out.append((chat_id, key[0], time, language, action, simulation or current, shown, value, resolves))
         state.update((language, current, *request))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         yield frame.astype({"resolves": "Int64"})
