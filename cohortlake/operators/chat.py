@@ -132,17 +132,17 @@ def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -
     )
     acts = pending & F.col("word").isNotNull()
     resolved = lambda name: F.when(acts, F.col(f"_pending.{name}"))
+    translated = F.when(F.col("action_type") == "translation", F.col("translation_target"))
     out = rows.map(
         lambda df: df.withColumns(
             {
                 "action_type": action,
-                "reply_language": F.when(action == "translation", F.col("translation_target")).otherwise(F.col("language")),
                 "resolves": resolved("request_id"),
                 "simulation_id": F.coalesce(resolved("target_id"), "target_id", "current_id"),
                 "field": F.coalesce(resolved("field"), "field"),
                 "new_value": F.coalesce(resolved("new_value"), "new_value"),
             }
-        )
+        ).withColumn("reply_language", F.coalesce(translated, "language"))
     )
     return out.rows().select(
         "chat_id", "user_id", "timestamp", "message", "language", "reply_language", "action_type",
