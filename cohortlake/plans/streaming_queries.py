@@ -28,7 +28,8 @@ def _run_folder(spark) -> str:
 @query(ORACLES["message_intents"])
 def chat_ingest_stream(spark, sf_dir):
     root = _run_folder(spark)
-    append_stream(chat_events(_events_view(spark, sf_dir, "chat_v")), f"{root}/chat", f"{root}/progress").awaitTermination()
+    messages = chat_events(_events_view(spark, sf_dir, "chat_v"))
+    append_stream(messages, f"{root}/chat", f"{root}/progress", "chat_id").awaitTermination()
     return spark.read.parquet(f"{root}/chat").select(
         "chat_id", "word", "named_id", "field", "new_value", "asks_translation", "translation_target"
     )
@@ -42,7 +43,7 @@ FROM (SELECT login_id, coalesce(trim(string_split(x_forwarded_for, ',')[1]), x_r
 def login_ingest_stream(spark, sf_dir):
     root = _run_folder(spark)
     logins = login_events(_events_view(spark, sf_dir, "logins_v"))
-    append_stream(logins, f"{root}/logins", f"{root}/progress").awaitTermination()
+    append_stream(logins, f"{root}/logins", f"{root}/progress", "login_id").awaitTermination()
     return spark.read.parquet(f"{root}/logins").select("login_id", "ip_address", "private")
 
 

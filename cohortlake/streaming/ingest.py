@@ -36,10 +36,15 @@ def login_events(logins: DataFrame, delay: str = "1 hour") -> DataFrame:
     return once.withColumn("private", is_private("ip_address")).withColumn("day", F.to_date("timestamp"))
 
 
-def append_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write all available events to a table partitioned by day, then stop."""
+def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, files_per_day: int = 8) -> StreamingQuery:
+    """Write all available events to a table partitioned by day, then stop.
+
+    Rows of a day go to ``files_per_day`` tasks, chosen by the event id: enough
+    to share out a large day, and no file per day from every single task.
+    """
+    placed = events.repartition("day", F.pmod(F.xxhash64(key), F.lit(files_per_day)))
     return (
-        events.writeStream.format("parquet").outputMode("append")
+        placed.writeStream.format("parquet").outputMode("append")
         .partitionBy("day")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

@@ -74,10 +74,13 @@ def test_ingest_drops_repeats(spark, log, tmp_path):
     spark.read.parquet(path).coalesce(1).write.parquet(twice)
     spark.read.parquet(path).coalesce(1).write.mode("append").parquet(twice)
     stream = ingest.file_stream(spark, twice, messages.schema)
-    ingest.append_stream(ingest.chat_events(stream, "60 days"), f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    events = ingest.chat_events(stream, "60 days")
+    ingest.append_stream(events, f"{tmp_path}/out", f"{tmp_path}/progress", "chat_id", 2).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == messages.count()
     assert {"detected_language", "word", "field", "day"} <= set(got.columns)
+    files = got.select("day", F.input_file_name().alias("file")).distinct().groupBy("day").count()
+    assert files.agg(F.max("count")).first()[0] <= 2
 
 
 def test_change_stream_applies_each_batch_once(spark, sf_dir, tmp_path):
