@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from cohortlake import plans
 from tests.oracle import connect, differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.QUERIES, plans.ORACLES
 
 
 @pytest.fixture(scope="module")

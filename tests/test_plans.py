@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from cohortlake import plans
 
-QUERIES = entry.queries()
+QUERIES = plans.QUERIES
 SETTLED = [n for n in sorted(QUERIES) if not n.endswith("_stream")]
 # these settle rows in a pinned table before their last plan
 PINNED = {"result_pages", "register_users"}
