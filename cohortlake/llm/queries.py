@@ -5,8 +5,10 @@ from cohortlake.llm import (  # noqa: F401
     line_dedup,
     mixing,
     quality,
+    secrets,
     toxicity,
     url_filters,
+    warc,
 )
 from cohortlake.llm.registry import ORACLES, QUERIES
 
