@@ -36,9 +36,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fields(**kinds: str) -> T.StructType:
+def fields(**kinds: T.DataType) -> T.StructType:
     """A schema from name=type pairs, in the given order."""
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()])
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
 def as_row(docs: DataFrame) -> Column:

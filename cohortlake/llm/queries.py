@@ -6,6 +6,7 @@ from cohortlake.llm import (  # noqa: F401
     mixing,
     quality,
     secrets,
+    substring_dedup,
     toxicity,
     url_filters,
     warc,
