@@ -2,6 +2,7 @@
 
 from cohortlake.llm import (  # noqa: F401
     decontamination,
+    jaccard_join,
     line_dedup,
     mixing,
     quality,
