@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from cohortlake.session import shared_folder
 #: A word: any run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a task works on at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _MIX_1, _MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -50,23 +51,23 @@ def rows_back(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
-def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Cut a list of byte strings into runs of about ``most`` bytes, at least one each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t or b"")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def as_bytes(column: pa.Array) -> list:
     """The UTF-8 bytes of a string column; null gives None."""
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in pieces of about ``most`` bytes of one column, at least a row each, with that column's bytes."""
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0))
+    piece = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // most
+    starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        part = batch.slice(a, b - a)
+        yield part, as_bytes(part.column(column))
+
+
 def map_batches(
     df: DataFrame, schema: T.StructType, run: Callable[[pa.RecordBatch], Iterator[dict] | None]
 ) -> DataFrame:
@@ -195,23 +196,18 @@ def packed_text(docs: DataFrame, key: str, text: str, rest: list[str]) -> DataFr
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
         codec = pa.Codec("zstd", 3)
-        out = [
-            None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True)
-            for t in as_bytes(batch.column(1))
-        ]
-        yield {"key": batch.column(0), "packed": pa.array(out, pa.binary()),
-               **{c: batch.column(i + 2) for i, c in enumerate(rest)}}
+        for part, texts in text_slices(batch, 1):
+            out = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
+            yield {"key": part.column(0), "packed": pa.array(out, pa.binary()),
+                   **{c: part.column(i + 2) for i, c in enumerate(rest)}}
 
     return map_batches(docs.select(key, text, *rest), schema, pack)
 
 
-def unpacked(column: pa.Array) -> list:
-    """The texts of a packed column as bytes; null gives None."""
+def unpacked(packed: list) -> list:
+    """The texts of packed ones; null gives None."""
     codec = pa.Codec("zstd")
-    return [
-        None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True)
-        for p in column.to_pylist()
-    ]
+    return [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in packed]
 
 
 def sha256_hex(value: bytes) -> str:

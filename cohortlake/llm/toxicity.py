@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import as_bytes, map_batches
+from cohortlake.llm.common import map_batches, stored, text_slices
 from cohortlake.llm.registry import query, table
 
 #: Sample that the classifier is fitted on: confirmed examples and unlabelled texts at most, by the hash of their id.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
-#: A word is a feature if so many texts of the sample hold it; so many features at most, the most frequent ones.
-LEAST_TEXTS, MOST_FEATURES = 8, 20_000
+#: A word is a feature if so many texts of the sample hold it and its shares of confirmed and of unlabelled texts
+#: lie so many standard deviations apart; so many features at most, those furthest apart.
+LEAST_TEXTS, LEAST_DEVIATIONS, MOST_FEATURES = 8, 4.0, 5_000
 FOLDS = 5
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 #: Share of positives taken when no label tells it.
@@ -46,40 +47,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.constant, -30, 30)))
 
 
-def fitted(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
+def fitted(rows: list[np.ndarray], is_p: np.ndarray, names: list[bytes], prior: float) -> Model:
     """Minimise the class-prior-corrected risk with the correction for a negative part.
 
-    With g the sigmoid loss, the risk is ``prior * R_p(+)`` plus the risk of
-    the unlabelled texts as negatives less ``prior * R_p(-)``. Where that second
-    part falls below 0 the step goes up its gradient, so that the classifier
-    does not learn the sample by heart.
+    ``rows`` holds the feature numbers of each text, ``is_p`` tells confirmed
+    examples from unlabelled texts. The risk is ``prior * R_p(+)`` plus the
+    risk of the unlabelled texts as negatives less ``prior * R_p(-)``, with the
+    logistic loss. Where that second part falls below 0 the step goes up its
+    gradient, so that the classifier does not learn the sample by heart.
     """
-    if not positive:
+    n_p, n_u = int(is_p.sum()), max(1, int((~is_p).sum()))
+    if not n_p:
         return Model({}, -30.0)
-    sets = [distinct_words(t) for t in positive + unlabelled]
-    seen: dict[bytes, int] = {}
-    for s in sets:
-        for w in s:
-            seen[w] = seen.get(w, 0) + 1
-    names = sorted((w for w, n in seen.items() if n >= LEAST_TEXTS), key=lambda w: (-seen[w], w))[:MOST_FEATURES]
-    number = {w: i for i, w in enumerate(names)}
-    rows = [sorted(number[w] for w in s if w in number) for s in sets]
-    index = np.fromiter((i for r in rows for i in r), np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_p, n_u = len(positive), max(1, len(unlabelled))
-    is_p = np.arange(len(rows)) < n_p
+    index = np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     weights, constant = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weights[index], len(rows)) + constant
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # sigmoid loss: l(+) = 1 - s, l(-) = s; the derivative of s is s (1 - s)
-        slope = s * (1 - s)
-        negative = s[~is_p].mean() if len(unlabelled) else 0.0
-        if negative - prior * s[is_p].mean() >= 0:
-            per_text = np.where(is_p, -2 * prior / n_p, 1 / n_u) * slope
+        # logistic loss: the derivatives of l(+) and l(-) are s - 1 and s
+        as_negative = np.logaddexp(0, z)
+        if as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].mean() >= 0:
+            per_text = np.where(is_p, -prior / n_p, s / n_u)
         else:
-            per_text = np.where(is_p, prior / n_p, -1 / n_u) * slope
+            per_text = np.where(is_p, prior * s / n_p, -s / n_u)
         grad = np.append(np.bincount(index, per_text[row], len(names)) + RIDGE * weights, per_text.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -92,10 +84,45 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(-1))
 
 
-def first_rows(df: DataFrame, most: int) -> list[bytes]:
-    """At most ``most`` texts by the hash of their id: the same whatever the partitioning."""
-    rows = df.select(F.xxhash64("_key").alias("h"), "_key", "_text").orderBy("h", "_key", "_text").limit(most)
-    return [r._text.encode() for r in rows.collect()]
+def sample(texts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` different texts by a hash of key and text: the same whatever the partitioning.
+
+    Only hashes are ranked; the texts then join the chosen ones.
+    """
+    hashed = texts.withColumn("_h", F.xxhash64("_key", "_text"))
+    chosen = stored(hashed.select("_h").distinct().orderBy("_h").limit(most), "chosen")
+    return hashed.join(chosen, "_h").dropDuplicates(["_h"]).select("_h", "_text")
+
+
+def word_lists(texts: DataFrame, numbers: dict[bytes, int] | None) -> DataFrame:
+    """Distinct words of each text, or, with ``numbers``, those words' numbers packed as 32-bit integers."""
+    words = T.ArrayType(T.BinaryType()) if numbers is None else T.BinaryType()
+    schema = T.StructType([T.StructField("p", T.BooleanType()), T.StructField("words", words)])
+    shared = texts.sparkSession.sparkContext.broadcast(numbers)  # MOST_FEATURES words at most
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        known = shared.value
+        for part, texts in text_slices(batch, 1):
+            sets = [distinct_words(t) for t in texts]
+            if known is None:
+                lists = pa.array([sorted(s) for s in sets], pa.list_(pa.binary()))
+            else:
+                lists = pa.array([np.array(sorted(known[w] for w in s if w in known), np.int32).tobytes() for s in sets], pa.binary())
+            yield {"p": part.column(0), "words": lists}
+
+    return map_batches(texts.select("p", "_text"), schema, run)
+
+
+def features(lists: DataFrame, n_p: int, n_u: int) -> list[bytes]:
+    """The words that tell confirmed from unlabelled texts, the clearest first."""
+    counted = lists.select("p", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count_if("p").alias("p"), F.count_if(~F.col("p")).alias("u"))
+    share_p, share_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + 0.5) / F.lit(float(n_u + 1))
+    spread = F.sqrt(share_u * (1 - share_u) * F.lit(1 / max(1, n_p) + 1 / max(1, n_u)))
+    apart = F.round(F.abs(share_p - share_u) / spread, 6)
+    told = counted.where((F.col("p") + F.col("u") >= LEAST_TEXTS) & (F.col("u") <= n_u) & (share_u < 1)).withColumn("apart", apart)
+    best = told.where(F.col("apart") >= LEAST_DEVIATIONS).orderBy(F.desc("apart"), "word").limit(MOST_FEATURES)
+    return [bytes(r.word) for r in best.collect()]
 
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -103,8 +130,10 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """Fit the classifier on confirmed examples and unlabelled texts outside the held-out fold.
 
     The class prior is the share of positives among the labelled ids outside
-    that fold. The sample is bounded by its two parameters. A document with
-    several labels counts as confirmed if one of them is 1.
+    that fold. The sample is bounded by its two parameters; its words are
+    counted in tasks, and the driver gets the features and one packed list of
+    their numbers per text. A document with several labels counts as confirmed
+    if one of them is 1.
     """
     outside = fold(F.col("_key")) != 0
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").where(outside)
@@ -114,9 +143,12 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     )
     count, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_label") == 1, 1).otherwise(0))).first()
     prior = toxic / count if count else DEFAULT_PRIOR
-    positive = first_rows(texts.join(known.where("_label = 1"), "_key"), most_positive)
-    unlabelled = first_rows(texts, most_unlabelled)
-    return fitted(positive, unlabelled, prior)
+    positive = sample(texts.join(stored(known.where("_label = 1"), "toxic"), "_key").select("_key", "_text"), most_positive)
+    both = stored(positive.withColumn("p", F.lit(True)).union(sample(texts, most_unlabelled).withColumn("p", F.lit(False))), "sample")
+    names = features(word_lists(both, None), *both.agg(F.count_if("p"), F.count_if(~F.col("p"))).first())
+    lists = word_lists(both.orderBy("p", "_h"), {w: i for i, w in enumerate(names)}).toArrow()
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in lists["words"]]
+    return fitted(rows, np.array(lists["p"].to_pylist(), bool), names, prior)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,8 +164,8 @@ def toxicity_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     schema = T.StructType([source.schema["_key"], T.StructField("score", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        scores = shared.value.scores(as_bytes(batch.column(1)))
-        yield {"_key": batch.column(0), "score": pa.array(np.round(scores, 12))}
+        for part, texts in text_slices(batch, 1):
+            yield {"_key": part.column(0), "score": pa.array(np.round(shared.value.scores(texts), 12))}
 
     scored = map_batches(source, schema, run)
     return scored.select(
