@@ -4,13 +4,8 @@ Everything here has to hold exactly these values for results to be right.
 """
 
 PHASES = ["Phase I", "Phase II", "Phase III", "Phase IV"]
-STATUSES = ["Planning", "Active", "Completed", "Terminated", "Suspended"]
 GENDERS = ["Male", "Female", "Other"]
 SEVERITIES = ["Mild", "Moderate", "Severe", "Life-threatening"]
-AREAS = [
-    "Oncology", "Cardiology", "Neurology", "Infectious Disease",
-    "Immunology", "Endocrinology", "Gastroenterology", "Respiratory",
-]
 AGENT_TYPES = ["research", "prediction", "optimization", "report"]
 
 # Portfolio statistics used when a column does not exist

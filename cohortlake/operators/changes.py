@@ -59,7 +59,7 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str = "simulation_i
         name: F.coalesce(as_type(F.col(f"_new_{name}"), kind), F.col(name)) for name, kind in kinds.items()
     }
     if "updated_at" in table.columns:
-        new["updated_at"] = F.coalesce(F.col("_at").cast(table.schema["updated_at"].dataType), F.col("updated_at"))
+        new["updated_at"] = F.greatest(F.col("_at").cast(table.schema["updated_at"].dataType), F.col("updated_at"))
     return table.join(latest, key, "left").select(
         *[new[c].alias(c) if c in new else F.col(c) for c in table.columns]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions import text as tx
-from cohortlake.operators.changes import change_problem, changeable
+from cohortlake.operators.changes import as_type, change_problem, changeable
 from cohortlake.operators.ordered import (
     HotKeys, OrderedRows, find_hot_keys, first_per_group, first_value, last_value,
 )
@@ -189,3 +189,26 @@ def chat_history(messages: DataFrame, user_id: str, limit: int = 50) -> DataFram
     """One user's newest messages, oldest first."""
     own = messages.where(F.col("user_id") == F.lit(user_id))
     return own.orderBy(F.desc("timestamp"), F.desc("chat_id")).limit(limit).orderBy(*ORDER)
+
+
+def with_old_values(outcome: DataFrame, results: DataFrame) -> DataFrame:
+    """Adds ``old_value``: what a message's field held when the message came.
+
+    That is the value of the last executed update of the same result and field
+    before the message, else the stored one, as text. Each (result, field) is
+    scanned in time order; one with many messages is cut into ranges like a
+    large user.
+    """
+    kinds = changeable(results.schema, "simulation_id")
+    asked = outcome.where(F.col("action_type").isin("update_request", "update_executed"))
+    rows = asked.join(
+        results.select(F.col("simulation_id").alias("_of"), *[F.col(c).cast("string").alias(f"_old_{c}") for c in kinds]),
+        F.col("simulation_id") == F.col("_of"), "left")
+    stored = F.coalesce(*[F.when(F.col("field") == c, F.col(f"_old_{c}")) for c in kinds])
+    rows = rows.withColumn("_stored", stored).drop("_of", *[f"_old_{c}" for c in kinds])
+    keys, order = ["simulation_id", "field"], ["timestamp", "chat_id"]
+    ordered = OrderedRows.of(rows, keys, order, find_hot_keys(rows, keys))
+    typed = F.coalesce(*[F.when(F.col("field") == c, as_type(F.col("new_value"), kind).cast("string")) for c, kind in kinds.items()])
+    done = F.when(F.col("action_type") == "update_executed", typed)
+    changed = ordered.scan(_changed=last_value(done, with_current=False)).rows()
+    return changed.withColumn("old_value", F.coalesce("_changed", "_stored")).drop("_changed", "_stored")

@@ -18,13 +18,16 @@ def with_address(logins: DataFrame) -> DataFrame:
 def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
     """Place columns from a table of addresses; defaults for private and unknown ones.
 
-    Private addresses need no place. They get spread-out join keys so that a
+    Of several places of one address the first in the order of their columns
+    counts, so a login stays one row. Private addresses need no place. They get spread-out join keys so that a
     large share of them does not meet in one task.
     """
     private = is_private("ip_address")
     spread = F.concat(F.lit("private "), F.pmod(F.xxhash64("login_id"), F.lit(4096)).cast("string"))
-    dim = places.select(
-        F.col("ip_address").alias("_key"), *[F.col(c).alias(f"_{c}") for c in (*PLACE, "latitude", "longitude")]
+    columns = (*PLACE, "latitude", "longitude")
+    dim = (
+        places.groupBy(F.col("ip_address").alias("_key")).agg(F.min(F.struct(*columns)).alias("_one"))
+        .select("_key", *[F.col(f"_one.{c}").alias(f"_{c}") for c in columns])
     )
 
     def filled(name: str, default: str, local: str | None = None) -> Column:
@@ -47,7 +50,8 @@ def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
 def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> DataFrame:
     """Place columns from a table of coordinates, compared after rounding.
 
-    Logins without coordinates are labelled and kept; their join keys are
+    Of several places in one cell the first in the order of their columns
+    counts, so a login stays one row. Logins without coordinates are labelled and kept; their join keys are
     spread out because they can never match.
     """
     known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
@@ -56,9 +60,8 @@ def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> Dat
     def cell(name: str) -> Column:
         return F.floor(F.col(name) * scale + 0.5)
 
-    dim = places.select(
-        cell("latitude").alias("_lat"), cell("longitude").alias("_lon"),
-        F.struct("country", "state", "region", "city", "town", "village").alias("_place"),
+    dim = places.groupBy(cell("latitude").alias("_lat"), cell("longitude").alias("_lon")).agg(
+        F.min(F.struct("country", "state", "region", "city", "town", "village")).alias("_place")
     )
     spread = -F.pmod(F.xxhash64("login_id"), F.lit(4096)) - F.lit(1_000_000_000)
     keyed = logins.withColumns(

@@ -73,23 +73,28 @@ def eligible_patients(trials: DataFrame, patients: DataFrame) -> DataFrame:
 def eligible_pool_size(trials: DataFrame, patients: DataFrame) -> DataFrame:
     """How many patients of the whole pool fit each trial's age range.
 
-    Ages are whole years from 18 to 100, so the pool is reduced to a running
-    count per age (one short array) and each trial subtracts two entries: no
-    patient-trial pairs are built.
+    Ages are whole years, so the pool is reduced to a count per age that
+    occurs, and to the running count of the ages up to each year of their span
+    (one short array); each trial subtracts two entries, and no patient-trial
+    pairs are built.
     """
-    first, last = 18, 100
-    ages = patients.where(F.col("age").between(first, last)).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
-    entries = ages.agg(F.collect_list(F.struct("age", "n")).alias("_ages"))
+    ages = patients.where(F.col("age").isNotNull()).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
+    entries = ages.agg(
+        F.collect_list(F.struct("age", "n")).alias("_ages"),
+        F.coalesce(F.min("age"), F.lit(0)).alias("first"), F.coalesce(F.max("age"), F.lit(0)).alias("last"),
+    )
 
     def up_to(age: Column) -> Column:
         younger = F.filter("_ages", lambda e: e["age"] <= age)
         return F.aggregate(younger, F.lit(0).cast("bigint"), lambda total, e: total + e["n"])
 
-    # entry 1 is zero, entry i + 1 counts ages 18 to 17 + i
-    running = entries.select(F.transform(F.sequence(F.lit(first - 1), F.lit(last)), up_to).alias("upto"))
-    low, high = F.greatest("min_age", F.lit(first)), F.least("max_age", F.lit(last))
+    # entry 1 is zero, entry i + 1 counts the first i years of the span
+    running = entries.select(
+        "first", "last", F.transform(F.sequence(F.col("first") - 1, F.col("last")), up_to).alias("upto"))
+    first, last = F.col("_pool.first"), F.col("_pool.last")
+    low, high = F.greatest("min_age", first), F.least("max_age", last)
     counts = F.col("_pool.upto")
-    eligible = F.element_at(counts, high - (first - 2)) - F.element_at(counts, low - (first - 1))
+    eligible = F.element_at(counts, high - first + 2) - F.element_at(counts, low - first + 1)
     return trials.withColumn("_pool", scalar(running)).select(
         "trial_id", "min_age", "max_age",
         F.when(low <= high, eligible).otherwise(F.lit(0)).cast("bigint").alias("eligible"),

@@ -27,7 +27,7 @@ def portfolio_stats(trials: DataFrame, scale: int | None = None) -> DataFrame:
 
     def average(name: str) -> Column:
         if name not in trials.columns:
-            return F.first(F.lit(V.DEFAULT_STATS[name]))
+            return F.coalesce(F.first(F.lit(V.DEFAULT_STATS[name])), F.lit(V.DEFAULT_STATS[name]))
         if name == "success":
             return F.avg(F.col(name).cast("int"))
         return mean(name, scale if name in ("dropout_rate", "cost_usd") else None)
@@ -77,24 +77,35 @@ def _newest_first() -> list[Column]:
 
 def similar_trials(trials: DataFrame, area: str, phase: str, limit: int = 5) -> DataFrame:
     """At most ``limit`` (1 to 20) trials of the same area and phase, newest first."""
-    if not 1 <= limit <= 20:
-        raise ValueError("limit must be 1 to 20")
+    if not 1 <= limit <= MOST_SIMILAR:
+        raise ValueError(f"limit must be 1 to {MOST_SIMILAR}")
     same = (F.col("therapeutic_area") == area) & (F.col("phase") == phase)
     return trials.where(same).orderBy(*_newest_first()).limit(limit)
 
 
-def similar_trials_for(requests: DataFrame, trials: DataFrame, most: int = 20) -> DataFrame:
-    """Similar trials for a table of requests (therapeutic_area, phase, limit).
+MOST_SIMILAR = 20
 
-    Each (area, phase) is first cut to the ``most`` newest trials, so what
-    joins the requests does not grow with the number of trials.
+
+def limit_fits() -> Column:
+    return F.coalesce(F.col("limit").between(1, MOST_SIMILAR), F.lit(False))
+
+
+def similar_trials_for(requests: DataFrame, trials: DataFrame) -> DataFrame:
+    """Similar trials for a table of requests (therapeutic_area, phase, limit), as many as each asks for.
+
+    Requests with a limit outside 1 to MOST_SIMILAR are refused whole, see
+    :func:`refused_requests`. No request can see more than MOST_SIMILAR trials,
+    so each (area, phase) sends no more of them, however many it has.
     """
     newest = first_per_group(
-        trials.where(F.col("phase").isNotNull()), ["therapeutic_area", "phase"], _newest_first(), most
-    )
-    return requests.join(newest, ["therapeutic_area", "phase"]).where(
-        F.col("rank") <= F.least(F.col("limit"), F.lit(most))
+        trials.where(F.col("phase").isNotNull()), ["therapeutic_area", "phase"], _newest_first(), MOST_SIMILAR
     )
+    return requests.where(limit_fits()).join(newest, ["therapeutic_area", "phase"]).where(F.col("rank") <= F.col("limit"))
+
+
+def refused_requests(requests: DataFrame) -> DataFrame:
+    """Requests for similar trials whose limit is not allowed, with the reason."""
+    return requests.where(~limit_fits()).withColumn("reason", F.lit(f"limit must be 1 to {MOST_SIMILAR}"))
 
 
 def trial_history(trials: DataFrame, phase: str | None = None, area: str | None = None,

@@ -231,27 +231,30 @@ def _text_sql(templates: dict[str, str], old: str) -> str:
     return f"CASE r.language WHEN 'hi' THEN {parts[0]} WHEN 'bn' THEN {parts[1]} ELSE {parts[2]} END"
 
 
-OLD = """CASE r.field WHEN 'patients_enrolled' THEN CAST(s.patients_enrolled AS VARCHAR)
- WHEN 'dropout_rate' THEN CAST(s.dropout_rate AS VARCHAR) END"""
+# the value before the request: of the last executed update of the same field, else the stored one
+OLD = """coalesce(r.changed, CASE r.field WHEN 'patients_enrolled' THEN CAST(s.patients_enrolled AS VARCHAR)
+ WHEN 'patients_completed' THEN CAST(s.patients_completed AS VARCHAR)
+ WHEN 'dropout_rate' THEN CAST(s.dropout_rate AS VARCHAR) WHEN 'estimated_cost' THEN CAST(s.estimated_cost AS VARCHAR)
+ WHEN 'success_probability' THEN CAST(s.success_probability AS VARCHAR)
+ WHEN 'actual_duration_days' THEN CAST(s.actual_duration_days AS VARCHAR) WHEN 'confidence_interval' THEN s.confidence_interval WHEN 'trial_id' THEN s.trial_id
+ WHEN 'user_id' THEN s.user_id END)"""
+TYPED = """CASE WHEN field IN ('dropout_rate', 'estimated_cost', 'success_probability') THEN CAST(CAST(new_value AS DOUBLE) AS VARCHAR)
+ WHEN field IN ('patients_enrolled', 'patients_completed', 'actual_duration_days') THEN CAST(CAST(new_value AS INT) AS VARCHAR) ELSE new_value END"""
 
 
 @query(_chat_sql(f"""
 SELECT r.chat_id, CASE r.action_type WHEN 'update_request' THEN {_text_sql(V.UPDATE_REQUEST_TEXT, OLD)}
        ELSE {_text_sql(V.UPDATE_DONE_TEXT, OLD)} END AS reply
-FROM routed r LEFT JOIN results_v s ON r.simulation_id = s.simulation_id
-WHERE r.action_type IN ('update_request', 'update_executed')""", CLASSIFIED, FOUND, SESSION, ROUTED))
+FROM (SELECT *, last_value(CASE WHEN action_type = 'update_executed' THEN {TYPED} END IGNORE NULLS) OVER (
+        PARTITION BY simulation_id, field ORDER BY timestamp, chat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS changed
+      FROM routed WHERE action_type IN ('update_request', 'update_executed')) r
+LEFT JOIN results_v s ON r.simulation_id = s.simulation_id""", CLASSIFIED, FOUND, SESSION, ROUTED))
 def update_replies(spark, sf_dir):
     load = loader(spark, sf_dir)
     results = load("results_v")
-    routed = chat.route(load("chat_v"), results).where(
-        F.col("action_type").isin("update_request", "update_executed")
-    )
-    old = F.when(F.col("field") == "patients_enrolled", F.col("patients_enrolled").cast("string")).when(
-        F.col("field") == "dropout_rate", F.col("dropout_rate").cast("string")
-    )
-    args = ("language", "simulation_id", "field", old, "new_value")
-    stored = results.select("simulation_id", "patients_enrolled", "dropout_rate")
-    return routed.join(stored, "simulation_id", "left").select(
+    outcome = chat.with_old_values(chat.route(load("chat_v"), results), results)
+    args = ("language", "simulation_id", "field", F.col("old_value"), "new_value")
+    return outcome.select(
         "chat_id",
         F.when(F.col("action_type") == "update_request", tx.request_text(*args)).otherwise(tx.done_text(*args)).alias("reply"),
     )

@@ -154,25 +154,33 @@ def similar_trials(spark, sf_dir):
 
 
 SIMILAR_REQUESTS = """
-SELECT therapeutic_area, phase, CAST(max(enrollment % 25) AS INT) AS "limit" FROM trials_v
+SELECT therapeutic_area, phase, CAST((min(enrollment) * 7 + max(enrollment)) % 25 AS INT) AS "limit" FROM trials_v
 WHERE phase IS NOT NULL GROUP BY therapeutic_area, phase"""
 
 
+def _similar_requests(trials):
+    """One request per area and phase; some ask for more than is allowed."""
+    named = trials.where(F.col("phase").isNotNull())
+    return named.groupBy("therapeutic_area", "phase").agg(((F.min("enrollment") * 7 + F.max("enrollment")) % 25).alias("limit"))
+
+
+@query(with_views(f"""
+SELECT therapeutic_area, phase, "limit", 'limit must be 1 to 20' AS reason
+FROM ({SIMILAR_REQUESTS}) WHERE "limit" < 1 OR "limit" > 20""", "trials_v"))
+def similar_trials_refused(spark, sf_dir):
+    return pf.refused_requests(_similar_requests(view(spark, sf_dir, "trials_v")))
+
+
 @query(with_views(f"""
 SELECT q.therapeutic_area, q.phase, q."limit", t.trial_id, CAST(t.rank AS INT) AS rank
 FROM ({SIMILAR_REQUESTS}) q JOIN (
   SELECT *, row_number() OVER (PARTITION BY therapeutic_area, phase ORDER BY start_date DESC, trial_id) AS rank
   FROM trials_v WHERE phase IS NOT NULL) t
 ON q.therapeutic_area = t.therapeutic_area AND q.phase = t.phase
-WHERE t.rank <= least(q."limit", 20)""", "trials_v"))
+WHERE q."limit" BETWEEN 1 AND 20 AND t.rank <= q."limit" """, "trials_v"))
 def similar_trials_by_request(spark, sf_dir):
     trials = view(spark, sf_dir, "trials_v")
-    requests = (
-        trials.where(F.col("phase").isNotNull())
-        .groupBy("therapeutic_area", "phase")
-        .agg(F.max(F.col("enrollment") % 25).alias("limit"))
-    )
-    return pf.similar_trials_for(requests, trials).select(
+    return pf.similar_trials_for(_similar_requests(trials), trials).select(
         "therapeutic_area", "phase", "limit", "trial_id", "rank"
     )
 

@@ -2,11 +2,11 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from cohortlake.operators import logins as lg
 from cohortlake.plans.registry import query
-from cohortlake.schemas import LOGINS, RESULTS
+from cohortlake.schemas import CHAT, LOGINS, RESULTS
 from cohortlake.session import shared_folder
 from cohortlake.sources import tables as tb
 from cohortlake.sources.adapters import loader, view, with_views
@@ -92,3 +92,32 @@ def login_history(spark, sf_dir):
     return tb.read_table(spark, path, LOGINS).select(
         "user_id", "ip_address", "country", "city", F.col("timestamp").cast("string").alias("logged_at")
     )
+
+
+@query(with_views("""
+SELECT CAST(user_id AS VARCHAR) AS user_id, message, 'en' AS language, 'chat' AS action_type, '' AS simulation_id,
+  count(*) AS rows, count(*) AS ids FROM chat_v GROUP BY user_id, message""", "chat_v"))
+def chat_append(spark, sf_dir):
+    """Messages appended with an id and a time of their own, counted by what was said."""
+    rows = view(spark, sf_dir, "chat_v").select(
+        F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("simulation_id"), "message",
+        F.lit("").alias("response"), F.lit("en").alias("language"), F.lit("chat").alias("action_type"),
+    )
+    path = _folder(spark)
+    tb.create_if_absent(spark, path, CHAT)
+    tb.append(tb.chat_to_append(rows), path)
+    stored = tb.read_table(spark, path, CHAT).where(F.col("timestamp").isNotNull())
+    return stored.groupBy("user_id", "message", "language", "action_type", "simulation_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("chat_id").alias("ids"))
+
+
+@query(with_views("""
+SELECT form_id, patients_enrolled, dropout_percent FROM forms_v WHERE dropout_percent = 'n/a'""", "forms_v"))
+def csv_rejects(spark, sf_dir):
+    """Rows of a CSV file whose values do not fit their declared types."""
+    path = _folder(spark)
+    forms = view(spark, sf_dir, "forms_v").select("form_id", "patients_enrolled", "dropout_percent")
+    tb.export(forms, path, "csv")
+    declared = T.StructType([T.StructField("form_id", T.LongType()), T.StructField("patients_enrolled", T.IntegerType()),
+                             T.StructField("dropout_percent", T.DoubleType())])
+    return tb.csv_rejects(spark, path, declared).withColumn("form_id", F.col("form_id").cast("long"))

@@ -26,6 +26,18 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
     )
 
 
+def csv_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a CSV table that hold a value that does not fit its declared type, as text.
+
+    These are the values that :func:`read_csv_table` gives as null.
+    """
+    text = read_csv_table(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
+    broken = F.lit(False)
+    for f in schema:
+        broken = broken | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    return text.where(broken)
+
+
 def load_csv_as_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType) -> DataFrame:
     """Bring CSV files into a Parquet table and return that table."""
     read_csv_table(spark, source, schema).write.mode("overwrite").parquet(target)

@@ -2,25 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortlake.operators.changes import apply_changes
-from cohortlake.sources.versions import is_committed, read_current, replace_table
+from cohortlake.operators.changes import apply_changes, change_problem, changeable, last_per_key
+from cohortlake.sources.versions import current_version, is_committed, read_current, replace_table
 
+ORDER = ("changed_at", "change_id")
 
-def apply_change_stream(changes: DataFrame, table_path: str, checkpoint: str, name: str = "changes") -> StreamingQuery:
+
+def latest_marks(changes: DataFrame, key: str) -> DataFrame:
+    """The place in time of the last change of each (key, field)."""
+    return last_per_key(changes.select(key, "field", *ORDER), [key, "field"], list(ORDER))
+
+
+def read_marks(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return read_current(spark, path) if current_version(spark, path) else like.limit(0)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
+def apply_change_stream(changes: DataFrame, table_path: str, checkpoint: str, name: str = "changes",
+                        key: str = "simulation_id") -> StreamingQuery:
     """Run the change job for each micro-batch.
 
-    The commit row carries the batch's name, so a batch that Spark repeats
-    after a failure is not applied twice.
+    A batch is named by the stream's checkpoint and its number, and the commit
+    row carries the name: a batch that Spark repeats after a failure is not
+    applied twice, and another stream's batches are never taken for it.
+
+    Beside the table a second one holds when each (key, field) was last
+    changed. A change that arrives after a later one of its field does not
+    count. The marks are written before the table; a batch that died between
+    finds its own marks, which are not later than its changes.
     """
+    marks_path = f"{table_path}-marks"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        label = f"{name}-{batch_id}"
+        label = f"{name}-{checkpoint}-{batch_id}"
         spark = batch.sparkSession
-        if not is_committed(spark, table_path, label):
-            replace_table(apply_changes(read_current(spark, table_path), batch), table_path, label)
+        if is_committed(spark, table_path, label):
+            return
+        version = current_version(spark, table_path)
+        table = read_current(spark, table_path)
+        kinds = changeable(table.schema, key)
+        good = batch.where(change_problem(F.col("field"), F.col("value"), kinds).isNull())
+        own = latest_marks(good, key)
+        known = read_marks(spark, marks_path, own)
+        before = known.withColumnsRenamed({c: f"_{c}" for c in known.columns})
+        at, seen = F.struct(*ORDER), F.struct(*[F.col(f"_{c}") for c in ORDER])
+        fresh = good.join(before, (F.col(key) == F.col(f"_{key}")) & (F.col("field") == F.col("_field")), "left").where(
+            F.col("_field").isNull() | (at >= seen)).select(*batch.columns)
+        if not is_committed(spark, marks_path, label):
+            replace_table(latest_marks(known.unionByName(own), key), marks_path, label)
+        replace_table(apply_changes(table, fresh, key), table_path, label, version)
 
     return (
         changes.writeStream.foreachBatch(apply)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,35 +19,58 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def once_per_id(events: DataFrame, key: str, delay: str) -> DataFrame:
-    """Drop repeats of an event id that arrive within the delay; state is let go after it."""
-    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return timed.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])
+def chat_events(messages: DataFrame) -> DataFrame:
+    """Messages with language, word and intent columns and a day."""
+    timed = messages.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return classify(timed).withColumn("day", F.to_date("timestamp"))
 
 
-def chat_events(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Messages once each, with language, word and intent columns and a day."""
-    once = once_per_id(messages, "chat_id", delay)
-    return classify(once).withColumn("day", F.to_date("timestamp"))
+def login_events(logins: DataFrame) -> DataFrame:
+    """Logins with client address, private flag and a day."""
+    timed = with_address(logins.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    return timed.withColumn("private", is_private("ip_address")).withColumn("day", F.to_date("timestamp"))
 
 
-def login_events(logins: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Logins once each, with client address, private flag and a day."""
-    once = with_address(once_per_id(logins, "login_id", delay))
-    return once.withColumn("private", is_private("ip_address")).withColumn("day", F.to_date("timestamp"))
+def not_stored(batch: DataFrame, path: str, key: str) -> DataFrame:
+    """The batch's events whose id the table does not hold yet, each id once.
+
+    An event that is sent again carries its own time, so only the days of the
+    batch are looked up. Events without an id are all kept.
+    """
+    named = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    spark = batch.sparkSession
+    try:
+        table = spark.read.schema(batch.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        days = [r.day for r in named.select("day").distinct().collect()]  # one row per day of a micro-batch
+        dated = F.col("day").isin([d for d in days if d is not None])
+        held = table.where(dated | F.col("day").isNull() if None in days else dated)
+        named = named.join(held.select(key), key, "left_anti").select(batch.columns)
+    return named.union(batch.where(F.col(key).isNull()))
 
 
-def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, files_per_day: int = 8) -> StreamingQuery:
-    """Write all available events to a table partitioned by day, then stop.
+def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, rows_per_file: int = 1_000_000) -> StreamingQuery:
+    """Write all available events once each to a table partitioned by day, then stop.
 
-    Rows of a day go to ``files_per_day`` tasks, chosen by the event id: enough
-    to share out a large day, and no file per day from every single task.
+    No event is too late: repeats are told from new events by the ids that the
+    table holds, not by a watermark, so rows may come in any order. A batch
+    that Spark repeats after a failure finds its rows stored. The rows of a day
+    are spread by Spark according to the size of the micro-batch.
     """
-    placed = events.repartition("day", F.pmod(F.xxhash64(key), F.lit(files_per_day)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            new = not_stored(kept, path, key)
+            new.hint("rebalance", "day").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(path)
+        finally:
+            kept.unpersist()
+
     return (
-        placed.writeStream.format("parquet").outputMode("append")
-        .partitionBy("day")
-        .option("path", path)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

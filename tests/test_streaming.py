@@ -3,12 +3,12 @@
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cohortlake.operators import chat
 from cohortlake.operators.changes import apply_changes
 from cohortlake.sources.adapters import view
-from cohortlake.sources.versions import commits, read_current, replace_table
+from cohortlake.sources.versions import commits, current_version, read_current, replace_table
 from cohortlake.streaming import changes as sc, ingest, sessions
 
 
@@ -68,29 +68,74 @@ def test_open_requests_can_time_out(spark, tmp_path):
         assert got == {0: "update_request", 1: "chat", 2: action}
 
 
-def test_ingest_drops_repeats(spark, log, tmp_path):
-    messages, path = log
-    twice = f"{tmp_path}/in"
-    spark.read.parquet(path).coalesce(1).write.parquet(twice)
-    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(twice)
-    stream = ingest.file_stream(spark, twice, messages.schema)
-    events = ingest.chat_events(stream, "60 days")
-    ingest.append_stream(events, f"{tmp_path}/out", f"{tmp_path}/progress", "chat_id", 2).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert got.count() == messages.count()
+def newest_first(df, path, parts=4):
+    """Write a log as files of which the newest rows come first."""
+    at = F.ntile(parts).over(Window.orderBy(F.desc("timestamp")))
+    for part in range(1, parts + 1):
+        df.withColumn("_part", at).where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+
+def test_ingest_keeps_late_rows_and_drops_repeats(spark, sf_dir, tmp_path):
+    messages = view(spark, sf_dir, "chat_v")
+    path, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    newest_first(messages, path)
+    messages.limit(50).coalesce(1).write.mode("append").parquet(path)  # repeats, late
+    for attempt in ("a", "b"):  # the second stream sends everything again
+        stream = ingest.file_stream(spark, path, messages.schema, 1)
+        query = ingest.append_stream(ingest.chat_events(stream), root, f"{tmp_path}/{attempt}", "chat_id")
+        query.awaitTermination()
+        assert len({p["batchId"] for p in query.recentProgress}) >= 5
+    got = spark.read.parquet(root)
+    assert got.count() == messages.count() == got.select("chat_id").distinct().count()
     assert {"detected_language", "word", "field", "day"} <= set(got.columns)
-    files = got.select("day", F.input_file_name().alias("file")).distinct().groupBy("day").count()
-    assert files.agg(F.max("count")).first()[0] <= 2
 
 
-def test_change_stream_applies_each_batch_once(spark, sf_dir, tmp_path):
+def test_login_ingest_keeps_rows_without_id(spark, tmp_path):
+    rows = [(None, "2025-01-02 00:00:00"), (None, "2025-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (2, None)]
+    logins = spark.createDataFrame(rows, "login_id long, timestamp string").selectExpr(
+        "login_id", "CAST(timestamp AS TIMESTAMP) AS timestamp", "'1.2.3.4' AS peer", "CAST(NULL AS STRING) AS x_real_ip",
+        "CAST(NULL AS STRING) AS x_forwarded_for")
+    logins.write.parquet(f"{tmp_path}/in")
+    for attempt in ("a", "b"):
+        stream = ingest.file_stream(spark, f"{tmp_path}/in", logins.schema)
+        ingest.append_stream(ingest.login_events(stream), f"{tmp_path}/out", f"{tmp_path}/{attempt}", "login_id").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("login_id").count().collect()
+    assert {r.login_id: r["count"] for r in got} == {None: 4, 1: 1, 2: 1}
+
+
+def test_change_stream_takes_late_changes_by_their_time(spark, sf_dir, tmp_path):
     changes = view(spark, sf_dir, "changes_v").withColumnRenamed("changed_at", "timestamp")
-    in_time_order(changes, f"{tmp_path}/in", 2)
+    newest_first(changes, f"{tmp_path}/in", 3)
     start = view(spark, sf_dir, "results_v").withColumn("updated_at", F.lit(None).cast("timestamp"))
     replace_table(start, f"{tmp_path}/results")
-    stream = ingest.file_stream(spark, f"{tmp_path}/in", changes.schema, 1).withColumnRenamed("timestamp", "changed_at")
-    for attempt in ("a", "b"):  # the second run repeats both batches
-        sc.apply_change_stream(stream, f"{tmp_path}/results", f"{tmp_path}/progress-{attempt}").awaitTermination()
+    want = sorted(map(str, apply_changes(start, changes.withColumnRenamed("timestamp", "changed_at")).collect()))
+    for attempt in ("a", "b"):  # another stream repeats all changes and changes nothing
+        stream = ingest.file_stream(spark, f"{tmp_path}/in", changes.schema, 1).withColumnRenamed("timestamp", "changed_at")
+        sc.apply_change_stream(stream, f"{tmp_path}/results", f"{tmp_path}/{attempt}").awaitTermination()
+        assert sorted(map(str, read_current(spark, f"{tmp_path}/results").collect())) == want
+
+
+def test_a_second_stream_applies_its_changes(spark, tmp_path):
+    start = spark.createDataFrame([("s1", 1), ("s2", 1)], "simulation_id string, patients_enrolled int")
+    replace_table(start, f"{tmp_path}/results")
+    for i, value in enumerate(("20", "30")):
+        batch = spark.createDataFrame([(i, "s1", "patients_enrolled", value, f"2025-01-0{i + 1} 00:00:00")],
+                                      "change_id long, simulation_id string, field string, value string, at string").selectExpr(
+            "change_id", "simulation_id", "field", "value", "CAST(at AS TIMESTAMP) AS changed_at")
+        batch.write.parquet(f"{tmp_path}/in{i}")
+        for _ in range(2):  # the same stream started again has nothing left to do
+            stream = ingest.file_stream(spark, f"{tmp_path}/in{i}", batch.schema)
+            sc.apply_change_stream(stream, f"{tmp_path}/results", f"{tmp_path}/progress{i}").awaitTermination()
+    assert {tuple(r) for r in read_current(spark, f"{tmp_path}/results").collect()} == {("s1", 30), ("s2", 1)}
     assert commits(spark, f"{tmp_path}/results").count() == 3
-    want = apply_changes(start, changes.withColumnRenamed("timestamp", "changed_at"))
-    assert sorted(map(str, read_current(spark, f"{tmp_path}/results").collect())) == sorted(map(str, want.collect()))
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    replace_table(spark.range(1), path)
+    version = current_version(spark, path)
+    replace_table(spark.range(2), path, after=version)
+    with pytest.raises(RuntimeError):
+        replace_table(spark.range(3), path, after=version)
+    assert read_current(spark, path).count() == 2
