@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import U64, as_bytes, as_row, map_batches, mixed, run_hashes, slices, stored
+from cohortlake.llm.common import U64, as_row, map_batches, mixed, run_hashes, stored, text_slices
 from cohortlake.llm.registry import query, table
 
 WINDOW = 10
@@ -131,10 +131,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[Column]
         )
 
         def run(batch: pa.RecordBatch, shared=shared, extra=extra, step=step) -> Iterator[dict]:
-            names = batch.schema.names
-            texts = as_bytes(batch.column(names.index("_text")))
-            for start, end in slices(texts):
-                yield scan_slice(batch.slice(start, end - start), texts[start:end], shared.value, extra, step)
+            for part, texts in text_slices(batch, batch.schema.names.index("_text")):
+                yield scan_slice(part, texts, shared.value, extra, step)
 
         out = map_batches(source, step, run)
         if part < of - 1:
@@ -245,15 +243,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_
     schema = T.StructType([found.schema["row"], T.StructField("_new", T.StringType()), T.StructField("_cut", T.BooleanType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts, spans = as_bytes(batch.column(1)), batch.column(batch.schema.names.index("_at")).to_pylist()
-        new = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-        gone = [bool(s) and not folded_words(t) for t, s in zip(new, spans, strict=True)]
-        keep = pa.array([not g for g in gone])
-        yield {
-            "row": batch.column(0).filter(keep),
-            "_new": pa.array([t for t, g in zip(new, gone, strict=True) if not g], pa.binary()).cast(pa.string()),
-            "_cut": pa.array([bool(s) for s, g in zip(spans, gone, strict=True) if not g], pa.bool_()),
-        }
+        for part, texts in text_slices(batch, 1):
+            spans = part.column(part.schema.names.index("_at")).to_pylist()
+            new = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            gone = [bool(s) and not folded_words(t) for t, s in zip(new, spans, strict=True)]
+            keep = pa.array([not g for g in gone])
+            yield {
+                "row": part.column(0).filter(keep),
+                "_new": pa.array([t for t, g in zip(new, gone, strict=True) if not g], pa.binary()).cast(pa.string()),
+                "_cut": pa.array([bool(s) for s, g in zip(spans, gone, strict=True) if not g], pa.bool_()),
+            }
 
     cut = map_batches(found, schema, run)
     return cut.select(*[new_column(cut, c, text, n_chars) for c in docs.columns])

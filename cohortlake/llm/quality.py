@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import as_bytes, as_row, map_batches, stored
+from cohortlake.llm.common import as_row, map_batches, stored, text_slices
 from cohortlake.llm.registry import query, table
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -80,11 +80,11 @@ def with_counts(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in COUNTS])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [text_counts(t) for t in as_bytes(batch.column(len(kept)))]
-        figures = np.array(found, np.int64).reshape(len(found), len(COUNTS))
-        yield {c: batch.column(i) for i, c in enumerate(kept)} | {
-            c: pa.array(figures[:, i]) for i, c in enumerate(COUNTS)
-        }
+        for part, texts in text_slices(batch, len(kept)):
+            figures = np.array([text_counts(t) for t in texts], np.int64)
+            yield {c: part.column(i) for i, c in enumerate(kept)} | {
+                c: pa.array(figures[:, i]) for i, c in enumerate(COUNTS)
+            }
 
     return map_batches(source, schema, run)
 

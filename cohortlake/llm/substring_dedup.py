@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm.common import (
-    as_bytes, fields, map_batches, packed_text, run_hashes, slices, span_hashes, stored, unpacked, words_of_many,
+    fields, map_batches, packed_text, run_hashes, span_hashes, stored, text_slices, unpacked, words_of_many,
 )
 from cohortlake.llm.registry import query, table
 
 #: Least repeat in words, and words of an anchor.
 LEAST_WORDS, ANCHOR_WORDS = 13, 5
+#: Bytes of packed texts that a step of a task unpacks.
+PACKED_BYTES = 1 << 18
 
 LONG, INT = T.LongType(), T.IntegerType()
 RUNS = fields(anchor=LONG, content=LONG, key=LONG, start=INT, windows=INT)
@@ -58,12 +60,11 @@ def runs(docs: DataFrame, key: str, text: str, least: int, anchor: int) -> DataF
     """All anchored runs of all documents that have a key and a text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        keys, texts = np.asarray(batch.column(0)), as_bytes(batch.column(1))
-        for a, b in slices(texts):
-            hashes, begin = words_of_many(texts[a:b])
+        for part, texts in text_slices(batch, 1):
+            hashes, begin = words_of_many(texts)
             anchors, content, which, start, windows = anchored_runs(hashes, begin, least, anchor)
-            yield {"anchor": anchors, "content": content, "key": keys[a:b][which], "start": start.astype(np.int32),
-                   "windows": windows.astype(np.int32)}
+            yield {"anchor": anchors, "content": content, "key": np.asarray(part.column(0))[which],
+                   "start": start.astype(np.int32), "windows": windows.astype(np.int32)}
 
     usable = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(
         "key is not null and text is not null")
@@ -105,7 +106,7 @@ def single_windows(packed: DataFrame, spans: DataFrame, least: int) -> DataFrame
         keys, texts = batch.column(0).to_pylist(), batch.column(1)
         bounds, (start, windows, content, anchor) = split_spans(batch.column(2))
         for i, key in enumerate(keys):
-            hashes, _ = words_of_many(unpacked(texts.slice(i, 1)))
+            hashes, _ = words_of_many(unpacked([texts[i].as_py()]))
             own = slice(bounds[i], bounds[i + 1])
             ok = holding(hashes, start[own], windows[own], content[own], least)
             s, w, a = start[own][ok], windows[own][ok], anchor[own][ok]
@@ -173,6 +174,30 @@ def removed_words(hashes: np.ndarray, start: np.ndarray, windows: np.ndarray, le
     return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
+def kept_words(keys: pa.Array, texts: list, spans: pa.Array, key: str, least: int) -> dict:
+    """The result columns of some documents."""
+    bounds, (start, windows, content, _) = split_spans(spans)
+    n_words, n_removed, cuts, kept = [], [], [], []
+    for i, t in enumerate(texts):
+        words, cut = (t or b"").split(), []
+        if bounds[i + 1] > bounds[i]:
+            own = slice(bounds[i], bounds[i + 1])
+            hashes, _ = words_of_many([t or b""])
+            ok = holding(hashes, start[own], windows[own], content[own], least)
+            cut = removed_words(hashes, start[own][ok], windows[own][ok], least)
+        rest, at = [], 0
+        for a, b in cut:
+            rest += words[at:a]
+            at = b
+        rest += words[at:]
+        n_words.append(len(words))
+        n_removed.append(len(words) - len(rest))
+        cuts.append([{"start": a, "end": b} for a, b in cut])
+        kept.append(b" ".join(rest))
+    return {key: keys, "n_words": n_words, "n_removed": n_removed, "spans": cuts,
+            "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS,
                     anchor: int = ANCHOR_WORDS) -> DataFrame:
     """``(key, n_words, n_removed, spans, kept)`` of every document.
@@ -196,26 +221,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     ])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        bounds, (start, windows, content, _) = split_spans(batch.column(2))
-        n_words, n_removed, spans, kept = [], [], [], []
-        for i, t in enumerate(unpacked(batch.column(1))):
-            words, cut = (t or b"").split(), []
-            if bounds[i + 1] > bounds[i]:
-                own = slice(bounds[i], bounds[i + 1])
-                hashes, _ = words_of_many([t or b""])
-                ok = holding(hashes, start[own], windows[own], content[own], least)
-                cut = removed_words(hashes, start[own][ok], windows[own][ok], least)
-            rest, at = [], 0
-            for a, b in cut:
-                rest += words[at:a]
-                at = b
-            rest += words[at:]
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(rest))
-            spans.append([{"start": a, "end": b} for a, b in cut])
-            kept.append(b" ".join(rest))
-        yield {key: batch.column(0), "n_words": n_words, "n_removed": n_removed, "spans": spans,
-               "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        for part, texts in text_slices(batch, 1, PACKED_BYTES):
+            yield kept_words(part.column(0), unpacked(texts), part.column(2), key, least)
 
     return map_batches(with_key.unionByName(without), schema, run)
 
