@@ -19,8 +19,8 @@ def events_by_severity(events: DataFrame, key: str = "trial_id") -> DataFrame:
     )
 
 
-def trial_outcomes(trials: DataFrame, patients: DataFrame, events: DataFrame) -> DataFrame:
-    """Outcome scores per trial that has patients.
+def trial_outcomes(trials: DataFrame, patients: DataFrame, events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Outcome scores per trial that has patients, with the trial's ``keep`` columns.
 
     Patients and events are each reduced to one row per trial before they meet.
     """
@@ -35,11 +35,11 @@ def trial_outcomes(trials: DataFrame, patients: DataFrame, events: DataFrame) ->
     )
     scored = (
         people.join(severe, "trial_id", "left")
-        .join(trials.select("trial_id", "expected_success_rate"), "trial_id")
+        .join(trials.select("trial_id", "expected_success_rate", *keep), "trial_id")
         .withColumn("severe", F.coalesce("severe", F.lit(0)))
         .withColumn("_scores", outcome_scores("completed", "dropped", "severe", "expected_success_rate"))
     )
-    return scored.select("trial_id", "completed", "dropped", "severe", "_scores.*")
+    return scored.select("trial_id", "completed", "dropped", "severe", "_scores.*", *keep)
 
 
 def expected_dropouts(trials: DataFrame, patients: DataFrame) -> DataFrame:

@@ -214,10 +214,11 @@ SELECT r.user_id, count(*) AS simulations, CASE WHEN count(*) = 1 THEN min(simul
 FROM results_v r GROUP BY r.user_id""", "results_v"))
 def default_target(spark, sf_dir):
     results = view(spark, sf_dir, "results_v")
-    counts = results.groupBy("user_id").agg(F.count(F.lit(1)).alias("simulations"))
-    return counts.join(chat.only_simulation(results), "user_id", "left").select(
-        "user_id", "simulations", F.col("only_id").alias("default_id"),
-        F.when(F.col("only_id").isNotNull(), "default").otherwise("clarification").alias("choice"),
+    counts = results.groupBy("user_id").agg(F.count(F.lit(1)).alias("simulations"), F.min("simulation_id").alias("_least"))
+    only = F.col("simulations") == 1
+    return counts.select(
+        "user_id", "simulations", F.when(only, F.col("_least")).alias("default_id"),
+        F.when(only, "default").otherwise("clarification").alias("choice"),
     )
 
 

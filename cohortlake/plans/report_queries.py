@@ -97,7 +97,10 @@ def context_json(spark, sf_dir):
 def _advice_inputs(spark, sf_dir):
     load = loader(spark, sf_dir)
     simulated = load("results_v").select("trial_id", F.col("dropout_rate").alias("simulated"))
-    return load("trials_v").join(simulated, "trial_id", "left")
+    trials = load("trials_v")
+    # results on the left: a trial with very many is then on the side that can be split
+    without = trials.join(simulated, "trial_id", "left_anti").withColumn("simulated", F.lit(None).cast("double"))
+    return simulated.join(trials, "trial_id").unionByName(without)
 
 
 ADVICE_TESTS = {

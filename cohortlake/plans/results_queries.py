@@ -183,3 +183,44 @@ def json_records(spark, sf_dir):
     return to_json_records(
         view(spark, sf_dir, "results_v").select("simulation_id", "trial_id", "patients_enrolled", "patients_completed")
     )
+
+
+PATIENT_RULES_SQL = """concat_ws(' | ',
+  CASE WHEN age NOT BETWEEN 18 AND 100 THEN 'age must be at least 18 and at most 100' END,
+  CASE WHEN coalesce(gender NOT IN ('Male', 'Female', 'Other'), TRUE) THEN 'gender must be one of Male, Female, Other' END,
+  CASE WHEN weight_kg NOT BETWEEN 30 AND 300 THEN 'weight_kg must be at least 30 and at most 300' END,
+  CASE WHEN height_cm NOT BETWEEN 100 AND 250 THEN 'height_cm must be at least 100 and at most 250' END)"""
+
+
+@query(with_views(f"SELECT form_id, {PATIENT_RULES_SQL} AS errors FROM patient_forms_v", "patient_forms_v"))
+def patient_validation(spark, sf_dir):
+    checked = q.validate(view(spark, sf_dir, "patient_forms_v"), q.patient_rules())
+    return checked.select("form_id", F.array_join("errors", " | ").alias("errors"))
+
+
+@query(with_views("""
+SELECT request_id, concat_ws(' | ',
+  CASE WHEN length(query) NOT BETWEEN 10 AND 5000 THEN 'query must have 10 to 5000 characters' END,
+  CASE WHEN coalesce(agent_type NOT IN ('research', 'prediction', 'optimization', 'report'), TRUE)
+       THEN 'agent_type must be one of research, prediction, optimization, report' END,
+  CASE WHEN num_simulations NOT BETWEEN 1 AND 100 THEN 'num_simulations must be at least 1 and at most 100' END) AS errors
+FROM requests_v""", "requests_v"))
+def request_validation(spark, sf_dir):
+    checked = q.validate(view(spark, sf_dir, "requests_v"), q.request_rules())
+    return checked.select("request_id", F.array_join("errors", " | ").alias("errors"))
+
+
+@query(with_views("""
+SELECT trial_id,
+  array_to_string(string_split(trim(regexp_replace(lower(trial_name), '[^a-z0-9]+', '_', 'g'), '_'), '_')[1:4], '_') AS slug,
+  TRUE AS four_digits, TRUE AS stable FROM trials_v""", "trials_v"))
+def readable_ids(spark, sf_dir):
+    """The id of each trial taken apart: its slug, the shape of its number, and the same id when made again."""
+    from cohortlake.functions import text as tx
+
+    made = view(spark, sf_dir, "trials_v").select(
+        "trial_id", tx.readable_id("trial_name", "trial_id").alias("a"),
+        tx.readable_id("trial_name", F.concat("trial_id", F.lit(""))).alias("b"))
+    return made.select(
+        "trial_id", F.regexp_replace("a", "_[0-9]{4}$", "").alias("slug"),
+        F.col("a").rlike("_[1-9][0-9]{3}$").alias("four_digits"), (F.col("a") == F.col("b")).alias("stable"))

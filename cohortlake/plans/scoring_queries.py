@@ -94,9 +94,9 @@ FROM scored""", "trials_v", "patients_v", "adverse_events_v"))
 def success_probability(spark, sf_dir):
     load = loader(spark, sf_dir)
     trials = load("trials_v")
-    scored = oc.trial_outcomes(trials, load("patients_v"), load("adverse_events_v"))
+    scored = oc.trial_outcomes(trials, load("patients_v"), load("adverse_events_v"), ("phase",))
     rate = pf.scalar(pf.portfolio_stats(trials, scale=2).select("success_rate"))["success_rate"]
-    return scored.join(trials.select("trial_id", "phase"), "trial_id").select(
+    return scored.select(
         "trial_id",
         F.round(sc.success_probability("phase", "overall_score", rate), 9).alias("success_probability"),
     )

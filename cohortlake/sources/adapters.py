@@ -175,6 +175,17 @@ SELECT o_orderkey AS design_id,
        CAST(o_custkey % 120 AS DOUBLE) / 100 AS expected_dropout_rate,
        CAST(o_custkey % 110 - 5 AS DOUBLE) / 100 AS expected_success_rate
 FROM {orders}""",
+    "patient_forms_v": """
+SELECT l_orderkey * 8 + l_linenumber AS form_id, CAST(10 + l_partkey % 100 AS INT) AS age,
+       CASE l_suppkey % 5 WHEN 0 THEN 'Female' WHEN 1 THEN 'Other' WHEN 2 THEN 'unknown' WHEN 3 THEN NULL ELSE 'Male' END AS gender,
+       CAST(20 + l_partkey % 300 AS DOUBLE) AS weight_kg, CAST(90 + l_suppkey % 170 AS DOUBLE) AS height_cm
+FROM {lineitem}""",
+    "requests_v": """
+SELECT event_id AS request_id, CASE WHEN event_id % 11 = 0 THEN 'short' ELSE concat('Tell me about ', event_type) END AS query,
+       CASE event_id % 6 WHEN 0 THEN 'research' WHEN 1 THEN 'prediction' WHEN 2 THEN 'optimization' WHEN 3 THEN 'report'
+                         WHEN 4 THEN 'poetry' END AS agent_type,
+       CAST(event_id % 120 AS INT) AS num_simulations
+FROM {events}""",
     "forms_v": """
 SELECT o_orderkey AS form_id, CAST(o_orderkey % 500 AS STRING) AS patients_enrolled,
        CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE CAST(o_custkey % 100 AS STRING) END AS dropout_percent,

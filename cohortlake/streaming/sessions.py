@@ -43,6 +43,9 @@ def with_candidates(messages: DataFrame, results: DataFrame) -> DataFrame:
         "forced_language", "word", "named_id", "field", "new_value", "problem", "asks_translation",
         "translation_target", F.explode_outer(tokens).alias("_token"),
     )
+    # messages that name no id match nothing; one null key would bring them all to one task
+    none = F.concat(F.lit("no token "), F.pmod(F.xxhash64("chat_id"), F.lit(4096)).cast("string"))
+    spread = spread.withColumn("_token", F.coalesce("_token", none))
     owned = results.select(
         F.lower("simulation_id").alias("_token"), F.col("simulation_id").alias("hit_id"),
         F.col("user_id").alias("hit_owner"), F.col("created_at").alias("hit_created"),
