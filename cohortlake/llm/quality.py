@@ -232,6 +232,55 @@ def quality_kept(docs: DataFrame, text: str = "text", lang: str = "lang", source
     return judged(counted, limits, "_l", "_s").where("kept").select("row.*")
 
 
-@query()
+def _oracle() -> str:
+    """Figures by plain lists and joins; sketches, quartiles and fences as the operator defines them."""
+    each = " UNION ALL ".join(
+        f"SELECT r, lang, source, failed, '{m}' AS metric, CASE WHEN {bottom} > 0 THEN {scale} * {top} // {bottom} ELSE 0 END AS v, "
+        f"{least} AS least, {lower} AS lower FROM judged"
+        for m, (top, bottom, scale, least, lower) in METRICS.items())
+    size = 1 << SKETCH_BITS
+    level = lambda name, keys: f"""
+{name} AS (
+  SELECT {keys}metric, max(upto) AS docs, {", ".join(
+        f"min(low) FILTER (4 * upto >= {q} * docs) AS q{q}" for q in (1, 2, 3))} FROM (
+    SELECT {keys}metric, b, (b - s * {size}) * (1::BIGINT << s) AS low, sum(n) OVER (PARTITION BY {keys}metric) AS docs,
+      sum(n) OVER (PARTITION BY {keys}metric ORDER BY b) AS upto
+    FROM (SELECT {keys}metric, b, greatest(b // {size} - 1, 0) AS s, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+lines AS (SELECT r, count(*) AS n_lines, count(DISTINCT line) AS kinds FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+repeated AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
+judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM (
+    SELECT doc_id, r, lang, source, len(w)::BIGINT AS n_words,
+      coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+      coalesce(n_lines - kinds, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+    FROM d LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r))),
+measured AS ({each}),
+sketch AS (
+  SELECT *, s * {size} + v // (1::BIGINT << s) AS b
+  FROM (SELECT *, greatest(length(bin(v)) - {SKETCH_BITS + 1}, 0)::BIGINT AS s FROM measured WHERE NOT failed)),
+{level("own", "lang, source, ")},{level("by_lang", "lang, ")},{level("overall", "")},
+fences AS (
+  SELECT o.lang, o.source, o.metric,
+    {", ".join(f"CASE WHEN o.docs >= {MIN_GROUP} THEN o.q{q} WHEN l.docs >= {MIN_GROUP} THEN l.q{q} ELSE a.q{q} END AS q{q}" for q in (1, 2, 3))}
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN overall a ON a.metric = o.metric),
+outside AS (
+  SELECT DISTINCT m.r FROM measured m JOIN fences f
+    ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND m.metric = f.metric
+  WHERE v > q2 + greatest({SPREADS} * (q2 - q1), least) OR lower AND v < q2 - greatest({SPREADS} * (q3 - q2), least))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND r NOT IN (SELECT r FROM outside) AS kept
+FROM judged
+"""
+
+
+@query(_oracle())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_figures(table(spark, sf_dir, "documents"), keep=["doc_id"])

@@ -83,3 +83,10 @@ def test_empty_tables(spark, make_docs):
     none = bench(spark, []).limit(0)
     assert dc.contamination(make_docs([]).limit(0), none).count() == 0
     assert dc.contamination(make_docs([(1, "a b")]), none).collect()[0].contaminated is False
+
+
+def test_query_equals_sql(spark, sf_dir):
+    from cohortlake.llm.registry import ORACLES
+    from tests.oracle import connect, differences
+
+    assert differences(dc.op10_decontamination(spark, sf_dir), connect(sf_dir), ORACLES["op10_decontamination"]) == []

@@ -73,3 +73,10 @@ def test_sketch_buckets_hold_their_values(spark):
     assert all(r.low <= r.v <= r.low * (1 + 2 / 32) + 1 for r in rows)
     assert [r._bucket for r in rows] == sorted(r._bucket for r in rows)
     assert all(r.low == r.v for r in rows if r.v < 64)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    from cohortlake.llm.registry import ORACLES
+    from tests.oracle import connect, differences
+
+    assert differences(quality.op1_quality_rules(spark, sf_dir), connect(sf_dir), ORACLES["op1_quality_rules"]) == []
