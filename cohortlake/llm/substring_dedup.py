@@ -145,10 +145,11 @@ def repeats(docs: DataFrame, packed: DataFrame, key: str, text: str, least: int,
     seeds = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "seeds")
     hits = stored(found.join(seeds, "anchor"), "hits")
     contents = stored(hits.groupBy("anchor", "content").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("_n")), "contents")
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"))
+    # written before the join, so that an anchor with very many contents is split among tasks there
+    kinds = stored(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1"), "kinds")
     useful = stored(
-        contents.join(kinds, "anchor").where("_n > 1 or _kinds > 1").select("anchor", "content", "first", (F.col("_kinds") > 1).alias("several")),
-        "useful")
+        contents.join(kinds, "anchor", "left").where("_n > 1 or _kinds is not null")
+        .select("anchor", "content", "first", F.col("_kinds").isNotNull().alias("several")), "useful")
     marks = stored(
         hits.join(useful, ["anchor", "content"])
         .where(F.col("key") > F.col("first")).select("key", "start", "windows", "content", "anchor"), "whole")
@@ -227,7 +228,22 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return map_batches(with_key.unionByName(without), schema, run)
 
 
-@query()
+@query(r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (g) WHERE doc_id > f),
+left_over AS (
+  SELECT x.r, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) x ANTI JOIN gone g ON x.r = g.r AND x.p = g.p
+  GROUP BY x.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+""")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

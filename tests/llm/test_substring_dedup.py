@@ -67,3 +67,10 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = sd.op2_substring_dedup(spark, sf_dir).collect()
     assert Counter(map(tuple, out)) == Counter(by_hand(rows))
+
+
+def test_query_equals_sql(spark, sf_dir):
+    from cohortlake.llm.registry import ORACLES
+    from tests.oracle import connect, differences
+
+    assert differences(sd.op2_substring_dedup(spark, sf_dir), connect(sf_dir), ORACLES["op2_substring_dedup"]) == []
