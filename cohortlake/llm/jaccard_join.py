@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm.common import (
-    U64, as_bytes, as_row, fields, map_batches, packed_text, run_hashes, slices, span_hashes, stored, unpacked,
+    U64, as_row, fields, map_batches, mixed, packed_text, run_hashes, span_hashes, stored, text_slices, unpacked,
     words_of_many,
 )
 from cohortlake.llm.registry import query, table
@@ -26,12 +26,16 @@ from cohortlake.llm.registry import query, table
 SHINGLE_WORDS, PERCENT = 3, 90
 #: Counters that order the shingles by frequency; their number does not depend on the corpus.
 COUNTERS = 1 << 18
-#: Leaders that a set is compared with before the lists are searched.
-LEADERS = 4
+#: Leaders that a set is compared with before its lists are searched in full.
+LEADERS = 2
 #: Words of 64 parity bits of a set.
-PARITY_WORDS = 16
+PARITY_WORDS = 8
+#: Bytes of packed texts that a step of a task unpacks.
+PACKED_BYTES = 1 << 18
 #: Entries of an index list that one cell of its grid takes from each side.
 BLOCK = 1024
+#: Entries that a task searches at once.
+STEP_ENTRIES = 1 << 13
 
 LONG, INT = T.LongType(), T.IntegerType()
 LONGS = T.ArrayType(LONG)
@@ -65,9 +69,8 @@ def frequencies(docs: DataFrame, text: str, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for a, b in slices(texts):
-                for s in shingle_sets(texts[a:b], width):
+            for _, texts in text_slices(batch, 0):
+                for s in shingle_sets(texts, width):
                     np.add.at(total, slot(s), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
@@ -85,71 +88,82 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """``(key, n, digest, tokens)``: size, digest and rarest shingles of each document's set."""
+    """``(key, n, digest, parity, wide, tokens)``: size, digest, parity bits and rarest shingles of each set."""
     order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text, width))
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    schema = fields(key=source.schema["key"].dataType, n=LONG, digest=T.BinaryType(), tokens=LONGS)
+    schema = fields(key=source.schema["key"].dataType, n=LONG, digest=T.BinaryType(), parity=LONGS, wide=LONGS, tokens=LONGS)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts, counts = as_bytes(batch.column(1)), order.value
-        for a, b in slices(texts):
-            sizes, digests, tokens = [], [], []
-            for s in shingle_sets(texts[a:b], width):
+        counts = order.value
+        for part, texts in text_slices(batch, 1):
+            sizes, digests, bits, wide, tokens = [], [], [], [], []
+            for s in shingle_sets(texts, width):
                 sizes.append(len(s))
+                bits.append(parity(s, PARITY_WORDS))
+                wide.append(parity(s, wide_words(len(s))))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first = np.lexsort((s, counts[slot(s)]))[: prefix_length(len(s), percent)] if len(s) else []
                 tokens.append(s[first].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
             bounds = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
-            yield {"key": batch.column(0).slice(a, b - a), "n": sizes, "digest": pa.array(digests, pa.binary()),
+            yield {"key": part.column(0), "n": sizes, "digest": pa.array(digests, pa.binary()), "parity": bits, "wide": wide,
                    "tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))}
 
     return map_batches(source, schema, run)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
+def wide_words(n: int) -> int:
+    """Words of the parity that grows with a set: a power of two, with one to two bits a member."""
+    return max(PARITY_WORDS, 1 << max(0, (n - 1).bit_length() - 6))
+
+
+def parity(s: np.ndarray, words: int) -> np.ndarray:
     """Bit i is set if an odd number of the set's hashes fall on i.
 
     Two sets differ in at least as many members as their parities do in bits.
+    A parity of half the words is the exclusive or of both halves.
     """
-    bits = np.bincount((s % U64(PARITY_WORDS * 64)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1
+    bits = np.bincount((s % U64(words * 64)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``(node, n, parity, members)`` of the documents named in ``nodes``."""
+    """``(node, members)`` of the documents named in ``nodes``."""
     packed = packed_text(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()), key, text, [])
     joined = packed.join(nodes, F.col("key") == F.col("node")).select("node", "packed")
-    schema = fields(node=joined.schema["node"].dataType, n=LONG, parity=LONGS, members=T.BinaryType())
+    schema = fields(node=joined.schema["node"].dataType, members=T.BinaryType())
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        sets = [shingle_sets([t], width)[0] for t in unpacked(batch.column(1))]
-        yield {"node": batch.column(0), "n": [len(s) for s in sets], "parity": [parity(s) for s in sets],
-               "members": pa.array([s.tobytes() for s in sets], pa.binary())}
+        for part, packed in text_slices(batch, 1, PACKED_BYTES):
+            sets = [shingle_sets([t], width)[0] for t in unpacked(packed)]
+            yield {"node": part.column(0), "members": pa.array([s.tobytes() for s in sets], pa.binary())}
 
     return map_batches(joined, schema, run)
 
 
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide parities allow the overlap; they tell large sets apart before any set moves."""
+    wide = classes.select("node", "n", "wide")
+    both = pairs.join(wide.withColumnsRenamed({"node": "x", "n": "nx", "wide": "wx"}), "x").join(
+        wide.withColumnsRenamed({"node": "y", "n": "ny", "wide": "wy"}), "y")
+    fold = lambda w: F.zip_with(F.slice(w, F.lit(1), (F.size(w) / 2).cast("int")),
+                                F.slice(w, (F.size(w) / 2 + 1).cast("int"), (F.size(w) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    # similar sets have sizes of one or of neighbouring powers of two
+    wx = F.when(F.size("wx") > F.size("wy"), fold(F.col("wx"))).otherwise(F.col("wx"))
+    wy = F.when(F.size("wy") > F.size("wx"), fold(F.col("wy"))).otherwise(F.col("wy"))
+    differ = F.aggregate(F.zip_with(wx, wy, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("nx") + F.col("ny"))
+    return stored(both.where(near).select("x", "y").distinct(), "likely")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose sets are similar.
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
 
-    Parity bits, which are small, reject most others before any set moves.
-    """
-    bits = sets.select("node", "n", "parity")
-    a = bits.withColumnsRenamed({"node": "x", "n": "nx", "parity": "px"})
-    b = bits.withColumnsRenamed({"node": "y", "n": "ny", "parity": "py"})
-    differ = F.aggregate(F.zip_with("px", "py", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    # |x| + |y| - 2 overlap <= (100 - percent) / (100 + percent) * (|x| + |y|)
-    near = pairs.join(a, "x").join(b, "y").where(
-        F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("nx") + F.col("ny")))
-    left = stored(near.select("x", "y").distinct(), "near")
-    whole = sets.select("node", "members")
-    both = left.join(whole.withColumnsRenamed({"node": "x", "members": "mx"}), "x").join(
-        whole.withColumnsRenamed({"node": "y", "members": "my"}), "y").select("x", "y", "mx", "my")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` whose sets are similar."""
+    both = pairs.join(sets.withColumnsRenamed({"node": "x", "members": "mx"}), "x").join(
+        sets.withColumnsRenamed({"node": "y", "members": "my"}), "y").select("x", "y", "mx", "my")
     schema = T.StructType([both.schema["x"], both.schema["y"]])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -187,45 +201,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each node with a few leaders of its lists, at most LEADERS of them.
-
-    A leader has the smallest of a seeded hash among a list's entries; lists
-    of one group of copies mostly agree on it. The pairs grow with the nodes,
-    not with the length of the lists.
-    """
-    seeds = range(LEADERS)
-    first = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("l"), F.col("n").alias("m"))).alias(f"l{k}")
-             for k in seeds]
-    leaders = stored(shared.groupBy("token").agg(*first), "leaders")
-    joined = shared.join(leaders, "token")
-    chosen = joined.groupBy("node").agg(*[
-        F.min(F.when((F.col(f"l{k}.l") != F.col("node")) & sizes_fit(F.col("n"), F.col(f"l{k}.m"), percent), F.col(f"l{k}"))).alias(f"l{k}")
-        for k in seeds])
-    pairs = chosen.select("node", F.explode(F.array_compact(F.array(*[F.col(f"l{k}.l") for k in seeds]))).alias("l"))
-    return stored(pairs.select(F.least("node", "l").alias("x"), F.greatest("node", "l").alias("y")).distinct(), "pairs")
-
-
-def with_labels(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.withColumnRenamed("node", "_node")
-    return shared.join(known, shared["node"] == known["_node"], "left").drop("_node").withColumn(
-        "label", F.coalesce("label", "node"))
+def open_entries(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of nodes that have a label, with it, in the lists that still hold several labels."""
+    entries = stored(listed.join(labels, "node"), "entries")
+    several = entries.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("token")
+    return entries.join(stored(several, "open"), "token")
 
 
-def search_cells(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Entries of the lists that still hold several components, dealt into cells.
+def cells(entries: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Entries ``(token, node, pos, label)`` of index lists dealt into cells, with size and parity bits of their sets.
 
     A list is cut by powers of two of the set size; an entry goes to the cell
     of the next smaller or larger part only if a set there can be similar. A
     long list is a grid of blocks, so no task gets a list whole.
     """
-    entries = stored(with_labels(shared, labels), "entries")
-    open_lists = stored(
-        entries.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count(F.lit(1)).alias("_n"))
-        .where("_a < _b").select("token", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "open")
-    bits = sets.select(F.col("node").alias("_node"), "parity")
-    rows = entries.join(open_lists, "token")
-    rows = rows.join(bits, rows["node"] == bits["_node"]).drop("_node")
+    long = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+    blocks = stored(long.select(F.col("token").alias("_of"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    # few lists are long, so their table mostly is small enough for the planner to send around
+    rows = entries.join(sizes, "node").join(blocks, F.col("token") == F.col("_of"), "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1)))
     part = F.length(F.bin("n")) - 1
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -244,79 +238,106 @@ def search_cells(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return dealt.select("token", "c.part", "c.kind", "c.i", "c.j", "c.side", "n", "pos", "node", "label", "parity")
 
 
-def searched(cells: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components: sizes, positions and parity bits all allow the overlap.
+def searched(cells: DataFrame, percent: int, leaders: int | None = None) -> DataFrame:
+    """Pairs ``(x, y)`` of different labels whose sizes, positions and parity bits all allow the overlap.
 
     Entries of a cell stand by size; for each, the block of those that are too
-    large is skipped.
+    large is skipped. With ``leaders``, rows ``(x, rank, h, y)`` instead: for
+    each entry the partners that come first by so many seeded hashes, so a
+    cell gives rows in proportion to its entries, not to its pairs.
     """
     keys = ["token", "part", "kind", "i", "j"]
     laid = cells.repartition(*keys).sortWithinPartitions(*keys, "n", "node")
-    schema = T.StructType([T.StructField(c, cells.schema["node"].dataType) for c in ("x", "y")])
+    schema = fields(x=LONG, y=LONG) if leaders is None else fields(x=LONG, rank=LONG, h=LONG, y=LONG)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Whole cells; a cell may span batches."""
-        held: list[dict] = []
+    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Runs of whole cells, numbered in ``cell``; a cell may span batches."""
+        held, many, number, last = [], 0, 0, None
         for batch in batches:
             cols = {n: np.asarray(batch.column(n)) for n in (*keys, "side", "n", "pos", "node", "label")}
-            cols["parity"] = np.asarray(batch.column("parity").flatten()).reshape(-1, PARITY_WORDS)
-            ids = np.stack([cols[k].astype(np.int64) for k in keys])
-            cuts = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1, len(cols["n"])]
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                piece = {k: v[a:b] for k, v in cols.items()}
-                if held and any(held[-1][k][0] != piece[k][0] for k in keys):
-                    yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                    held = []
-                held.append(piece)
+            cols["parity"] = np.asarray(batch.column("parity").flatten()).view(U64).reshape(-1, PARITY_WORDS)
+            ids = np.stack([cols.pop(k).astype(np.int64) for k in keys])
+            cols["apart"] = ids[keys.index("kind")] == 1
+            new = np.concatenate([[last is None or (ids[:, 0] != last).any()], (ids[:, 1:] != ids[:, :-1]).any(0)])
+            cols["cell"] = number + np.cumsum(new)
+            number, last = int(cols["cell"][-1]), ids[:, -1]
+            held.append(cols)
+            many += len(new)
+            if many < STEP_ENTRIES:
+                continue
+            g = {k: np.concatenate([h[k] for h in held]) for k in cols}
+            begin = int(np.searchsorted(g["cell"], number, "left"))  # of the last cell, which may go on
+            if begin:
+                yield {k: v[:begin] for k, v in g.items()}
+            held, many = [{k: v[begin:] for k, v in g.items()}], many - begin
         if held:
             yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys, many = [], [], 0
-        for g in groups(batches):
-            for x, y in cell_pairs(g, percent):
-                xs.append(x)
-                ys.append(y)
-                many += len(x)
-            if many > 1 << 16:
-                yield from [emitted(xs, ys)]
-                xs, ys, many = [], [], 0
-        yield emitted(xs, ys)
-
-    def emitted(xs: list, ys: list) -> pa.RecordBatch:
-        x = np.concatenate(xs) if xs else np.empty(0, np.int64)
-        y = np.concatenate(ys) if ys else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+        for g in whole_cells(batches):
+            x, y = cell_pairs(g, percent)
+            if len(x):
+                yield emitted([(np.minimum(x, y), np.maximum(x, y)) if leaders is None else first_partners(x, y, leaders)])
+
+    def emitted(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=schema.names)
 
     return laid.mapInArrow(run, schema)
 
 
-def cell_pairs(g: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    n, count = g["n"], len(g["n"])
-    if count < 2:
-        return
-    bits = g["parity"].view(U64)
-    for i in range(count - 1):
-        end = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-        if end <= i + 1:
-            continue
-        j = slice(i + 1, end)
-        ok = g["label"][j] != g["label"][i]
-        if g["kind"][0] == 1:
-            ok &= g["side"][j] != g["side"][i]
-        at = np.flatnonzero(ok) + i + 1
-        if not len(at):
-            continue
-        both = n[at] + n[i]
+def first_partners(x: np.ndarray, y: np.ndarray, leaders: int) -> tuple[np.ndarray, ...]:
+    """For each node of the pairs and each seed the partner with the smallest hash."""
+    a, b = np.concatenate([x, y]), np.concatenate([y, x])
+    out = []
+    for k in range(leaders):
+        seed = U64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (mixed(b.astype(U64) + seed) >> U64(1)).astype(np.int64)
+        order = np.lexsort((h, a))
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(a[order]) != 0]))] if len(a) else order
+        out.append((a[first], np.full(len(first), k), h[first], b[first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def cell_pairs(g: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs inside cells that may be similar and have different labels.
+
+    Entries stand by cell and size. Each is compared with the k-th one after
+    it, for all entries at once and k = 1, 2, ...; an entry whose k-th
+    neighbour is in another cell or too large is done.
+    """
+    n, pos, cell, node = g["n"], g["pos"].astype(np.int64), g["cell"], g["node"]
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i, k = np.arange(len(n)), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(n)]
+        i = i[(cell[i + k] == cell[i]) & (percent * n[i + k] <= 100 * n[i])]
+        j = i + k
+        ok = (g["label"][j] != g["label"][i]) & ~(g["apart"][i] & (g["side"][j] == g["side"][i]))
+        a, b = i[ok], j[ok]
+        both = n[a] + n[b]
+        # |x| + |y| - 2 overlap <= (100 - percent) / (100 + percent) * (|x| + |y|)
         overlap = -(-percent * both // (100 + percent))
-        most = np.minimum(n[at] - g["pos"][at], n[i] - g["pos"][i]) + np.minimum(g["pos"][at], g["pos"][i])
-        at, both = at[most >= overlap], both[most >= overlap]
-        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-        at = at[(100 + percent) * differ <= (100 - percent) * both]
-        if len(at):
-            yield np.full(len(at), g["node"][i]), g["node"][at]
+        most = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
+        a, b, both = (v[most >= overlap] for v in (a, b, both))
+        differ = np.bitwise_count(g["parity"][a] ^ g["parity"][b]).sum(1, dtype=np.int64)
+        near = (100 + percent) * differ <= (100 - percent) * both
+        xs.append(node[a[near]])
+        ys.append(node[b[near]])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def led_pairs(listed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Each node with the leaders among its near partners, LEADERS at most.
+
+    A leader has the smallest of a seeded hash; the members of a group of
+    copies mostly agree on it. The pairs grow with the nodes and not with the
+    size of the groups, and every node that has a near partner is in one.
+    """
+    own = listed.withColumn("label", F.col("node"))
+    partners = searched(cells(own, sizes, percent), percent, LEADERS)
+    first = partners.groupBy("x", "rank").agg(F.min(F.struct("h", "y")).alias("l"))
+    return stored(first.select(F.least("x", "l.y").alias("x"), F.greatest("x", "l.y").alias("y")).distinct(), "led")
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
@@ -329,31 +350,44 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     aggregate. Rows that share a key are one document and reach each other.
     Rows without a key are not linked and have no component.
     """
-    rows = stored(described(docs, key, text, width, percent), "described")
+    ids = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    each = described(ids, "_id", "_text", width, percent)
+    rows = stored(each.select("key", "n", "digest"), "described")
     full = rows.where("n > 0 and key is not null")
-    classes = stored(full.groupBy("digest").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    classes = stored(
+        each.where("n > 0 and key is not null").groupBy("digest")
+        .agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "parity", "wide", "tokens")]), "classes")
     # from 0 in the order of the lists: what stands before a shingle can be shared too
-    listed = classes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    tokens = stored(listed.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token"), "tokens")
-    shared = stored(listed.join(tokens, "token"), "shared")
-    sets = stored(whole_sets(docs, shared.select("node").distinct(), key, text, width), "sets")
+    postings = classes.select("node", F.posexplode("tokens").alias("pos", "token"))
+    tokens = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token"), "tokens")
+    listed = stored(postings.join(tokens, "token"), "listed")
+    sizes = classes.select("node", "n", "parity")
+    led = led_pairs(listed, sizes, percent)
+    pairs = likely(led, classes, percent)
+    sets = stored(whole_sets(ids, stored(nodes_of(pairs), "nodes"), "_id", "_text", width), "sets")
 
     member = full.select("key", "digest").join(classes.select("digest", "node"), "digest")
     several = member.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
     same_key = member.join(several.select(F.col("key").alias("_k"), "x"), F.col("key") == F.col("_k")).where(
         "x < node").select("x", F.col("node").alias("y"))
-    led = verified(leader_pairs(shared, percent), sets, percent).union(same_key)
-    led = stored(led, "led")
-    labels = components(led)
-    more = stored(searched(search_cells(shared, labels, sets, percent), percent).distinct(), "candidates")
-    links = verified(more, sets, percent)
-    final = components(led.union(links))
+    first_links = stored(verified(pairs, sets, percent).union(same_key), "links")
+    nodes = nodes_of(led)  # every node that has a near partner
+    known = components(first_links)
+    labels = nodes.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    more = stored(searched(cells(open_entries(listed, labels), sizes, percent), percent).distinct(), "candidates")
+    rest = likely(more, classes, percent)
+    missing = stored(nodes_of(rest).join(sets.select("node"), "node", "left_anti"), "nodes")
+    if not missing.isEmpty():
+        sets = stored(sets.union(whole_sets(ids, missing, "_id", "_text", width)), "sets")
+    links = verified(rest, sets, percent)
+    final = components(first_links.union(links))
     marked = classes.select(F.col("digest").alias("_digest"), "node").join(
         final.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     marked = stored(marked.select("_digest", F.coalesce("label", "node").alias("component")), "components")
     out = rows.select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(
         marked, F.col("digest") == F.col("_digest"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    kind = docs.schema[key].dataType
+    return out.select(F.col("key").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").cast(kind).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
