@@ -11,6 +11,9 @@ from cohortlake.llm.url_filters import url_host
 
 #: A line on more than this percentage of a site's pages is boilerplate, if at least so many pages hold it.
 MOST_PERCENT, LEAST_PAGES = 30, 5
+#: For sites of many texts: also a line on more than this percentage of the site's different texts, if at least so
+#: many hold it. So many texts tell a share to about a fifth of it, and a site with fewer is not judged by it.
+WIDE_PERCENT, WIDE_TEXTS = 5, 20
 
 #: What ends a line of a page's text.
 _BLOCK = (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html"
@@ -41,23 +44,35 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate(pages: DataFrame, most_percent: int = MOST_PERCENT, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, most_percent: int = MOST_PERCENT, least_pages: int = LEAST_PAGES,
+                wide_percent: int | None = None, wide_texts: int = WIDE_TEXTS) -> DataFrame:
     """``(_site, _lines)``: hashes of each site's boilerplate lines, from ``(_site, _lines)`` of its pages.
 
-    Pages count a line once. Tasks combine counts before the shuffle, so a
-    large site or a line on all its pages sends one row per task. The set of a
-    site is bounded: its lines hold more than ``most_percent`` of the pages
-    each, so there are at most 100 / most_percent times as many as a page of
-    the site has lines on average.
+    Pages count a line once. With ``wide_percent``, lines on more than that
+    percentage of a site's different texts count too, if ``wide_texts`` hold
+    them. Pages with the same lines are one text there, so a group of copies
+    does not lose its own lines; copies that differ in a line are several.
+
+    Tasks combine counts before the shuffle, so a large site, a line on all its
+    pages or a page with many copies sends one row per task. The set of a site
+    is bounded: its lines hold more than a percentage p of the pages or texts
+    each, so there are at most 100 / p times as many as a page or text of the
+    site has lines on average.
     """
     hashed = F.array_distinct(F.transform(F.filter("_lines", has_word), lambda x: F.xxhash64(x)))
-    counts = pages.select("_site", F.explode(hashed).alias("_line")).groupBy("_site", "_line").agg(
-        F.count(F.lit(1)).alias("_pages")
-    )
-    totals = pages.groupBy("_site").agg(F.count(F.lit(1)).alias("_total"))
-    often = counts.where(F.col("_pages") >= least_pages).join(totals, "_site").where(
-        F.lit(100) * F.col("_pages") > F.lit(most_percent) * F.col("_total")
+    texts = pages.select("_site", hashed.alias("_hashed"), F.lit(1).cast("long").alias("_copies"))
+    if wide_percent is not None:
+        texts = stored(texts.groupBy("_site", "_hashed").agg(F.sum("_copies").alias("_copies")), "line-hashes")
+    counts = texts.select("_site", F.explode("_hashed").alias("_line"), "_copies").groupBy("_site", "_line").agg(
+        F.sum("_copies").alias("_pages"), F.count(F.lit(1)).alias("_texts")
     )
+    totals = texts.groupBy("_site").agg(F.sum("_copies").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
+    common = (F.col("_pages") >= least_pages) & (F.lit(100) * F.col("_pages") > F.lit(most_percent) * F.col("_total"))
+    enough = F.col("_pages") >= least_pages
+    if wide_percent is not None:
+        common |= (F.col("_texts") >= wide_texts) & (F.lit(100) * F.col("_texts") > F.lit(wide_percent) * F.col("_kinds"))
+        enough |= F.col("_texts") >= wide_texts
+    often = counts.where(enough).join(totals, "_site").where(common)
     return stored(often.groupBy("_site").agg(F.collect_set("_line").alias("_often")), "boilerplate")
 
 

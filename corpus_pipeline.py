@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand on too many documents of their source."""
-    return line_dedup.documents_without_boilerplate(docs)
+    """Documents without lines that stand on too many documents or different texts of their source."""
+    return line_dedup.documents_without_boilerplate(docs, wide_percent=line_dedup.WIDE_PERCENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

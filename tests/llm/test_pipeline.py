@@ -51,5 +51,19 @@ def test_stages_take_edge_rows_and_empty_tables(spark, sf_dir, make_docs, edges)
             assert out.count() <= 2 * docs.count()
 
 
+def test_line_stage_drops_a_line_of_a_tenth_of_a_source(spark, sf_dir, make_docs):
+    def text(i):
+        lines = [f"first {i}", f"natural {i % 25}", f"last {i}"]  # a natural line stands on 4 % of the texts
+        return "\n".join(lines[:1] + ["All of it is licensed"] * (i % 10 == 0) + lines[1:])
+
+    rows = [(i, text(i), "en", "many") for i in range(500)]
+    copies = [(1000 + i, "a copied text\nof two lines", "en", "many") for i in range(100)]
+    few = [(2000 + i, text(i), "en", "few") for i in range(50)]  # five texts hold the line: too few for a share of a tenth
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, make_docs(rows + copies + few), sf_dir).collect()}
+    want = {r[0]: r[1].replace("All of it is licensed\n", "") for r in rows} | {r[0]: r[1] for r in copies + few}
+    assert got == want
+
+
 def test_parameters_of_the_stages():
     assert quality.MIN_WORDS == 50 and decontamination.WINDOW == 10 and jaccard_join.SHINGLE_WORDS == 3
