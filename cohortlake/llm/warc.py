@@ -83,6 +83,7 @@ CHUNK = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("place", T.LongType()),
     T.StructField("size", T.LongType()), T.StructField("head", T.StringType()), T.StructField("head_size", T.LongType()),
     T.StructField("content", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("ends", T.BooleanType()),
+    T.StructField("chunk", T.BinaryType()),
 ])
 
 
@@ -101,7 +102,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate records: header, sizes and, where the content ends inside the chunk, its digest."""
+    """Candidate records: header, sizes and, where the content ends inside the chunk, its digest; the digest of each chunk."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {f.name: [] for f in CHUNK}
@@ -115,7 +116,7 @@ def parsed(spark: SparkSession, path: str) -> DataFrame:
             whole = content is not None and len(body) == content
             row = (file, block, place, len(data), head if content is not None else None, start if end >= 0 else None,
                    content, hashlib.sha256(body).hexdigest() if whole else None,
-                   whole and data[start + content :] == RECORD_END.encode())
+                   whole and data[start + content :] == RECORD_END.encode(), hashlib.sha256(data).digest())
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
         yield out
@@ -221,7 +222,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     whose payload holds a magic was cut, and is put together again from its
     pieces in a second pass over the archives.
     """
-    rows = stored(with_offsets(parsed(spark, path)), "chunks")
+    # stored first: blocks and places are those of one read
+    rows = stored(with_offsets(stored(parsed(spark, path), "parsed")), "chunks")
     jump = F.col("at") + len(MAGIC) + F.col("head_size") + F.col("content") + len(RECORD_END)
     candidates = rows.where("content is not null and at >= 0").select("file", "at", jump.alias("next"))
     reached = stored(chain(candidates), "chain")
@@ -238,23 +240,28 @@ def joined_pieces(spark: SparkSession, path: str, rows: DataFrame, cut: DataFram
 
     Which record a piece belongs to comes from a running maximum of offsets
     inside a segment of the file; a record that began in an earlier segment is
-    listed there once for each segment it reaches.
+    listed there once for each segment it reaches. The bytes are found by their
+    digest: Spark may split the files otherwise when they are read again, so
+    block and place do not carry over. A piece that is not found is an error.
     """
     first = F.floor(F.col("at") / SEGMENT_BYTES)
     last = F.floor((F.col("next") - 1) / SEGMENT_BYTES)
     spread = cut.select("file", F.explode(F.sequence(first, last)).alias("segment"), F.col("at").alias("start"),
                         F.col("next").alias("stop"))
-    pieces = rows.select("file", "block", "place", "at", F.floor(F.col("at") / SEGMENT_BYTES).alias("segment"))
+    pieces = rows.select("file", "at", "chunk", F.floor(F.col("at") / SEGMENT_BYTES).alias("segment"))
     # records come before pieces at the same offset
     lined = spread.select("file", "segment", F.greatest("start", F.col("segment") * SEGMENT_BYTES).alias("at"), "start", "stop",
-                          F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("place")).union(
-        pieces.select("file", "segment", "at", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1), "block", "place"))
+                          F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("chunk")).union(
+        pieces.select("file", "segment", "at", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1), "chunk"))
     upto = Window.partitionBy("file", "segment").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("kind") == 0, F.struct("start", "stop")), ignorenulls=True).over(upto)
     wanted = stored(
         lined.withColumn("_owner", owner).where("kind = 1 and at < _owner.stop")
-        .select("file", "block", "place", "at", F.col("_owner.start").alias("start")), "pieces")
-    texts = chunks(spark, path).join(wanted, ["file", "block", "place"])
+        .select("file", "at", "chunk", F.col("_owner.start").alias("start")), "pieces")
+    again = chunks(spark, path).select(F.unhex(F.sha2("bytes", 256)).alias("chunk"), "bytes")
+    found = again.join(wanted.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.first("bytes").alias("bytes"))
+    texts = wanted.join(found, "chunk", "left").withColumn(
+        "bytes", F.coalesce("bytes", F.raise_error(F.concat(F.lit("no bytes of a piece of "), F.col("file")))))
     lists = texts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
     heads = cut.withColumnRenamed("at", "start")
     # bytes between magics, the magics put back; a record is one row, as it was when it was written

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from cohortlake.llm import warc
+from cohortlake.llm.common import stored
 from cohortlake.session import shared_folder
 from tests.oracle import connect, differences
 
@@ -71,6 +72,22 @@ def test_small_segments_join_pieces(spark, archive, monkeypatch):
     assert Counter(map(tuple, warc.page_records(warc.read_warc(spark, archive(rows, 1))).collect())) == by_hand(rows)
 
 
+def test_second_read_may_split_the_files_otherwise(spark, archive, monkeypatch):
+    joined, before = warc.joined_pieces, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def later(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+        return stored(joined(*args), "test")
+
+    monkeypatch.setattr(warc, "joined_pieces", later)
+    path = archive(ROWS, 1)
+    try:
+        out = warc.page_records(warc.read_warc(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert Counter(map(tuple, out)) == by_hand(ROWS)
+
+
 def test_empty_table(spark, archive):
     path = archive([(1, "a")], 1) + "-none"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
