@@ -348,8 +348,12 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     union``, exactly. Empty sets (null text, no word) link with nothing. Equal
     sets are one node, so a group of copies is one row after the first
     aggregate. Rows that share a key are one document and reach each other.
-    Rows without a key are not linked and have no component.
+    Rows without a key are not linked and have no component. ``percent`` is 50
+    to 100: below, sets that differ by more than a factor of two can link, and
+    the cells hold only neighbouring powers of two of the size.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be 50 to 100, not {percent}")
     ids = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     each = described(ids, "_id", "_text", width, percent)
     rows = stored(each.select("key", "n", "digest"), "described")

@@ -93,3 +93,8 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = jj.op5_jaccard_join(spark, sf_dir).collect()
     assert sorted(map(tuple, out), key=str) == by_hand(rows)
+
+
+def test_percent_below_fifty_is_refused(make_docs):
+    with pytest.raises(ValueError):
+        jj.similar_components(make_docs([(1, "a b c"), (2, "a b c d")]), percent=49)
