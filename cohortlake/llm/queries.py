@@ -2,6 +2,7 @@
 
 from cohortlake.llm import (  # noqa: F401
     decontamination,
+    exact_dedup,
     jaccard_join,
     line_dedup,
     mixing,
