@@ -3,11 +3,13 @@
 from cohortlake.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     line_dedup,
     mixing,
     quality,
     secrets,
+    spelling,
     substring_dedup,
     toxicity,
     url_filters,
