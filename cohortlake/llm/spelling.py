@@ -293,11 +293,11 @@ forms AS (
     CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
   FROM v LEFT JOIN best USING (word)),
 walk AS (
-  SELECT word, form AS at FROM forms WHERE form IS NOT NULL
-  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NOT NULL),
+  SELECT word, form AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.step = forms.word WHERE forms.form IS NOT NULL),
 ends AS (
-  SELECT walk.word, at FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NULL)
-SELECT word, form, coalesce(at, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+  SELECT walk.word, step FROM walk JOIN forms ON walk.step = forms.word WHERE forms.form IS NULL)
+SELECT word, form, coalesce(step, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
 """)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
