@@ -235,6 +235,25 @@ def number_all_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows of the table up to each row; ``order`` is unique.
+
+    The table is range-sorted across tasks and pinned; a row's total is that
+    inside its partition plus the sums of the partitions before it.
+    """
+    pinned = checkpointed(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per partition
+    sums = pinned.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum"))
+    before = sums.select("_p", F.sum("_sum").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return (
+        pinned.withColumn(name, F.sum(value).over(inside))
+        .join(F.broadcast(before), F.col("_part") == F.col("_p"))
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        .drop("_part", "_p", "_before")
+    )
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], count: int) -> DataFrame:
     """At most ``count`` rows per key in the given order.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlake import fixed_values as V
 from cohortlake.functions.scoring import dropout_risk, exact_sum, outcome_scores
-from cohortlake.operators.portfolio import scalar
+from cohortlake.operators.ordered import running_total
 
 
 def events_by_severity(events: DataFrame, key: str = "trial_id") -> DataFrame:
@@ -71,31 +71,27 @@ def eligible_patients(trials: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def eligible_pool_size(trials: DataFrame, patients: DataFrame) -> DataFrame:
-    """How many patients of the whole pool fit each trial's age range.
+    """How many patients of the whole pool fit each trial's age range; none without both bounds.
 
-    Ages are whole years, so the pool is reduced to a count per age that
-    occurs, and to the running count of the ages up to each year of their span
-    (one short array); each trial subtracts two entries, and no patient-trial
-    pairs are built.
+    The ages that occur, with their counts, and the different bounds stand in
+    one sorted sequence, where a bound's running total tells how many patients
+    are below it (or up to it, for an upper bound). Each trial looks up two
+    totals. Ages and bounds may be any numbers, of any span, and no
+    patient-trial pairs are built.
     """
-    ages = patients.where(F.col("age").isNotNull()).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
-    entries = ages.agg(
-        F.collect_list(F.struct("age", "n")).alias("_ages"),
-        F.coalesce(F.min("age"), F.lit(0)).alias("first"), F.coalesce(F.max("age"), F.lit(0)).alias("last"),
+    ages = patients.where(F.col("age").isNotNull()).groupBy(F.col("age").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    # at equal numbers: a lower bound stands before the age, an upper bound behind it
+    lower, upper = (
+        trials.where(F.col(c).isNotNull()).select(F.col(c).alias("_at"), F.lit(side).alias("_side"), F.lit(0).cast("long").alias("_n")).distinct()
+        for c, side in (("min_age", 0), ("max_age", 2))
     )
-
-    def up_to(age: Column) -> Column:
-        younger = F.filter("_ages", lambda e: e["age"] <= age)
-        return F.aggregate(younger, F.lit(0).cast("bigint"), lambda total, e: total + e["n"])
-
-    # entry 1 is zero, entry i + 1 counts the first i years of the span
-    running = entries.select(
-        "first", "last", F.transform(F.sequence(F.col("first") - 1, F.col("last")), up_to).alias("upto"))
-    first, last = F.col("_pool.first"), F.col("_pool.last")
-    low, high = F.greatest("min_age", first), F.least("max_age", last)
-    counts = F.col("_pool.upto")
-    eligible = F.element_at(counts, high - first + 2) - F.element_at(counts, low - first + 1)
-    return trials.withColumn("_pool", scalar(running)).select(
-        "trial_id", "min_age", "max_age",
-        F.when(low <= high, eligible).otherwise(F.lit(0)).cast("bigint").alias("eligible"),
+    sequence = ages.select("_at", F.lit(1).alias("_side"), "_n").unionByName(lower).unionByName(upper)
+    totals = running_total(sequence, ["_at", "_side"], "_n", "_upto")
+    below, upto = (
+        totals.where(F.col("_side") == side).select(F.col("_at").alias(f"_{name}_at"), F.col("_upto").alias(f"_{name}"))
+        for side, name in ((0, "below"), (2, "upto"))
     )
+    found = trials.join(below, F.col("min_age") == F.col("_below_at"), "left").join(
+        upto, F.col("max_age") == F.col("_upto_at"), "left")
+    eligible = F.when(F.col("min_age") <= F.col("max_age"), F.col("_upto") - F.col("_below"))
+    return found.select("trial_id", "min_age", "max_age", F.coalesce(eligible, F.lit(0)).cast("bigint").alias("eligible"))

@@ -132,4 +132,18 @@ def test_eligible_pool_outside_the_age_span(spark):
     trials = spark.createDataFrame([("t", 0, 200), ("u", 60, 50), ("v", 30, 30)], "trial_id string, min_age int, max_age int")
     patients = spark.createDataFrame([(18,), (30,), (30,), (100,), (17,), (101,)], "age int")
     got = {r.trial_id: r.eligible for r in oc.eligible_pool_size(trials, patients).collect()}
-    assert got == {"t": 4, "u": 0, "v": 2}
+    assert got == {"t": 6, "u": 0, "v": 2}
+
+
+def test_eligible_pool_of_far_and_fractional_ages(spark):
+    trials = spark.createDataFrame(
+        [("a", 18.0, 30.0), ("b", 18.5, 3e9), ("c", 0.25, 0.25), ("d", None, 40.0), ("e", 18.0, None), ("f", -5.0, 2e9), ("a", 18.0, 30.0)],
+        "trial_id string, min_age double, max_age double")
+    ages = [18.0, 30.0, 30.0, 2e9, 0.25, 30.5, None]
+    patients = spark.createDataFrame([(a,) for a in ages], "age double")
+    got = sorted((r.trial_id, r.eligible) for r in oc.eligible_pool_size(trials, patients).collect())
+    assert got == [("a", 3), ("a", 3), ("b", 4), ("c", 1), ("d", 0), ("e", 0), ("f", 6)]
+    whole = spark.createDataFrame([(18,), (30,), (2_000_000_000,)], "age long")
+    got = {r.trial_id: r.eligible for r in oc.eligible_pool_size(trials, whole).collect()}
+    assert got == {"a": 2, "b": 2, "c": 0, "d": 0, "e": 0, "f": 3}
+    assert {r.eligible for r in oc.eligible_pool_size(trials, patients.limit(0)).collect()} == {0}
