@@ -269,6 +269,35 @@ def test_registration_equals_one_by_one(spark, seed):
     assert all(len(r.password) == 64 for r in added.collect())
 
 
+def registrations(spark, requests):
+    return spark.createDataFrame(
+        [(r, "A", "L", n, m, "pw") for r, n, m in requests],
+        "request_id int, first_name string, last_name string, username string, email string, password string").repartition(4)
+
+
+@pytest.mark.parametrize("component_rows", [3, 20_000])
+def test_registration_of_dense_clashes(spark, component_rows):
+    """Few keys: most requests fall into one group, also when it is too large for one task."""
+    rng = random.Random(9)
+    requests = [(i, f"user{rng.randint(1, 60)}", f"mail{rng.randint(1, 60)}") for i in range(150)]
+    known = spark.createDataFrame([(1, "user1", "mail1")], "index int, username string, email string")
+    got = {r.request_id: (r.problem, r.new_index) for r in us.register(registrations(spark, requests), known, component_rows=component_rows).collect()}
+    assert got == one_by_one([(r, "A", n, m) for r, n, m in requests], [(1, "user1", "mail1")])
+
+
+def test_registration_of_a_long_chain(spark, monkeypatch):
+    """Each request clashes with the one before: the rounds do not follow the length."""
+    rounds = []
+    plain = us.checkpointed
+    monkeypatch.setattr(us, "checkpointed", lambda df: rounds.append(1) or plain(df))
+    known = spark.createDataFrame([], "index int, username string, email string")
+    length = 3000
+    requests = [(i, f"user{(i + 1) // 2}", f"mail{i // 2}") for i in range(length)]
+    got = {r.request_id: r.new_index for r in us.register(registrations(spark, requests), known).collect()}
+    assert sorted(i for i, new in got.items() if new is not None) == list(range(0, length, 2))
+    assert len(rounds) < 40
+
+
 def test_profile_and_password_changes_ignore_case(spark):
     users = spark.createDataFrame([(1, "Ann", "A", "x", "Ann@X", "old"), (2, "Bob", "B", "y", "b@x", "old")],
                                   "index int, username string, first_name string, last_name string, email string, password string")
