@@ -8,27 +8,23 @@ from cohortlake.functions.access import client_ip, is_private, location_source
 from cohortlake.operators.ordered import first_per_group
 from cohortlake.schemas import LOGINS
 
-PLACE = ["country", "region", "city", "isp", "timezone"]
+ADDRESS_PLACE = ["country", "region", "city", "isp", "timezone", "latitude", "longitude"]
+GPS_PLACE = ["country", "state", "region", "city", "town", "village"]
 
 
 def with_address(logins: DataFrame) -> DataFrame:
     return logins.withColumn("ip_address", client_ip("x_forwarded_for", "x_real_ip", "peer"))
 
 
-def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
-    """Place columns from a table of addresses; defaults for private and unknown ones.
+def placed_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
+    """Logins with the columns of their address's ``place`` in ``(_key, place)``; defaults for private and unknown ones.
 
-    Of several places of one address the first in the order of their columns
-    counts, so a login stays one row. Private addresses need no place. They get spread-out join keys so that a
+    Private addresses need no place. They get spread-out join keys so that a
     large share of them does not meet in one task.
     """
     private = is_private("ip_address")
     spread = F.concat(F.lit("private "), F.pmod(F.xxhash64("login_id"), F.lit(4096)).cast("string"))
-    columns = (*PLACE, "latitude", "longitude")
-    dim = (
-        places.groupBy(F.col("ip_address").alias("_key")).agg(F.min(F.struct(*columns)).alias("_one"))
-        .select("_key", *[F.col(f"_one.{c}").alias(f"_{c}") for c in columns])
-    )
+    dim = places.select("_key", *[F.col(f"place.{c}").alias(f"_{c}") for c in ADDRESS_PLACE])
 
     def filled(name: str, default: str, local: str | None = None) -> Column:
         stored = F.coalesce(F.col(f"_{name}"), F.lit(default))
@@ -38,7 +34,7 @@ def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
         return F.when(private, F.lit(0.0)).otherwise(F.coalesce(f"_{name}", F.lit(0.0))).alias(name)
 
     joined = logins.withColumn("_key", F.when(private, spread).otherwise(F.col("ip_address"))).join(dim, "_key", "left")
-    kept = [c for c in logins.columns if c not in (*PLACE, "latitude", "longitude")]
+    kept = [c for c in logins.columns if c not in ADDRESS_PLACE]
     return joined.select(
         *kept,
         filled("country", "Unknown", "Localhost"), filled("region", "Unknown"),
@@ -47,31 +43,31 @@ def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> DataFrame:
-    """Place columns from a table of coordinates, compared after rounding.
+def place_by_address(logins: DataFrame, places: DataFrame) -> DataFrame:
+    """Place columns from a table of addresses.
 
-    Of several places in one cell the first in the order of their columns
-    counts, so a login stays one row. Logins without coordinates are labelled and kept; their join keys are
-    spread out because they can never match.
+    Of several places of one address the first in the order of their columns
+    counts, so a login stays one row.
     """
-    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    scale = 10 ** decimals
+    one = places.groupBy(F.col("ip_address").alias("_key")).agg(F.min(F.struct(*ADDRESS_PLACE)).alias("place"))
+    return placed_by_address(logins, one)
 
-    def cell(name: str) -> Column:
-        return F.floor(F.col(name) * scale + 0.5)
 
-    dim = places.groupBy(cell("latitude").alias("_lat"), cell("longitude").alias("_lon")).agg(
-        F.min(F.struct("country", "state", "region", "city", "town", "village")).alias("_place")
-    )
+def placed_by_gps(logins: DataFrame, places: DataFrame, latitude: Column, longitude: Column) -> DataFrame:
+    """Logins with the columns of the ``_place`` in ``(_lat, _lon, _place)`` whose keys equal the given ones.
+
+    Logins without coordinates are labelled and kept; their join keys are
+    spread out because they can never match.
+    """
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     spread = -F.pmod(F.xxhash64("login_id"), F.lit(4096)) - F.lit(1_000_000_000)
     keyed = logins.withColumns(
-        {"_lat": F.when(known, cell("latitude")).otherwise(spread),
-         "_lon": F.when(known, cell("longitude")).otherwise(F.lit(0))}
+        {"_lat": F.when(known, latitude).otherwise(spread), "_lon": F.when(known, longitude).otherwise(F.lit(0))}
     )
     unknown = F.lit("Unknown")
     place = lambda *names: F.coalesce(*[F.col(f"_place.{n}") for n in names], unknown)
-    kept = [c for c in logins.columns if c not in (*PLACE, "latitude", "longitude")]
-    return keyed.join(dim, ["_lat", "_lon"], "left").select(
+    kept = [c for c in logins.columns if c not in ADDRESS_PLACE]
+    return keyed.join(places, ["_lat", "_lon"], "left").select(
         *kept,
         place("country").alias("country"),
         place("state", "region").alias("region"),
@@ -83,6 +79,23 @@ def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> Dat
     )
 
 
+def place_by_gps(logins: DataFrame, places: DataFrame, decimals: int = 2) -> DataFrame:
+    """Place columns from a table of coordinates, compared after rounding.
+
+    Of several places in one cell the first in the order of their columns
+    counts, so a login stays one row. A place in another cell is not looked
+    for; :func:`cohortlake.operators.places.nearest_place` finds it.
+    """
+    scale = 10 ** decimals
+
+    def cell(name: str) -> Column:
+        return F.floor(F.col(name) * scale + 0.5)
+
+    one = places.groupBy(cell("latitude").alias("_lat"), cell("longitude").alias("_lon")).agg(
+        F.min(F.struct(*GPS_PLACE)).alias("_place"))
+    return placed_by_gps(logins, one, cell("latitude"), cell("longitude"))
+
+
 def audit_rows(placed: DataFrame) -> DataFrame:
     """Placed logins in the stored form of the login history, ready to append."""
     present = set(placed.columns)

@@ -1,10 +1,15 @@
 """Users and login audit."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortlake.functions import access as ac
-from cohortlake.operators import filters as flt, logins as lg, users as us
+from cohortlake.operators import filters as flt, logins as lg, places as pl, users as us
 from cohortlake.plans.registry import query
+from cohortlake.schemas import USERS
+from cohortlake.session import shared_folder
+from cohortlake.sources import tables as tb
 from cohortlake.sources.adapters import loader, view, with_views
 
 IP = """coalesce(trim(string_split(x_forwarded_for, ',')[1]), x_real_ip, peer, 'unknown')"""
@@ -60,6 +65,25 @@ def register_users(spark, sf_dir):
     return us.register(load("registrations_v"), load("users_v")).select("request_id", "new_index", "problem")
 
 
+@query(with_views(f""", {PROBLEMS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY request_id) AS turn
+           FROM problems WHERE problem IS NULL)
+SELECT index, first_name, username, email, 'unset' AS password FROM users_v
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY request_id) + (SELECT max(index) FROM users_v) AS INT), first_name, username, email,
+       sha256(password) FROM ranked WHERE turn = 1""", "registrations_v", "users_v"))
+def registered_users(spark, sf_dir):
+    """The user table after the accepted registrations were appended, read back."""
+    load = loader(spark, sf_dir)
+    path = f"{shared_folder(spark)}/users-{uuid.uuid4().hex}"
+    users = load("users_v").withColumn("password", F.lit("unset")).select(*[f.name for f in USERS])
+    tb.create_if_absent(spark, path, USERS)
+    tb.append(users, path)
+    registered = us.register(load("registrations_v"), tb.read_table(spark, path, USERS))
+    tb.append(us.new_users(registered), path)
+    return tb.read_table(spark, path, USERS).select("index", "first_name", "username", "email", "password")
+
+
 PROFILE_CHANGES = """
 SELECT lower(username) AS key, arg_max(first_name, request_id) AS first_name,
        arg_max(email, request_id) AS email FROM registrations_v GROUP BY 1"""
@@ -127,6 +151,46 @@ def login_gps_places(spark, sf_dir):
     return lg.place_by_gps(logins, load("gps_places_v")).drop("accuracy", "timezone")
 
 
+NUMBER = "list_reduce(list_transform(string_split({a}, '.'), lambda x: x::BIGINT), lambda s, x: s * 256 + x)"
+
+
+@query(with_views(f""",
+blocks AS (SELECT *, {NUMBER.format(a="string_split(network, '/')[1]")} AS low, string_split(network, '/')[2]::INT AS bits FROM address_blocks_v),
+addresses AS (SELECT DISTINCT ip, {NUMBER.format(a="ip")} AS n FROM (SELECT {IP} AS ip FROM logins_v) WHERE regexp_matches(ip, '^[0-9.]+$')),
+best AS (SELECT ip, arg_max(b, bits) AS b FROM addresses JOIN blocks b ON n // (1::BIGINT << (32 - bits)) = low // (1::BIGINT << (32 - bits)) GROUP BY ip)
+SELECT login_id, user_id, l.ip AS ip_address,
+  CASE WHEN {PRIVATE.replace('ip ', 'l.ip ').replace('(ip,', '(l.ip,')} THEN 'Localhost' ELSE coalesce(b.country, 'Unknown') END AS country,
+  CASE WHEN {PRIVATE.replace('ip ', 'l.ip ').replace('(ip,', '(l.ip,')} THEN 'Unknown' ELSE coalesce(b.region, 'Unknown') END AS region,
+  CASE WHEN {PRIVATE.replace('ip ', 'l.ip ').replace('(ip,', '(l.ip,')} THEN 'Local Machine' ELSE coalesce(b.city, 'Unknown') END AS city,
+  CASE WHEN {PRIVATE.replace('ip ', 'l.ip ').replace('(ip,', '(l.ip,')} THEN 0e0 ELSE coalesce(b.latitude, 0e0) END AS latitude,
+  CASE WHEN {PRIVATE.replace('ip ', 'l.ip ').replace('(ip,', '(l.ip,')} THEN 'Unknown' ELSE coalesce(b.isp, 'Unknown') END AS isp
+FROM (SELECT login_id, user_id, {IP} AS ip FROM logins_v) l LEFT JOIN best ON best.ip = l.ip""",
+                  "logins_v", "address_blocks_v"))
+def login_ranges(spark, sf_dir):
+    load = loader(spark, sf_dir)
+    logins = lg.with_address(load("logins_v")).select("login_id", "user_id", "ip_address")
+    return pl.place_by_range(logins, load("address_blocks_v")).drop("longitude", "timezone")
+
+
+# coordinates off the places' grid, so that no two places are equally near
+@query(with_views("""
+, moved AS (SELECT login_id, latitude + login_id % 101 * 371e-5 AS a, longitude + login_id % 89 * 1413e-5 AS b, accuracy FROM logins_v),
+spots AS (SELECT *, radians(latitude) AS p, radians(longitude) AS q FROM gps_places_v),
+asked AS (SELECT DISTINCT a, b, radians(a) AS p, radians(b) AS q FROM moved WHERE a IS NOT NULL),
+best AS (
+  SELECT a, b, arg_min(s, pow(sin((asked.p - s.p) / 2), 2) + cos(asked.p) * cos(s.p) * pow(sin((asked.q - s.q) / 2), 2)) AS s
+  FROM asked CROSS JOIN spots s GROUP BY a, b)
+SELECT login_id, coalesce(s.country, 'Unknown') AS country, coalesce(s.state, s.region, 'Unknown') AS region,
+  CASE WHEN m.a IS NULL THEN 'GPS Denied or Unavailable' ELSE coalesce(s.city, s.town, s.village, 'Unknown') END AS city
+FROM moved m LEFT JOIN best ON m.a = best.a AND m.b = best.b""", "logins_v", "gps_places_v"))
+def login_nearest_places(spark, sf_dir):
+    load = loader(spark, sf_dir)
+    logins = load("logins_v").select(
+        "login_id", (F.col("latitude") + F.col("login_id") % 101 * F.lit(371e-5)).alias("latitude"),
+        (F.col("longitude") + F.col("login_id") % 89 * F.lit(1413e-5)).alias("longitude"), "accuracy")
+    return pl.nearest_place(logins, load("gps_places_v")).select("login_id", "country", "region", "city")
+
+
 @query(with_views("SELECT login_id, user_id FROM logins_v ORDER BY timestamp DESC, login_id DESC LIMIT 100", "logins_v"))
 def latest_logins(spark, sf_dir):
     return lg.latest_logins(view(spark, sf_dir, "logins_v")).select("login_id", "user_id")

@@ -122,6 +122,23 @@ SELECT concat('203.0.113.', CAST(c_custkey % 250 AS STRING)) AS ip_address,
        max(c_mktsegment) AS isp, 'UTC' AS timezone
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 GROUP BY c_custkey % 250""",
+    # blocks inside each other, the outermost holding every address
+    "address_blocks_v": """
+SELECT network, country, region, city, latitude, longitude, isp, 'UTC' AS timezone FROM (
+  SELECT concat('203.0.113.', CAST(c_custkey % 16 * 16 AS STRING), '/28') AS network, max(n_name) AS country,
+         max(r_name) AS region, max(c_mktsegment) AS city, 1e0 AS latitude, 2e0 AS longitude, 'small' AS isp
+  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+  WHERE c_custkey % 16 % 3 <> 1 GROUP BY c_custkey % 16
+  UNION ALL
+  SELECT concat('203.0.113.', CAST(n_nationkey % 4 * 64 AS STRING), '/26'), max(n_name), max(r_name), NULL, 3e0, 4e0, 'medium'
+  FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 2 GROUP BY n_nationkey % 4
+  UNION ALL
+  SELECT concat('10.0.0.', CAST(n_nationkey % 8 * 32 AS STRING), '/27'), min(n_name), min(r_name), 'Inside', 5e0, 6e0, 'inner'
+  FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 8 < 5 GROUP BY n_nationkey % 8
+  UNION ALL
+  SELECT CASE r_regionkey WHEN 0 THEN '10.0.0.0/8' WHEN 1 THEN '0.0.0.0/0' WHEN 2 THEN '203.0.113.77/32'
+              ELSE concat('198.51.100.', CAST(r_regionkey AS STRING), '/31') END, r_name, 'Wide', NULL, 7e0, 8e0, 'large'
+  FROM {region}) b""",
     "gps_places_v": """
 SELECT CAST(c_custkey % 180 - 90 AS DOUBLE) + 5e-1 AS latitude,
        CAST(c_custkey % 300 - 150 AS DOUBLE) + 25e-2 AS longitude,
