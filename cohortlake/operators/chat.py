@@ -66,19 +66,22 @@ def only_simulation(results: DataFrame) -> DataFrame:
     return owners.where(F.col("_n") == 1).select("user_id", "only_id")
 
 
-def session_rows(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -> OrderedRows:
-    """Messages with the session's language, the carried and the only simulation id.
+def message_features(messages: DataFrame, results: DataFrame) -> DataFrame:
+    """Per message what moves its session: language, words, request, the ids it names. The text stays behind."""
+    if "forced_language" not in messages.columns:
+        messages = messages.withColumn("forced_language", F.lit(None).cast("string"))
+    found = classify(messages).drop("message").join(find_ids(messages, results), "chat_id", "left")
+    # joined before large users are cut: a later join on the user alone would
+    # bring their ranges back together
+    return found.join(only_simulation(results), "user_id", "left")
+
+
+def session_scan(rows: OrderedRows) -> OrderedRows:
+    """Adds the session's language and the carried simulation id.
 
     The language is the first message's, until a forced language replaces it.
     """
-    found = classify(messages).join(find_ids(messages, results), "chat_id", "left")
-    # joined before large users are cut: a later join on the user alone would
-    # bring their ranges back together
-    found = found.join(only_simulation(results), "user_id", "left")
-    hot = hot or find_hot_keys(messages, ["user_id"])
-    if "forced_language" not in messages.columns:
-        found = found.withColumn("forced_language", F.lit(None).cast("string"))
-    rows = OrderedRows.of(found, ["user_id"], ORDER, hot).scan(
+    rows = rows.scan(
         current_id=last_value(F.col("mention")),
         _first_language=first_value(F.col("detected_language")),
         _forced=last_value(F.col("forced_language")),
@@ -87,38 +90,57 @@ def session_rows(messages: DataFrame, results: DataFrame, hot: HotKeys | None =
     return rows.map(lambda df: df.withColumn("language", language).drop("_first_language", "_forced"))
 
 
-def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """What happens to each message: its action, and the request it resolves.
+def session_rows(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -> OrderedRows:
+    """Messages with the session's language, the carried and the only simulation id."""
+    hot = hot or find_hot_keys(messages, ["user_id"])
+    return session_scan(OrderedRows.of(message_features(messages, results), ["user_id"], ORDER, hot))
+
+
+#: What a session remembers of its update request.
+REQUEST = ("struct<state:string,request_id:bigint,target_id:string,field:string,new_value:string,problem:string,"
+           "opened_at:timestamp>")
+
+
+def request_steps(rows: OrderedRows, kinds: dict[str, T.DataType], pending_seconds: float | None = None,
+                  carried: bool = False) -> OrderedRows:
+    """Adds each message's action and the request it resolves to rows of :func:`session_scan`.
 
     A confirm or cancel word acts on the sender's open update request. A
     request opens when its simulation is known and owned by the sender, and
     replaces an older open one. A cancel closes it; a confirm executes and
     closes it unless the change itself cannot be applied, in which case it
-    stays open. All steps use one order per user.
+    stays open. With ``pending_seconds`` a request is open for so long only.
+
+    ``_event`` and ``_closing`` hold what a message asks for and what it leaves
+    open or closed. With ``carried``, rows may bring both from an earlier part
+    of the session as ``_carried_event`` and ``_carried_closing``.
     """
-    kinds = changeable(results.schema, "simulation_id")
-    rows = session_rows(messages, results, hot)
     rows = rows.map(lambda df: _with_target(df, kinds))
-
     opened = F.when(
         F.col("request_state") == "open",
-        F.struct(
-            F.lit("open").alias("state"), F.col("chat_id").alias("request_id"),
-            F.col("target_id"), F.col("field"), F.col("new_value"), F.col("problem"),
-        ),
-    )
-    closed = F.struct(
-        F.lit("closed").alias("state"), F.lit(None).alias("request_id"), F.lit(None).alias("target_id"),
-        F.lit(None).alias("field"), F.lit(None).alias("new_value"), F.lit(None).alias("problem"),
-    )
+        F.struct(F.lit("open").alias("state"), F.col("chat_id").cast("long").alias("request_id"), F.col("target_id"),
+                 F.col("field"), F.col("new_value"), F.col("problem"), F.col("timestamp").cast("timestamp").alias("opened_at")),
+    ).cast(REQUEST)
+    closed = F.struct(F.lit("closed").alias("state"), *[F.lit(None)] * 6).cast(REQUEST)
+    before = lambda name: [F.col(name)] if carried else []
     # last request or cancel before the row, confirms left aside: it tells
     # whether a confirm here can end anything
-    asked = F.coalesce(opened, F.when(F.col("word") == "cancel", closed))
-    rows = rows.scan(_asked=last_value(asked, with_current=False))
-    ends = (F.col("word") == "confirm") & (F.col("_asked.state") == "open") & F.col("_asked.problem").isNull()
-    rows = rows.scan(_pending=last_value(F.coalesce(asked, F.when(ends, closed)), with_current=False))
-
-    pending = F.col("_pending.state") == "open"
+    asked = F.coalesce(*before("_carried_event"), opened, F.when(F.col("word") == "cancel", closed))
+    rows = rows.map(lambda df: df.withColumn("_event", asked)).scan(_asked=last_value(F.col("_event"), with_current=False))
+
+    def still(request: str) -> Column:
+        is_open = F.col(f"{request}.state") == "open"
+        if pending_seconds is None:
+            return is_open
+        age = F.col("timestamp").cast("timestamp").cast("double") - F.col(f"{request}.opened_at").cast("double")
+        return is_open & (age <= F.lit(float(pending_seconds)))
+
+    ends = (F.col("word") == "confirm") & still("_asked") & F.col("_asked.problem").isNull()
+    closing = F.coalesce(*before("_carried_closing"), F.col("_event"), F.when(ends, closed))
+    rows = rows.map(lambda df: df.withColumn("_closing", closing)).scan(
+        _pending=last_value(F.col("_closing"), with_current=False))
+
+    pending = still("_pending")
     action = (
         F.when(pending & (F.col("word") == "cancel"), "cancelled")
         .when(pending & (F.col("word") == "confirm"),
@@ -133,21 +155,38 @@ def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None) -
     acts = pending & F.col("word").isNotNull()
     resolved = lambda name: F.when(acts, F.col(f"_pending.{name}"))
     translated = F.when(F.col("action_type") == "translation", F.col("translation_target"))
-    out = rows.map(
+    return rows.map(
         lambda df: df.withColumns(
             {
                 "action_type": action,
                 "resolves": resolved("request_id"),
-                "simulation_id": F.coalesce(resolved("target_id"), "target_id", "current_id"),
-                "field": F.coalesce(resolved("field"), "field"),
-                "new_value": F.coalesce(resolved("new_value"), "new_value"),
+                "_shown_id": F.coalesce(resolved("target_id"), "target_id", "current_id"),
+                "_shown_field": F.coalesce(resolved("field"), "field"),
+                "_shown_value": F.coalesce(resolved("new_value"), "new_value"),
             }
         ).withColumn("reply_language", F.coalesce(translated, "language"))
     )
-    return out.rows().select(
-        "chat_id", "user_id", "timestamp", "message", "language", "reply_language", "action_type",
-        "simulation_id", "field", "new_value", "resolves",
-    )
+
+
+OUTCOME = ["chat_id", "user_id", "timestamp", "language", "reply_language", "action_type", "simulation_id", "field",
+           "new_value", "resolves"]
+
+
+def outcome_columns() -> list[Column]:
+    """The outcome of a message, in the columns of :func:`route`, from rows of :func:`request_steps`."""
+    shown = {"simulation_id": "_shown_id", "field": "_shown_field", "new_value": "_shown_value"}
+    return [F.col(shown.get(c, c)).alias(c) for c in OUTCOME]
+
+
+def route(messages: DataFrame, results: DataFrame, hot: HotKeys | None = None,
+          pending_seconds: float | None = None) -> DataFrame:
+    """What happens to each message: its action, and the request it resolves (see :func:`request_steps`).
+
+    All steps use one order per user. Texts do not travel with the sessions;
+    who needs them joins the messages by ``chat_id``.
+    """
+    kinds = changeable(results.schema, "simulation_id")
+    return request_steps(session_rows(messages, results, hot), kinds, pending_seconds).rows().select(*outcome_columns())
 
 
 def _with_target(df: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:

@@ -186,9 +186,10 @@ SELECT chat_id, user_id, coalesce(array_to_string(list(message) OVER (
 FROM routed WHERE action_type = 'chat'""", CLASSIFIED, FOUND, SESSION, ROUTED))
 def context_window(spark, sf_dir):
     load = loader(spark, sf_dir)
-    exchanges = chat.route(load("chat_v"), load("results_v")).where(F.col("action_type") == "chat")
     # chat rows are a part of all messages, so their hot users are among these
     hot = chat.find_hot_keys(load("chat_v"), ["user_id"])
+    routed = chat.route(load("chat_v"), load("results_v"), hot).where(F.col("action_type") == "chat")
+    exchanges = routed.join(load("chat_v").select("chat_id", "message"), "chat_id")
     return chat.context_window(exchanges, F.col("message"), 5, hot).select(
         "chat_id", "user_id", F.array_join("context", " | ").alias("context")
     )

@@ -8,16 +8,16 @@ from cohortlake.plans import chat_queries  # noqa: F401  (fills ORACLES)
 from cohortlake.plans.registry import ORACLES, query
 from cohortlake.session import shared_folder
 from cohortlake.sources.adapters import VIEWS, table, view, with_views
-from cohortlake.sources.versions import read_current, replace_table
-from cohortlake.streaming.changes import apply_change_stream
+from cohortlake.sources.versions import replace_table
+from cohortlake.streaming.changes import apply_change_stream, read_changed
 from cohortlake.streaming.ingest import append_stream, chat_events, file_stream, login_events
-from cohortlake.streaming.sessions import route_stream
+from cohortlake.streaming.sessions import route_stream, routed
 
 
-def _events_view(spark, sf_dir, name):
+def _events_view(spark, sf_dir, name, files_per_trigger=None):
     """A view over ``events`` as a stream."""
     # a glob, because the table may be one file or a folder of files
-    stream = file_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+    stream = file_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema, files_per_trigger)
     return spark.sql(VIEWS[name], events=stream)
 
 
@@ -53,7 +53,7 @@ def change_stream(spark, sf_dir):
     start = view(spark, sf_dir, "results_v").withColumn("updated_at", F.lit(None).cast("timestamp"))
     replace_table(start, f"{root}/results")
     apply_change_stream(_events_view(spark, sf_dir, "changes_v"), f"{root}/results", f"{root}/progress").awaitTermination()
-    return read_current(spark, f"{root}/results").select(
+    return read_changed(spark, f"{root}/results").select(
         "simulation_id", "trial_id", "patients_enrolled", "patients_completed", "dropout_rate", "estimated_cost",
         F.col("updated_at").cast("string").alias("updated_at"),
     )
@@ -62,13 +62,8 @@ def change_stream(spark, sf_dir):
 @query(ORACLES["update_resolution"])
 def session_stream(spark, sf_dir):
     root = _run_folder(spark)
-    routed = route_stream(_events_view(spark, sf_dir, "chat_v"), view(spark, sf_dir, "results_v"))
-    run = (
-        routed.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{root}/routed").option("checkpointLocation", f"{root}/progress")
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/routed").where(F.col("resolves").isNotNull()).select(
+    messages = _events_view(spark, sf_dir, "chat_v", files_per_trigger=8)
+    route_stream(messages, view(spark, sf_dir, "results_v"), f"{root}/sessions", f"{root}/progress").awaitTermination()
+    return routed(spark, f"{root}/sessions").where(F.col("resolves").isNotNull()).select(
         "chat_id", "user_id", "action_type", "resolves", "simulation_id", "field", "new_value"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from cohortlake.operators import chat
 from cohortlake.operators.changes import apply_changes
 from cohortlake.sources.adapters import view
-from cohortlake.sources.versions import commits, current_version, read_current, replace_table
+from cohortlake.sources.versions import current_version, read_current, replace_table
 from cohortlake.streaming import changes as sc, ingest, sessions
 
 
@@ -30,50 +30,97 @@ def log(spark, sf_dir, tmp_path_factory):
     return messages, path
 
 
-COLUMNS = ["chat_id", "user_id", "language", "action_type", "simulation_id", "field", "new_value", "resolves"]
+COLUMNS = ["chat_id", "user_id", "language", "reply_language", "action_type", "simulation_id", "field", "new_value", "resolves"]
 
 
-def run(stream, root):
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+def same_rows(got, want):
+    assert sorted(map(str, got.select(*COLUMNS).collect())) == sorted(map(str, want.select(*COLUMNS).collect()))
 
 
 def test_session_stream_equals_batch(spark, sf_dir, log, tmp_path):
     messages, path = log
     results = view(spark, sf_dir, "results_v")
     stream = ingest.file_stream(spark, path, messages.schema, 1)
-    query = run(sessions.route_stream(stream, results), tmp_path)
+    query = sessions.route_stream(stream, results, f"{tmp_path}/out", f"{tmp_path}/progress")
+    query.awaitTermination()
     assert len({p["batchId"] for p in query.recentProgress}) == 3
-    got = spark.read.parquet(f"{tmp_path}/out").select(*COLUMNS)
-    want = chat.route(messages, results).select(*COLUMNS)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    same_rows(sessions.routed(spark, f"{tmp_path}/out"), chat.route(messages, results))
+
+
+def newest_first(df, path, parts=4):
+    """Write a log as files of which the newest rows come first."""
+    at = F.ntile(parts).over(Window.orderBy(F.desc("timestamp")))
+    for part in range(1, parts + 1):
+        df.withColumn("_part", at).where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+
+CHAT = "chat_id long, user_id string, timestamp string, message string"
+
+
+def hand_log(spark):
+    """One user with most messages: requests, confirms, cancels, named ids and languages, over two minutes."""
+    says = ["hello", "update simulation sim_1 dropout rate to 0.5", "yes", "change patients enrolled to 70", "no",
+            "update dropout rate to many", "yes", "what about sim_2", "update dropout rate to 0.25", "thanks", "confirm", "হ্যালো"]
+    rows = [(i, "u" if i % 5 else f"v{i % 10}", f"2025-01-01 00:{i // 30:02d}:{i % 30 * 2:02d}", says[i * 7 % 12]) for i in range(120)]
+    df = spark.createDataFrame(rows, CHAT).withColumn("timestamp", F.to_timestamp("timestamp"))
+    results = spark.createDataFrame([(f"sim_{i}", "u" if i < 3 else f"v{i}", 0.1, 5, None) for i in range(9)],
+                                    "simulation_id string, user_id string, dropout_rate double, patients_enrolled int, created_at timestamp")
+    return df, results
+
+
+@pytest.mark.parametrize("hot_rows,seconds", [(10, None), (1000, 5)])
+def test_sessions_from_files_in_any_order(spark, tmp_path, hot_rows, seconds):
+    """Newest files first, then shuffled ones; a user with most of the log is cut into ranges."""
+    messages, results = hand_log(spark)
+    want = chat.route(messages, results, pending_seconds=seconds)
+    assert want.where("action_type = 'update_executed'").count() > 2
+    newest_first(messages, f"{tmp_path}/in", 3)
+    for part in range(2):
+        messages.where(F.pmod(F.xxhash64("chat_id"), F.lit(2)) == part).coalesce(1).write.parquet(f"{tmp_path}/mixed{part}")
+    stream = ingest.file_stream(spark, f"{tmp_path}/in", messages.schema, 1)
+    sessions.route_stream(stream, results, f"{tmp_path}/a", f"{tmp_path}/pa", seconds, hot_rows).awaitTermination()
+    same_rows(sessions.routed(spark, f"{tmp_path}/a"), want)
+    for part in range(2):
+        batch = spark.read.parquet(f"{tmp_path}/mixed{part}")
+        for _ in range(2):  # a micro-batch that is repeated changes nothing
+            sessions.walk_batch(batch, part, results, f"{tmp_path}/b", seconds, hot_rows)
+    same_rows(sessions.routed(spark, f"{tmp_path}/b"), want)
+
+
+def test_late_messages_walk_only_what_follows(spark, tmp_path):
+    messages, results = hand_log(spark)
+    parts = [messages.where("chat_id < 60"), messages.where("chat_id between 60 and 99"), messages.where("chat_id between 101 and 119"),
+             messages.where("chat_id = 100")]
+    for i, part in enumerate(parts):
+        sessions.walk_batch(part, i, results, f"{tmp_path}/s", None, 1000)
+    same_rows(sessions.routed(spark, f"{tmp_path}/s"), chat.route(messages, results))
+    again = spark.read.parquet(f"{tmp_path}/s/steps/batch=3").where("NOT _state")
+    assert again.agg(F.min("chat_id")).first()[0] >= 100  # the state before the late message is kept
+    assert {r.user_id for r in again.collect()} == {r.user_id for r in parts[3].collect()}
+
+
+def test_sessions_run_without_python(spark, tmp_path):
+    messages, results = hand_log(spark)
+    sessions.walk_batch(messages, 0, results, f"{tmp_path}/s", None, 1000)
+    for df in (chat.route(messages.where("chat_id > 0"), results), sessions.routed(spark, f"{tmp_path}/s")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        for word in ("Python", "Pandas", "CartesianProduct", "NestedLoop"):
+            assert word not in text
 
 
 def test_open_requests_can_time_out(spark, tmp_path):
     rows = [(0, "u", "2025-01-01 00:00:00", "update simulation sim_1 dropout rate to 0.5"),
             (1, "u", "2025-01-01 00:00:30", "hello"), (2, "u", "2025-01-01 00:02:00", "yes")]
-    df = spark.createDataFrame(rows, "chat_id long, user_id string, timestamp string, message string").withColumn(
-        "timestamp", F.to_timestamp("timestamp"))
+    df = spark.createDataFrame(rows, CHAT).withColumn("timestamp", F.to_timestamp("timestamp"))
     results = spark.createDataFrame([("sim_1", "u", 0.1, None)], "simulation_id string, user_id string, dropout_rate double, created_at timestamp")
     df.write.parquet(f"{tmp_path}/in")
     stream = ingest.file_stream(spark, f"{tmp_path}/in", df.schema)
     for seconds, action in ((None, "update_executed"), (60, "chat")):
         root = f"{tmp_path}/{action}"
-        run(sessions.route_stream(stream, results, seconds), root)
-        got = {r.chat_id: r.action_type for r in spark.read.parquet(f"{root}/out").collect()}
-        assert got == {0: "update_request", 1: "chat", 2: action}
-
-
-def newest_first(df, path, parts=4):
-    """Write a log as files of which the newest rows come first."""
-    at = F.ntile(parts).over(Window.orderBy(F.desc("timestamp")))
-    for part in range(1, parts + 1):
-        df.withColumn("_part", at).where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)
+        sessions.route_stream(stream, results, root, f"{root}-progress", seconds).awaitTermination()
+        for found in (sessions.routed(spark, root), chat.route(df, results, pending_seconds=seconds)):
+            assert {r.chat_id: r.action_type for r in found.collect()} == {0: "update_request", 1: "chat", 2: action}
 
 
 def test_ingest_keeps_late_rows_and_drops_repeats(spark, sf_dir, tmp_path):
@@ -104,31 +151,82 @@ def test_login_ingest_keeps_rows_without_id(spark, tmp_path):
     assert {r.login_id: r["count"] for r in got} == {None: 4, 1: 1, 2: 1}
 
 
-def test_change_stream_takes_late_changes_by_their_time(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("fold_rows", [1, 100_000])
+def test_change_stream_takes_late_changes_by_their_time(spark, sf_dir, tmp_path, fold_rows):
     changes = view(spark, sf_dir, "changes_v").withColumnRenamed("changed_at", "timestamp")
     newest_first(changes, f"{tmp_path}/in", 3)
     start = view(spark, sf_dir, "results_v").withColumn("updated_at", F.lit(None).cast("timestamp"))
-    replace_table(start, f"{tmp_path}/results")
+    path = f"{tmp_path}/results"
+    replace_table(start, path)
     want = sorted(map(str, apply_changes(start, changes.withColumnRenamed("timestamp", "changed_at")).collect()))
     for attempt in ("a", "b"):  # another stream repeats all changes and changes nothing
         stream = ingest.file_stream(spark, f"{tmp_path}/in", changes.schema, 1).withColumnRenamed("timestamp", "changed_at")
-        sc.apply_change_stream(stream, f"{tmp_path}/results", f"{tmp_path}/{attempt}").awaitTermination()
-        assert sorted(map(str, read_current(spark, f"{tmp_path}/results").collect())) == want
+        sc.apply_change_stream(stream, path, f"{tmp_path}/{attempt}", fold_rows=fold_rows).awaitTermination()
+        assert sorted(map(str, sc.read_changed(spark, path).collect())) == want
+    assert current_version(spark, path) == 1
+    folds = current_version(spark, f"{path}-changes/folded")
+    assert folds >= 2 if fold_rows == 1 else folds == 0
+    sc.fold_changes(spark, path)
+    assert sorted(map(str, sc.read_changed(spark, path).collect())) == want
+
+
+CHANGES = "change_id long, simulation_id string, field string, value string, at string"
+
+
+def change_rows(spark, rows):
+    return spark.createDataFrame(rows, CHANGES).selectExpr(
+        "change_id", "simulation_id", "field", "value", "CAST(at AS TIMESTAMP) AS changed_at")
 
 
 def test_a_second_stream_applies_its_changes(spark, tmp_path):
     start = spark.createDataFrame([("s1", 1), ("s2", 1)], "simulation_id string, patients_enrolled int")
     replace_table(start, f"{tmp_path}/results")
     for i, value in enumerate(("20", "30")):
-        batch = spark.createDataFrame([(i, "s1", "patients_enrolled", value, f"2025-01-0{i + 1} 00:00:00")],
-                                      "change_id long, simulation_id string, field string, value string, at string").selectExpr(
-            "change_id", "simulation_id", "field", "value", "CAST(at AS TIMESTAMP) AS changed_at")
+        batch = change_rows(spark, [(i, "s1", "patients_enrolled", value, f"2025-01-0{i + 1} 00:00:00")])
         batch.write.parquet(f"{tmp_path}/in{i}")
         for _ in range(2):  # the same stream started again has nothing left to do
             stream = ingest.file_stream(spark, f"{tmp_path}/in{i}", batch.schema)
             sc.apply_change_stream(stream, f"{tmp_path}/results", f"{tmp_path}/progress{i}").awaitTermination()
-    assert {tuple(r) for r in read_current(spark, f"{tmp_path}/results").collect()} == {("s1", 30), ("s2", 1)}
-    assert commits(spark, f"{tmp_path}/results").count() == 3
+    assert {tuple(r) for r in sc.read_changed(spark, f"{tmp_path}/results").collect()} == {("s1", 30), ("s2", 1)}
+
+
+def bytes_below(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_micro_batch_writes_in_proportion_to_its_changes(spark, tmp_path):
+    """Bytes written follow the changes, not the table; bad changes and older ones of a field are not kept."""
+    start = spark.range(200_000).selectExpr("concat('s', id) AS simulation_id", "CAST(id AS INT) AS patients_enrolled", "rand(1) AS dropout_rate")
+    path = f"{tmp_path}/results"
+    replace_table(start, path)
+    table = bytes_below(tmp_path / "results")
+    rows = [(i, f"s{i % 10}", "patients_enrolled", str(i), f"2025-01-01 00:00:{i % 60:02d}") for i in range(60)]
+    sc.write_changes(change_rows(spark, [*rows, (99, "s1", "patients_enrolled", "many", "2026-01-01 00:00:00")]), path, "a", 0, "simulation_id", 1000)
+    written = bytes_below(tmp_path / "results-changes")
+    assert bytes_below(tmp_path / "results") == table and written < table / 50
+    assert sc.all_changes(spark, path, "simulation_id").count() == 10
+    sc.write_changes(change_rows(spark, rows), path, "a", 0, "simulation_id", 1000)  # repeated
+    assert bytes_below(tmp_path / "results-changes") == written
+    got = {r.simulation_id: r.patients_enrolled for r in sc.read_changed(spark, path).where("length(simulation_id) = 2").collect()}
+    assert got == {f"s{i}": 50 + i for i in range(10)}
+
+
+def test_a_writer_behind_a_fold_is_read(spark, tmp_path):
+    """A micro-batch that began before a fold and ended after it still counts, also after the next fold."""
+    path = f"{tmp_path}/results"
+    replace_table(spark.createDataFrame([("s1", 1), ("s2", 1)], "simulation_id string, patients_enrolled int"), path)
+    write = lambda i, value, n: sc.write_changes(
+        change_rows(spark, [(i, "s1" if i < 5 else "s2", "patients_enrolled", value, f"2025-01-0{i + 1} 00:00:00")]), path, "a", n, "simulation_id", 1000)
+    write(0, "10", 0)
+    sc.fold_changes(spark, path)
+    late = change_rows(spark, [(7, "s2", "patients_enrolled", "70", "2025-02-01 00:00:00")]).select("simulation_id", "field", "value", "changed_at", "change_id")
+    late.write.parquet(f"{path}-changes/log/gen=0/source=b/batch=0")
+    for _ in range(2):
+        assert {tuple(r) for r in sc.read_changed(spark, path).collect()} == {("s1", 10), ("s2", 70)}
+        sc.fold_changes(spark, path)
+    write(1, "11", 1)
+    sc.fold_changes(spark, path)
+    assert {tuple(r) for r in sc.read_changed(spark, path).collect()} == {("s1", 11), ("s2", 70)}
 
 
 def test_of_two_writers_one_is_refused(spark, tmp_path):
