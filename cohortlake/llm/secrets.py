@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re._constants as parts
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,25 +182,30 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return index.groupBy("_key").agg(*masks).select("_key", F.array_compact(F.array(*met)).alias("_rules"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; inside a lambda an expression would be computed for each entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sums_before(lengths: Column) -> Column:
-    """For each entry the sum of those before it; in chunks, so that long lists stay near linear."""
+    """For each entry of a bound array the sum of those before it; in chunks, so that long lists stay near linear."""
     add = lambda s, x: s + x
     zero = F.lit(0).cast("long")
-    chunks = F.transform(
+    sums = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")),
         lambda k: F.aggregate(F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)), zero, add),
     )
-    # reads the chunk sums once per chunk, not once per entry
-    bases = F.transform(F.sequence(F.lit(0), F.size(chunks) - 1),
-                        lambda k: F.aggregate(F.slice(chunks, F.lit(1), k), zero, add))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size(chunks) - 1),
-        lambda k: F.transform(
-            F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)),
-            lambda _, i: F.get(bases, k) + F.aggregate(F.slice(lengths, k * CHUNK + 1, i), zero, add),
-        ),
-    )
-    return F.flatten(each)
+
+    def each(chunks: Column) -> Column:
+        return F.flatten(F.transform(
+            chunks,
+            lambda _, k: bound(F.aggregate(F.slice(chunks, F.lit(1), k), zero, add), lambda base: bound(
+                F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)),
+                lambda part: F.transform(part, lambda _, i: base + F.aggregate(F.slice(part, F.lit(1), i), zero, add)),
+            )),
+        ))
+
+    return bound(sums, each)
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
@@ -207,23 +213,24 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     pattern = rule.pattern
     if rule.kind == "hex":  # a run of the least length or more is found at its start: shorter ones need no match
         pattern = rf"[0-9a-f]{{{rule.least},}}"
-    empty = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(whole, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("long"))
-    before = sums_before(lengths)
-    spans = F.transform(
-        F.arrays_zip(whole.alias("w"), measured.alias("m"), F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), before.alias("b")),
-        lambda x: F.struct(
-            (x["b"] + F.length(x["g"])).alias("start"), F.lit(number).alias("number"),
-            (x["b"] + F.length(x["g"]) + F.length(x["w"])).alias("end"), F.length(x["m"]).alias("n"),
-        ),
-    )
-    long_enough = F.transform(
-        F.filter(spans, lambda s: s["n"] >= rule.least), lambda s: F.struct(s["start"], s["number"], s["end"])
+    kind = "array<struct<start:bigint,number:int,end:bigint>>"
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)).alias("measured"),
+        F.split(text, pattern, -1).alias("gaps"),
     )
-    return F.when(text.rlike(pattern), long_enough.cast("array<struct<start:bigint,number:int,end:bigint>>")).otherwise(empty)
+
+    def spans(m: Column) -> Column:
+        lengths = F.transform(m["whole"], lambda w, i: (F.length(F.get(m["gaps"], i)) + F.length(w)).cast("long"))
+        return bound(lengths, lambda lengths: bound(sums_before(lengths), lambda before: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(before) - 1), lambda i: F.length(F.get(m["measured"], i)) >= rule.least),
+            lambda i: F.struct(
+                (F.get(before, i) + F.length(F.get(m["gaps"], i))).alias("start"), F.lit(number).alias("number"),
+                (F.get(before, i) + F.get(lengths, i)).alias("end"),
+            ),
+        )))
+
+    return F.when(text.rlike(pattern), bound(found, spans).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None,

@@ -1,8 +1,10 @@
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cohortlake.llm import secrets as sc
 from tests.oracle import connect, differences
@@ -29,6 +31,17 @@ def test_spans_equal_the_plain_rule(make_docs):
     assert got == Counter((i, by_hand(t)) for i, t in rows)
 
 
+def test_time_grows_in_line_with_the_matches(make_docs):
+    """Twenty times the matches of a text take far less than the square of the time."""
+    unit, took = "token=abcdefgh ", {}
+    for n in (2000, 2000, 40_000):  # the first call compiles
+        start = time.perf_counter()
+        spans = sc.secret_spans(make_docs([(1, unit * n)])).select(F.size("spans"), F.element_at("spans", -1)["end"]).first()
+        took[n] = time.perf_counter() - start
+        assert tuple(spans) == (n, len(unit) * n - 1)
+    assert took[40_000] < 20 * took[2000] + 20
+
+
 def holds(query, text):
     low = text.lower()
     return all(any(all(t in low for t in s) for s in c) for c in query)
