@@ -60,10 +60,12 @@ def boilerplate(pages: DataFrame, most_percent: int = MOST_PERCENT, least_pages:
     site has lines on average.
     """
     hashed = F.array_distinct(F.transform(F.filter("_lines", has_word), lambda x: F.xxhash64(x)))
-    texts = pages.select("_site", hashed.alias("_hashed"), F.lit(1).cast("long").alias("_copies"))
+    texts = pages.select("_site", "_lines", F.lit(1).cast("long").alias("_copies"))
     if wide_percent is not None:
-        texts = stored(texts.groupBy("_site", "_hashed").agg(F.sum("_copies").alias("_copies")), "line-hashes")
-    counts = texts.select("_site", F.explode("_hashed").alias("_line"), "_copies").groupBy("_site", "_line").agg(
+        kinds = texts.groupBy("_site", hashed.alias("_hashed")).agg(F.sum("_copies").alias("_copies"))
+        texts, hashed = stored(kinds, "line-hashes"), F.col("_hashed")
+    # the expression itself, not a column of it: Spark filters such a column by its size, and computes it once more for that
+    counts = texts.select("_site", F.explode(hashed).alias("_line"), "_copies").groupBy("_site", "_line").agg(
         F.sum("_copies").alias("_pages"), F.count(F.lit(1)).alias("_texts")
     )
     totals = texts.groupBy("_site").agg(F.sum("_copies").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
