@@ -50,9 +50,10 @@ def page(results: DataFrame, by: str, number: int, size: int = PAGE_SIZE) -> Dat
 
 
 def all_pages(results: DataFrame, by: str, size: int = PAGE_SIZE) -> DataFrame:
-    """Every row with its position and page in the whole sorted table."""
-    numbered = number_all_rows(results, sort_columns(by), "position")
-    return numbered.withColumn("page", F.floor((F.col("position") - 1) / size) + 1)
+    """Every row with its position and page in the whole sorted table; only key and sort value are sorted and pinned."""
+    narrow = results.select("simulation_id", SORTS[by][0])
+    numbered = number_all_rows(narrow, sort_columns(by), "position").select("simulation_id", "position")
+    return results.join(numbered, "simulation_id").withColumn("page", F.floor((F.col("position") - 1) / size) + 1)
 
 
 def page_count(results: DataFrame, size: int = PAGE_SIZE) -> DataFrame:

@@ -1,10 +1,14 @@
 """Results analytics, validation, cleaning and form conversion."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortlake.functions import text as tx
 from cohortlake.operators import portfolio as pf, quality as q, results as rs
-from cohortlake.plans.registry import query
+from cohortlake.plans.registry import ORACLES, query
+from cohortlake.session import shared_folder
+from cohortlake.sources import rank_index as ri, search_index as si
 from cohortlake.sources.adapters import loader, view, with_views
 from cohortlake.sources.tables import to_json_records
 
@@ -31,6 +35,27 @@ def search_results(spark, sf_dir):
     return rs.search(rows, "DRUG-42 Cond").select("simulation_id", "trial_name", "drug_name", "phase")
 
 
+@query(ORACLES["search_results"])
+def indexed_search(spark, sf_dir):
+    """The same search by way of postings."""
+    load = loader(spark, sf_dir)
+    rows = pf.results_with_trial(load("results_v"), load("trials_v"))
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    si.build_search_index(rows, path)
+    return si.indexed_search(rows, path, "DRUG-42 Cond").select("simulation_id", "trial_name", "drug_name", "phase")
+
+
+@query(with_views("""
+SELECT simulation_id, patients_enrolled, success_probability, row_number() OVER () + 1200 AS position
+FROM (SELECT * FROM results_v ORDER BY coalesce(patients_enrolled, 0) DESC, simulation_id LIMIT 12 OFFSET 1200)""", "results_v"))
+def indexed_page(spark, sf_dir):
+    """Page 101 from the index of positions."""
+    rows = view(spark, sf_dir, "results_v").select("simulation_id", "patients_enrolled", "success_probability")
+    path = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    ri.build_rank_index(rows, rs.sort_columns("patients_desc"), path)
+    return ri.indexed_page(rows, path, 101)
+
+
 @query(with_views("""
 SELECT simulation_id, success_probability, patients_enrolled, position,
        CAST(floor((position - 1) / 12) AS BIGINT) + 1 AS page

@@ -10,6 +10,7 @@ from cohortlake.schemas import CHAT, LOGINS, RESULTS
 from cohortlake.session import shared_folder
 from cohortlake.sources import tables as tb
 from cohortlake.sources.adapters import loader, view, with_views
+from cohortlake.sources.split_csv import read_split_csv
 from cohortlake.sources.versions import read_current, replace_table
 
 COLUMNS = ["simulation_id", "trial_id", "user_id", "patients_enrolled", "patients_completed", "dropout_rate",
@@ -121,3 +122,15 @@ def csv_rejects(spark, sf_dir):
     declared = T.StructType([T.StructField("form_id", T.LongType()), T.StructField("patients_enrolled", T.IntegerType()),
                              T.StructField("dropout_percent", T.DoubleType())])
     return tb.csv_rejects(spark, path, declared).withColumn("form_id", F.col("form_id").cast("long"))
+
+
+@query(with_views("""
+SELECT chat_id, concat('"', message, '"', chr(10), 'said by ', user_id, ', or not') AS message, chat_id / 4 AS quarter
+FROM chat_v""", "chat_v"))
+def csv_split_scan(spark, sf_dir):
+    """Messages with quotes and line breaks, written as CSV and read back in splits."""
+    path = _folder(spark)
+    text = F.concat(F.lit('"'), "message", F.lit('"\n'), F.lit("said by "), "user_id", F.lit(", or not"))
+    rows = view(spark, sf_dir, "chat_v").select("chat_id", text.alias("message"), (F.col("chat_id") / 4).alias("quarter"))
+    tb.export(rows, path, "csv")
+    return read_split_csv(spark, path, rows.schema)
