@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortlake.functions.access import is_private
@@ -31,29 +34,58 @@ def login_events(logins: DataFrame) -> DataFrame:
     return timed.withColumn("private", is_private("ip_address")).withColumn("day", F.to_date("timestamp"))
 
 
-def not_stored(batch: DataFrame, path: str, key: str) -> DataFrame:
-    """The batch's events whose id the table does not hold yet, each id once.
+#: Parts of a day by a hash of the id: a repeat is looked for in its own part only. One part suits days of some
+#: hundred megabytes; choose more for larger days, as each part is a folder of its own.
+BUCKETS = 1
+#: Days of a micro-batch that are listed one by one; a micro-batch of more days looks at all from its first to its last.
+LISTED_DAYS = 200
+
+
+def bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    An event that is sent again carries its own time, so only the days of the
-    batch are looked up. Events without an id are all kept.
+
+def stored_ids(named: DataFrame, path: str, key: str) -> DataFrame | None:
+    """Ids that the table holds in the days and buckets of some events; none before there is a table.
+
+    The condition is on the folders, so what is listed and read grows with the
+    parts that the events touch, not with the table.
     """
-    named = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-    spark = batch.sparkSession
+    spark = named.sparkSession
+    touched: dict = {}
+    for r in named.select("day", "bucket").distinct().collect():  # days times buckets of a micro-batch
+        touched.setdefault(r.day, []).append(r.bucket)
+    days = [d for d in touched if d is not None]
+    if len(days) > LISTED_DAYS:
+        where = F.col("day").between(min(days), max(days))
+    else:
+        where = reduce(or_, [(F.col("day") == d) & F.col("bucket").isin(touched[d]) for d in days], F.lit(False))
+    if None in touched:
+        where = where | (F.col("day").isNull() & F.col("bucket").isin(touched[None]))
     try:
-        table = spark.read.schema(batch.schema).parquet(path)
+        return spark.read.schema(named.schema).parquet(path).where(where).select(key)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    else:
-        days = [r.day for r in named.select("day").distinct().collect()]  # one row per day of a micro-batch
-        dated = F.col("day").isin([d for d in days if d is not None])
-        held = table.where(dated | F.col("day").isNull() if None in days else dated)
-        named = named.join(held.select(key), key, "left_anti").select(batch.columns)
+        return None
+
+
+def not_stored(batch: DataFrame, path: str, key: str) -> DataFrame:
+    """The batch's events whose id the table does not hold yet, each id once.
+
+    An event that is sent again carries its own time and id, so only its own
+    day and bucket are looked up. Events without an id are all kept.
+    """
+    named = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    held = stored_ids(named, path, key)
+    if held is not None:
+        named = named.join(held, key, "left_anti").select(batch.columns)
     return named.union(batch.where(F.col(key).isNull()))
 
 
-def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, rows_per_file: int = 1_000_000) -> StreamingQuery:
-    """Write all available events once each to a table partitioned by day, then stop.
+def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, rows_per_file: int = 1_000_000,
+                  buckets: int = BUCKETS) -> StreamingQuery:
+    """Write all available events once each to a table partitioned by day and ``bucket``, then stop.
 
     No event is too late: repeats are told from new events by the ids that the
     table holds, not by a watermark, so rows may come in any order. A batch
@@ -62,10 +94,10 @@ def append_stream(events: DataFrame, path: str, checkpoint: str, key: str, rows_
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        kept = batch.withColumn("bucket", bucket(key, buckets)).persist()
         try:
-            new = not_stored(kept, path, key)
-            new.hint("rebalance", "day").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(path)
+            new = not_stored(kept, path, key).hint("rebalance", "day", "bucket")
+            new.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day", "bucket").parquet(path)
         finally:
             kept.unpersist()
 

@@ -138,6 +138,20 @@ def test_ingest_keeps_late_rows_and_drops_repeats(spark, sf_dir, tmp_path):
     assert {"detected_language", "word", "field", "day"} <= set(got.columns)
 
 
+def test_repeats_are_looked_for_in_their_own_parts(spark, tmp_path):
+    """A small micro-batch opens a few files of a table of many days."""
+    rows = spark.range(4000).select(F.col("id").alias("chat_id"), F.expr("DATE'2025-01-01' + CAST(id % 20 AS INT)").alias("day"), F.lit("x").alias("t"))
+    stored = rows.withColumn("bucket", ingest.bucket("chat_id", 16))
+    stored.repartition("day", "bucket").write.partitionBy("day", "bucket").parquet(f"{tmp_path}/t")
+    batch = stored.where("chat_id IN (3, 1777)").unionByName(stored.where("chat_id = 5").withColumn("chat_id", F.lit(10_000).cast("long"))).select("chat_id", "t", "day", "bucket")
+    held = ingest.stored_ids(batch, f"{tmp_path}/t", "chat_id")
+    held.collect()
+    leaves = held._jdf.queryExecution().executedPlan().collectLeaves()
+    assert sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())) <= 3
+    assert [r.chat_id for r in ingest.not_stored(batch, f"{tmp_path}/t", "chat_id").collect()] == [10_000]
+    assert ingest.stored_ids(batch, f"{tmp_path}/none", "chat_id") is None
+
+
 def test_login_ingest_keeps_rows_without_id(spark, tmp_path):
     rows = [(None, "2025-01-02 00:00:00"), (None, "2025-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (2, None)]
     logins = spark.createDataFrame(rows, "login_id long, timestamp string").selectExpr(
