@@ -55,6 +55,32 @@ def distribution_map(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.map_from_entries(pairs).alias(f"{column}_distribution"))
 
 
+def portfolio_overview(trials: DataFrame, scale: int) -> DataFrame:
+    """One row: the means of :func:`portfolio_stats` and the distributions of phase and area as sorted lists.
+
+    The trials are read once, into one row per (phase, area); all figures come
+    from these few rows. ``scale`` is the number of decimals of rates and costs.
+    """
+    exact = ("dropout_rate", "cost_usd")
+    value = {c: F.col(c).cast(f"decimal(18,{scale})" if c in exact else "int" if c == "success" else "double") for c in STATS}
+    groups = trials.groupBy("phase", "therapeutic_area").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(value[c]).alias(f"_sum_{c}") for c in STATS], *[F.count(c).alias(f"_n_{c}") for c in STATS])
+    total = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_trials"),
+        *[F.try_divide(F.sum(f"_sum_{c}").cast("double"), F.sum(f"_n_{c}")).alias(out) for c, out in STATS.items()],
+        F.collect_list(F.struct("phase", "therapeutic_area", "n")).alias("_groups"),
+    )
+
+    def counted(column: str) -> Column:
+        values = F.array_distinct(F.filter(F.transform("_groups", lambda g: g[column]), lambda v: v.isNotNull()))
+        n_of = lambda v: F.aggregate(
+            F.filter("_groups", lambda g: g[column] == v), F.lit(0).cast("long"), lambda s, g: s + g["n"])
+        counts = F.transform(values, lambda v: F.struct((-n_of(v)).alias("m"), v.alias("value")))
+        return F.transform(F.array_sort(counts), lambda c: F.struct(c["value"].alias("value"), (-c["m"]).alias("n")))
+
+    return total.select("total_trials", *STATS.values(), counted("phase").alias("phases"), counted("therapeutic_area").alias("areas"))
+
+
 def scalar(stats: DataFrame) -> Column:
     """A one-row table as a struct usable in any expression; computed once per query."""
     return stats.select(F.struct(*stats.columns)).scalar()

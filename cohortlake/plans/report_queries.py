@@ -176,19 +176,13 @@ def portfolio_summary(spark, sf_dir):
     load = loader(spark, sf_dir)
     trials = load("trials_v")
 
-    def lines(column):
-        entries = F.map_entries(f"{column}_distribution")
-        each = F.transform(
-            entries, lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"].cast("string"), F.lit(" trials"))
-        )
-        shown = pf.distribution_map(trials, column).select(F.array_join(each, "\n").alias("lines"))
-        return pf.scalar(shown)["lines"]
-
-    stats = pf.scalar(pf.portfolio_stats(trials, scale=2))
-    # every section is worked out once, as one-row subqueries
-    with_stats = load("questions_v").select(
-        "question_id", "query", stats.alias("s"), lines("phase").alias("phases"), lines("therapeutic_area").alias("areas")
-    )
+    def lines(entries):
+        each = F.transform(entries, lambda e: F.concat(F.lit("- "), e["value"], F.lit(": "), e["n"].cast("string"), F.lit(" trials")))
+        return F.array_join(each, "\n")
+
+    # one row from one scan, as a subquery that is worked out once
+    with_stats = load("questions_v").select("question_id", "query", pf.scalar(pf.portfolio_overview(trials, 2)).alias("s")).select(
+        "question_id", "query", "s", lines(F.col("s.phases")).alias("phases"), lines(F.col("s.areas")).alias("areas"))
     text = rp.portfolio_summary("query", F.col("s"), F.col("phases"), F.col("areas"))
     return with_stats.select("question_id", text.alias("summary"))
 

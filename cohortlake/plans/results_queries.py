@@ -162,6 +162,44 @@ def validation_report(spark, sf_dir):
     return checked.select("design_id", F.array_join("errors", " | ").alias("errors"))
 
 
+# some designs without inclusion criteria, and some without expectations
+NESTED = """
+SELECT * REPLACE (
+  CASE WHEN design_id % 5 = 0 THEN 18 ELSE min_age END AS min_age, CASE WHEN design_id % 5 = 0 THEN 75 ELSE max_age END AS max_age,
+  CASE WHEN design_id % 3 = 0 THEN 15e-2 ELSE expected_dropout_rate END AS expected_dropout_rate) FROM designs_v"""
+
+
+@query(with_views(f"SELECT design_id, {RULES_SQL} AS errors, 'Placebo' AS control_arm FROM ({NESTED})", "designs_v"))
+def nested_design(spark, sf_dir):
+    """Design records with nested criteria and arms, made flat and validated."""
+    designs = view(spark, sf_dir, "designs_v")
+    nested = designs.select(
+        *[c for c in designs.columns if c not in ("min_age", "max_age", "arm_count", "expected_dropout_rate")],
+        F.when(F.col("design_id") % 5 != 0, F.struct("min_age", "max_age")).alias("inclusion_criteria"),
+        F.array_repeat(F.lit("Drug"), F.col("arm_count")).alias("treatment_arms"), F.lit(None).cast("string").alias("control_arm"),
+        F.when(F.col("design_id") % 3 != 0, F.col("expected_dropout_rate")).alias("expected_dropout_rate"),
+    )
+    checked = q.validate(q.flatten_design(nested), q.design_rules())
+    return checked.select("design_id", F.array_join("errors", " | ").alias("errors"), "control_arm")
+
+
+SCORES_SQL = """
+SELECT trial_id, expected_success_rate * 125e-2 AS efficacy_score, dropout_rate - 1e-1 AS safety_score,
+       CASE WHEN adverse_events % 13 <> 0 THEN CAST(adverse_events AS DOUBLE) / 40 END AS overall_score FROM trials_v"""
+
+
+@query(with_views(f"""
+SELECT trial_id, concat_ws(' | ', {", ".join(
+    f"CASE WHEN {c} IS NULL OR {c} NOT BETWEEN 0 AND 1 THEN '{c} must be at least 0 and at most 1' END"
+    for c in ("efficacy_score", "safety_score", "overall_score"))}) AS errors FROM ({SCORES_SQL})""", "trials_v"))
+def outcome_validation(spark, sf_dir):
+    """Outcome scores outside [0, 1], or missing."""
+    scores = view(spark, sf_dir, "trials_v").select(
+        "trial_id", (F.col("expected_success_rate") * 1.25).alias("efficacy_score"), (F.col("dropout_rate") - 0.1).alias("safety_score"),
+        F.when(F.col("adverse_events") % 13 != 0, F.col("adverse_events").cast("double") / 40).alias("overall_score"))
+    return q.validate(scores, q.outcome_rules()).select("trial_id", F.array_join("errors", " | ").alias("errors"))
+
+
 @query(with_views(f"""
 SELECT design_id, trial_name, phase, target_enrollment FROM designs_v WHERE {RULES_SQL} = ''""", "designs_v"))
 def valid_designs(spark, sf_dir):
