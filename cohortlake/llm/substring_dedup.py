@@ -208,7 +208,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     ``spans`` are the maximal removed runs of words, ``kept`` the other words
     joined by one space. Null texts have no words. Documents without a key
     are not compared. Rows that share a key are not compared with each other;
-    repeated rows fare alike. An empty table gives an empty result.
+    repeated rows fare alike. Long texts are compared whole. An empty table
+    gives an empty result; further columns are not read.
     """
     packed = packed_text(docs.where(F.col(key).isNotNull()), key, text, [])
     found = by_document(repeats(docs, packed, key, text, least, anchor))

@@ -47,6 +47,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.constant, -30, 30)))
 
 
+def risk_slopes(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
+    """The slope of the risk along each text's score ``z``, and whether the part of the negatives was below 0.
+
+    The derivatives of the logistic losses l(+) and l(-) are s - 1 and s, and
+    their difference is -1 for every score.
+    """
+    n_p, n_u = int(is_p.sum()), max(1, int((~is_p).sum()))
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    as_negative = np.logaddexp(0, z)
+    if as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].mean() >= 0:
+        return np.where(is_p, -prior / n_p, s / n_u), False
+    return np.where(is_p, prior * s / n_p, -s / n_u), True
+
+
 def fitted(rows: list[np.ndarray], is_p: np.ndarray, names: list[bytes], prior: float) -> Model:
     """Minimise the class-prior-corrected risk with the correction for a negative part.
 
@@ -56,8 +70,7 @@ def fitted(rows: list[np.ndarray], is_p: np.ndarray, names: list[bytes], prior:
     logistic loss. Where that second part falls below 0 the step goes up its
     gradient, so that the classifier does not learn the sample by heart.
     """
-    n_p, n_u = int(is_p.sum()), max(1, int((~is_p).sum()))
-    if not n_p:
+    if not is_p.any():
         return Model({}, -30.0)
     index = np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
@@ -65,13 +78,7 @@ def fitted(rows: list[np.ndarray], is_p: np.ndarray, names: list[bytes], prior:
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weights[index], len(rows)) + constant
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # logistic loss: the derivatives of l(+) and l(-) are s - 1 and s
-        as_negative = np.logaddexp(0, z)
-        if as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].mean() >= 0:
-            per_text = np.where(is_p, -prior / n_p, s / n_u)
-        else:
-            per_text = np.where(is_p, prior * s / n_p, -s / n_u)
+        per_text, _ = risk_slopes(z, is_p, prior)
         grad = np.append(np.bincount(index, per_text[row], len(names)) + RIDGE * weights, per_text.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -133,7 +140,9 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     that fold. The sample is bounded by its two parameters; its words are
     counted in tasks, and the driver gets the features and one packed list of
     their numbers per text. A document with several labels counts as confirmed
-    if one of them is 1.
+    if one of them is 1. Null texts and null labels are left out, a null id
+    is in no held-out fold; texts are read whole, repeated ones count once.
+    Empty tables give a model without words.
     """
     outside = fold(F.col("_key")) != 0
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").where(outside)
@@ -154,8 +163,9 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 def toxicity_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, held_out, score, predicted)`` of every document.
 
-    Null and empty texts get the score of a text without known words. Repeated
-    rows are scored one by one. Without a confirmed example every score is
+    Null and empty texts get the score of a text without known words, long
+    texts are read whole, an empty table gives an empty result, and further
+    columns are not read. Repeated rows are scored one by one. Without a confirmed example every score is
     about 0. The score is rounded to 12 places.
     """
     spark = docs.sparkSession

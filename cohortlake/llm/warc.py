@@ -17,6 +17,8 @@ from cohortlake.llm.registry import query, table
 from cohortlake.session import shared_folder
 
 MAGIC = "WARC/1.1\r\n"
+#: What a revisit record says of its relation to the response.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: What ends a header and what follows a record.
 HEADER_END, RECORD_END = "\r\n\r\n", "\r\n\r\n"
 #: Payloads from this size on are written once.
@@ -37,8 +39,8 @@ def first_holders(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
 
 
-def records(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """The text of one record per row, without the line breaks after it.
+def records(pages: DataFrame, key: str, url: str, payload: str, fetched: Column | None = None) -> DataFrame:
+    """The text of one record per row, without the line breaks after it. ``fetched`` is when the page was, else now.
 
     The payloads stay where they are unless the table of repeated payloads is
     too large to be sent around.
@@ -46,6 +48,7 @@ def records(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     rows = pages.select(
         F.col(key).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"),
         F.coalesce(F.col(payload), F.lit("")).alias("payload"),
+        F.coalesce(*([fetched.cast("timestamp")] if fetched is not None else []), F.current_timestamp()).alias("fetched"),
     ).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn(
         "digest", F.sha2(F.col("payload").cast("binary"), 256)
     )
@@ -53,28 +56,34 @@ def records(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     known = rows.join(holders, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= LEAST_REVISIT), "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    utc = F.date_format(F.to_utc_timestamp("fetched", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "")
     lines = [
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Date: "), utc),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
+        F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("_first").cast("string"), F.lit(">"))),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     return known.select(F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *lines), F.lit(HEADER_END), body).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html",
+               fetched: Column | None = None) -> None:
     """Write one record per page; each task writes one archive.
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, the one with
     the smallest key is the response and the others revisit it. Null payloads
-    are empty. Repeated rows, also of the same key, give records of their own:
-    copies of the response's row are responses too.
+    are empty, null urls and keys are written as nothing. Repeated rows, also
+    of the same key, give records of their own: copies of the response's row
+    are responses too. A payload is one record, however long. An empty table
+    writes an empty archive; further columns are not read.
     """
-    records(pages, key, url, payload).write.option("lineSep", RECORD_END).text(path)
+    records(pages, key, url, payload, fetched).write.option("lineSep", RECORD_END).text(path)
 
 
 # ---- reading
@@ -220,7 +229,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A record is true if the chain of Content-Lengths from the start of its
     file reaches it; a magic inside a payload is not on that chain. A record
     whose payload holds a magic was cut, and is put together again from its
-    pieces in a second pass over the archives.
+    pieces in a second pass over the archives. Files without a magic at their
+    start have no true record, and empty archives none at all. Repeated
+    records are records of their own. A record is one row, however long.
     """
     # stored first: blocks and places are those of one read
     rows = stored(with_offsets(stored(parsed(spark, path), "parsed")), "chunks")
@@ -279,7 +290,11 @@ def header(name: str) -> Column:
 
 
 def page_records(found: DataFrame) -> DataFrame:
-    """What the records say of their pages; revisits take length and digest of the payload from their header."""
+    """What the records say of their pages; revisits take length and digest of the payload from their header.
+
+    A record without a page in its id has a null ``page_id``; a header that is
+    missing gives null. Repeated records give repeated rows, none give none.
+    """
     page = lambda name: F.regexp_extract(header(name), r"<urn:page:(-?[0-9]+)>", 1)
     number = lambda c: F.when(c != "", c.cast("long"))
     kind = header("WARC-Type")

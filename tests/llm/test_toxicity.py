@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pytest
 
 from cohortlake.llm import toxicity as tx
 
@@ -56,6 +60,42 @@ def test_the_correction_bounds_the_risk():
     assert model.scores([b"bad", b"good"])[0] > 0.5 > model.scores([b"bad", b"good"])[1]
 
 
+def plain_risk(z, is_p, prior):
+    """The two parts of the risk, text by text."""
+    up = [math.log1p(math.exp(-x)) for x in z]
+    down = [math.log1p(math.exp(x)) for x in z]
+    p = [i for i in range(len(z)) if is_p[i]]
+    u = [i for i in range(len(z)) if not is_p[i]]
+    return prior * sum(up[i] for i in p) / len(p), sum(down[i] for i in u) / len(u) - prior * sum(down[i] for i in p) / len(p)
+
+
+@pytest.mark.parametrize("lift,shift,corrects", [(0.5, 0.0, False), (4.0, -6.0, True)])
+def test_slopes_equal_finite_differences(lift, shift, corrects):
+    """The risk falls along the slopes; where its second part is below 0, that part rises along them."""
+    rng = np.random.default_rng(8)
+    is_p = np.arange(40) < 15
+    z = rng.normal(size=40) + np.where(is_p, lift, shift)
+    slopes, corrected = tx.risk_slopes(z, is_p, 0.4)
+    assert corrected == corrects == (plain_risk(z, is_p, 0.4)[1] < 0)
+    for i in range(40):
+        parts = []
+        for d in (1e-5, -1e-5):
+            moved = z.copy()
+            moved[i] += d
+            first, second = plain_risk(moved, is_p, 0.4)
+            parts.append(-second if corrects else first + second)
+        assert abs((parts[0] - parts[1]) / 2e-5 - slopes[i]) < 1e-6
+
+
+def test_scores_equal_plain_sums():
+    model = tx.Model({b"bad": 2.0, b"worse": 3.5, "\u00fcbel".encode(): -1.0}, -1.5)
+    texts = ["Bad bad, WORSE!", "nothing", "", None, "\u00dcbel \u00fcbel bad", "x" * 10_000 + " worse"]
+    for text, score in zip(texts, model.scores([t if t is None else t.encode() for t in texts]), strict=True):
+        words = set(re.findall("[a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+        total = -1.5 + sum(v for w, v in (("bad", 2.0), ("worse", 3.5), ("\u00fcbel", -1.0)) if w in words)
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-12
+
+
 def test_query_finds_labelled_documents(spark):
     sf_dir = "/root/testdata/sf0.01"
     out = tx.op7_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").toPandas()

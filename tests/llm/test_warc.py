@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -88,6 +89,19 @@ def test_second_read_may_split_the_files_otherwise(spark, archive, monkeypatch):
     assert Counter(map(tuple, out)) == by_hand(ROWS)
 
 
+def test_records_say_when_and_what_they_are(spark, tmp_path):
+    """A date on every record, and on revisits what they are of."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://a/", "p" * 200, "2024-05-06 07:08:09"), (2, "http://b/", "p" * 200, None), (3, None, None, "2024-01-01 00:00:00")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string")
+    warc.write_warc(pages, f"{tmp_path}/w", fetched=F.to_timestamp("at"))
+    heads = {r.head.split("<urn:page:")[1].split(">")[0]: r.head for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert "WARC-Date: 2024-05-06T07:08:09Z" in heads["1"] and "WARC-Profile" not in heads["1"]
+    assert re.search(r"WARC-Date: 20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", heads["2"]) and f"WARC-Profile: {warc.REVISIT_PROFILE}" in heads["2"]
+    assert "WARC-Date: 2024-01-01T00:00:00Z" in heads["3"]
+
+
 def test_empty_table(spark, archive):
     path = archive([(1, "a")], 1) + "-none"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
