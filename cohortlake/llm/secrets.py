@@ -241,6 +241,8 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     of the index by key; a rule without mandatory trigrams scans every text.
     Documents without a key cannot be looked up, so all rules scan them. Null
     text is empty. Repeated keys share candidates, which the patterns confirm.
+    Texts are scanned whole, in time that grows with their matches; an empty
+    table gives an empty result.
     """
     rules = rules or RULES
     found = candidates(stored(postings(docs, key, text, rules), "postings"), rules).withColumnRenamed("_key", "_of")
