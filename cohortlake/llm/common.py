@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,25 @@ def rows_back(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def without_text(docs: DataFrame, text: str) -> Column:
+    """All columns but the text as one column ``rest``, for steps that hand the text on themselves, once."""
+    others = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if c != text]
+    return F.struct(*others, F.lit(True).alias("_")).alias("rest")  # never without a field
+
+
+def text_back(df: DataFrame, docs: DataFrame, text: str, new: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` from ``rest`` and the given new ones."""
+    return df.select(*[(new[c] if c in new else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
+def release_memory() -> None:
+    """Give back what a finished partition has freed; an idle Python worker would hold it beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> list:
     """The UTF-8 bytes of a string column; null gives None."""
     return column.cast(pa.binary()).to_pylist()
@@ -83,6 +103,7 @@ def map_batches(
                     [v if isinstance(v, pa.Array) else pa.array(v, kinds.field(k).type) for k, v in out.items()],
                     names=list(out),
                 )
+        release_memory()
 
     return df.mapInArrow(batches, schema)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import U64, as_row, map_batches, mixed, run_hashes, stored, text_slices
+from cohortlake.llm.common import U64, map_batches, mixed, run_hashes, stored, text_back, text_slices, without_text
 from cohortlake.llm.registry import query, table
 
 WINDOW = 10
-#: Words of benchmark items that one broadcast set holds; more items are scanned in several rounds.
-MOST_ITEM_WORDS = 4_000_000
+#: Words of benchmark items that one broadcast set holds: about 100 MB while it is built and 25 MB in a task.
+#: More items are scanned in several rounds.
+MOST_ITEM_WORDS = 250_000
 
 #: A-Z lower-cased; digits, a-z and bytes from 0x80 stand for themselves; all else separates words.
 FOLD = bytes(
@@ -32,57 +33,57 @@ def folded_words(text: bytes | None) -> list[bytes]:
 
 
 class ItemWindows:
-    """The windows of a bounded set of items, looked up by hash and checked word by word."""
+    """The windows of a bounded set of items, looked up by hash and checked word by word.
+
+    A window stands once, with the list of the items that hold it.
+    """
 
     def __init__(self, items: list[tuple[object, bytes]], width: int = WINDOW):
         self.number: dict[bytes, int] = {}
         self.ids = [i for i, _ in items]
         words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in folded_words(t)], np.int64)
                  for _, t in items]
-        self.sets = []
-        sizes = sorted({min(len(w), width) for w in words if len(w)})
-        for size in sizes:
-            rows, owner = [], []
-            for i, w in enumerate(words):
-                if min(len(w), width) == size:
-                    starts = len(w) - size + 1
-                    rows.append(np.lib.stride_tricks.sliding_window_view(w, size)[:starts])
-                    owner.append(np.full(starts, i))
-            window, owners = np.concatenate(rows), np.concatenate(owner)
-            hashes = run_hashes(mixed(window.reshape(-1).astype(U64)), size)[::size] if size > 1 else mixed(
-                mixed(window[:, 0].astype(U64)))
+        #: Per size: hashes of the windows in order, their words, and the number of the first one.
+        self.sets: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+        self.owners: list[np.ndarray] = []
+        for size in sorted({min(len(w), width) for w in words if len(w)}):
+            mine = [i for i, w in enumerate(words) if min(len(w), width) == size]
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(words[i], size) for i in mine])
+            owner = np.repeat(mine, [len(words[i]) - size + 1 for i in mine])
+            window, place = np.unique(rows, axis=0, return_inverse=True)
+            held = np.unique(np.stack([place.ravel(), owner]), axis=1)  # by window, then by item
+            begin = np.searchsorted(held[0], np.arange(len(window) + 1))
+            hashes = window_hashes(window)
             order = np.argsort(hashes, kind="stable")
-            self.sets.append((size, hashes[order], window[order], owners[order]))
+            self.sets.append((size, hashes[order], window[order], len(self.owners)))
+            self.owners += [held[1, begin[i] : begin[i + 1]] for i in order.tolist()]
 
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(start, width, item)`` of every occurrence in a row of word numbers; 0 is an unknown word."""
-        starts, widths, owners = [], [], []
+        """``(start, width, window)`` of every occurrence in a row of word numbers; 0 is an unknown word."""
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
         unknown = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(ids == 0, out=unknown[1:])
         values = mixed(ids.astype(U64))
-        for size, hashes, window, owner in self.sets:
+        for size, hashes, window, first in self.sets:
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(at):
-                continue
             h = run_hashes(values, size)[at] if size > 1 else mixed(values)[at]
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            hit = high > low
-            at, low, many = at[hit], low[hit], (high - low)[hit]
-            if not len(at):
-                continue
+            many = high - low  # windows of one hash: one, unless two windows collide
             pick = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             at = np.repeat(at, many)
-            words = ids[at[:, None] + np.arange(size)]
-            same = (words == window[pick]).all(1)
-            starts.append(at[same])
-            widths.append(np.full(same.sum(), size))
-            owners.append(owner[pick[same]])
-        if not starts:
-            empty = np.empty(0, np.int64)
-            return empty, empty, empty
-        return np.concatenate(starts), np.concatenate(widths), np.concatenate(owners)
+            same = (ids[at[:, None] + np.arange(size)] == window[pick]).all(1)
+            out.append((at[same], np.full(same.sum(), size), first + pick[same]))
+        starts, widths, windows = (np.concatenate(c) for c in zip(*out, strict=True))
+        return starts, widths, windows
+
+
+def window_hashes(windows: np.ndarray) -> np.ndarray:
+    """One hash per row of word numbers, the same as of those words inside a text."""
+    values = mixed(windows.reshape(-1).astype(U64))
+    size = windows.shape[1]
+    return run_hashes(values, size)[::size] if size > 1 else mixed(values)
 
 
 def item_sets(benchmark: DataFrame, item: str, text: str, most_words: int) -> list[list[int]]:
@@ -96,14 +97,20 @@ def item_sets(benchmark: DataFrame, item: str, text: str, most_words: int) -> li
     return [[i, parts] for i in range(parts)]
 
 
+#: What a pass has found in one text: sorted spans of hit words as bounds, and the names of the items.
+HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("_at", T.ArrayType(T.LongType())),
+                     T.StructField("_items", T.ArrayType(T.StringType()))])
+
+
 def scanned(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[Column], item: str = "item_id",
-            item_text: str = "text", width: int = WINDOW, most_words: int = MOST_ITEM_WORDS) -> DataFrame:
-    """``keep`` columns, n_words, ``_at`` (start and end of every hit run of words) and ``_items``.
+            item_text: str = "text", width: int = WINDOW, most_words: int = MOST_ITEM_WORDS,
+            finish: tuple[T.StructType, Callable[[dict, list, dict], dict]] | None = None) -> DataFrame:
+    """``keep`` columns and HITS, or what ``finish`` makes of kept columns, texts and hits of a slice.
 
-    One pass over the documents per broadcast set; benchmarks are far smaller
+    One pass over the documents per broadcast set; most benchmarks are smaller
     than a set, so there is one pass. The set of a pass is bounded by
     ``most_words``; later passes run over the stored outcome of the one before
-    and add to it.
+    and add to it. The text goes through a pass once.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t")).where(
@@ -111,11 +118,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[Column]
     )
     out = docs.select(*keep, F.col(text).alias("_text"))
     kept = out.columns[:-1]
-    schema = T.StructType(
-        [out.schema[c] for c in kept]
-        + [T.StructField("n_words", T.LongType()), T.StructField("_at", T.ArrayType(T.LongType())),
-           T.StructField("_items", T.ArrayType(T.StringType()))]
-    )
+    fields = [out.schema[c] for c in kept]
+    between = T.StructType([*fields, out.schema["_text"], *HITS])
+    last = T.StructType([*fields, *HITS]) if finish is None else finish[0]
     parts = item_sets(items, "id", "t", most_words)
     for part, of in parts:
         # bounded by most_words; sorted so that every rerun numbers the words alike
@@ -123,24 +128,29 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[Column]
         shared = spark.sparkContext.broadcast(
             ItemWindows(sorted((r.id, r.t.encode()) for r in rows), width)
         )
-        source, first = out, part == 0
-        extra = [] if first else ["_at", "_items"]
-        step = T.StructType(
-            [f for f in schema] + ([T.StructField("_text", T.StringType())] if of > 1 and part < of - 1 else [])
-        )
-
-        def run(batch: pa.RecordBatch, shared=shared, extra=extra, step=step) -> Iterator[dict]:
-            for part, texts in text_slices(batch, batch.schema.names.index("_text")):
-                yield scan_slice(part, texts, shared.value, extra, step)
-
-        out = map_batches(source, step, run)
-        if part < of - 1:
+        ends = part == of - 1
+
+        def run(batch: pa.RecordBatch, shared=shared, ends=ends, later=part > 0) -> Iterator[dict]:
+            names = batch.schema.names
+            for rows, texts in text_slices(batch, names.index("_text")):
+                own = {c: rows.column(names.index(c)) for c in kept}
+                before = [rows.column(names.index(c)).to_pylist() for c in ("_at", "_items")] if later else None
+                hits = slice_hits(texts, shared.value, before)
+                if not ends:
+                    yield own | {"_text": rows.column(names.index("_text"))} | hits
+                elif finish is None:
+                    yield own | hits
+                else:
+                    yield finish[1](own, texts, hits)
+
+        out = map_batches(out, last if ends else between, run)
+        if not ends:
             out = stored(out, "scan")
     return out
 
 
-def scan_slice(batch: pa.RecordBatch, texts: list, windows: ItemWindows, extra: list[str], step: T.StructType) -> dict:
-    """One slice of documents against one set of windows."""
+def slice_hits(texts: list, windows: ItemWindows, before: list[list] | None = None) -> dict:
+    """HITS of some documents against one set of windows, with those of earlier sets."""
     words = [folded_words(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.zeros(len(words) + 1, np.int64)
@@ -149,28 +159,21 @@ def scan_slice(batch: pa.RecordBatch, texts: list, windows: ItemWindows, extra:
     get = windows.number.get
     for i, w in enumerate(words):
         ids[begin[i] : begin[i] + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-    at, width, owner = windows.found(ids)
+    at, width, window = windows.found(ids)
     doc = np.searchsorted(begin, at, "right") - 1
-    spans: list = [[] for _ in words]
-    items: list = [set() for _ in words]
-    for name, target in zip(extra, (spans, items), strict=False):
-        for i, old in enumerate(batch.column(batch.schema.names.index(name)).to_pylist()):
-            target[i].extend(zip(old[::2], old[1::2], strict=True)) if name == "_at" else target[i].update(old)
-    for d, a, w, o in zip(doc.tolist(), at.tolist(), width.tolist(), owner.tolist(), strict=True):
-        a -= int(begin[d])
-        spans[d].append((a, a + w))
-        items[d].add(windows.ids[o])
-    out = {}
-    for f in step:
-        if f.name == "n_words":
-            out[f.name] = pa.array(sizes)
-        elif f.name == "_at":
-            out[f.name] = pa.array([[x for s in joined_spans(s) for x in s] for s in spans], pa.list_(pa.int64()))
-        elif f.name == "_items":
-            out[f.name] = pa.array([sorted(s) for s in items], pa.list_(pa.string()))
-        else:
-            out[f.name] = batch.column(batch.schema.names.index(f.name))
-    return out
+    old_spans, old_items = before or [[[] for _ in words]] * 2
+    spans = [list(zip(s[::2], s[1::2], strict=True)) for s in old_spans]
+    items = [set(i) for i in old_items]
+    at = at - begin[doc]
+    for d, a, b in zip(doc.tolist(), at.tolist(), (at + width).tolist(), strict=True):
+        spans[d].append((a, b))
+    for d, w in np.unique(np.stack([doc, window]), axis=1).T.tolist():  # a window names its items once a document
+        items[d].update(windows.ids[i] for i in windows.owners[w])
+    return {
+        "n_words": pa.array(sizes),
+        "_at": pa.array([[x for s in joined_spans(s) for x in s] for s in spans], pa.list_(pa.int64())),
+        "_items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+    }
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,41 +234,33 @@ def without_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join(out)
 
 
+def cut_slice(own: dict, texts: list, hits: dict) -> dict:
+    """Kept columns and texts without their spans; documents left without a word are gone."""
+    spans = hits["_at"].to_pylist()
+    new = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+    stays = pa.array([not s or bool(folded_words(t)) for t, s in zip(new, spans, strict=True)], pa.bool_())
+    cut = {"_new": pa.array(new, pa.binary()).cast(pa.string()), "_cut": pa.array([bool(s) for s in spans], pa.bool_())}
+    return {c: v.filter(stays) for c, v in (own | cut).items()}
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
                    **settings) -> DataFrame:
     """The documents without their hit spans, all columns kept; a document left without a word goes.
 
-    Documents that hold no window stay as they are. ``n_chars`` follows the
-    new text where the table has that column.
+    Documents that hold no window stay as they are, null and empty texts
+    among them. ``n_chars`` follows the new text where the table has that
+    column. Whole texts are scanned and cut, however long, in the same pass.
+    Repeated rows are treated alike; an empty table stays empty, and an empty
+    benchmark cuts nothing. Names of further columns cannot clash.
     """
-    found = scanned(docs, benchmark, text, [as_row(docs), F.col(text).alias("_t")], **settings)
-    schema = T.StructType([found.schema["row"], T.StructField("_new", T.StringType()), T.StructField("_cut", T.BooleanType())])
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part, texts in text_slices(batch, 1):
-            spans = part.column(part.schema.names.index("_at")).to_pylist()
-            new = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            gone = [bool(s) and not folded_words(t) for t, s in zip(new, spans, strict=True)]
-            keep = pa.array([not g for g in gone])
-            yield {
-                "row": part.column(0).filter(keep),
-                "_new": pa.array([t for t, g in zip(new, gone, strict=True) if not g], pa.binary()).cast(pa.string()),
-                "_cut": pa.array([bool(s) for s, g in zip(spans, gone, strict=True) if not g], pa.bool_()),
-            }
-
-    cut = map_batches(found, schema, run)
-    return cut.select(*[new_column(cut, c, text, n_chars) for c in docs.columns])
-
-
-def new_column(cut: DataFrame, name: str, text: str, n_chars: str | None) -> Column:
-    """A column of the row; the text is the new one, and its length follows where the text changed."""
-    old = F.col("row")[name]
-    if name == text:
-        return F.col("_new").alias(name)
-    if name == n_chars:
-        kind = cut.schema["row"].dataType[name].dataType
-        return F.when(F.col("_cut"), F.length("_new").cast(kind)).otherwise(old).alias(name)
-    return old.alias(name)
+    rest = docs.select(without_text(docs, text)).schema["rest"]
+    schema = T.StructType([rest, T.StructField("_new", T.StringType()), T.StructField("_cut", T.BooleanType())])
+    cut = scanned(docs, benchmark, text, [without_text(docs, text)], finish=(schema, cut_slice), **settings)
+    new = {text: F.col("_new")}
+    if n_chars in docs.columns:
+        kind = docs.schema[n_chars].dataType
+        new[n_chars] = F.when(F.col("_cut"), F.length("_new").cast(kind)).otherwise(F.col("rest").getField(n_chars))
+    return text_back(cut, docs, text, new)
 
 
 _SQL_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm.common import (
-    U64, as_row, fields, map_batches, mixed, packed_text, run_hashes, span_hashes, stored, text_slices, unpacked,
+    U64, as_row, fields, map_batches, mixed, packed_text, release_memory, run_hashes, span_hashes, stored, text_slices, unpacked,
     words_of_many,
 )
 from cohortlake.llm.registry import query, table
@@ -278,6 +278,7 @@ def searched(cells: DataFrame, percent: int, leaders: int | None = None) -> Data
             x, y = cell_pairs(g, percent)
             if len(x):
                 yield emitted([(np.minimum(x, y), np.maximum(x, y)) if leaders is None else first_partners(x, y, leaders)])
+        release_memory()
 
     def emitted(found: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=schema.names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import as_row, map_batches, stored, text_slices
+from cohortlake.llm.common import map_batches, stored, text_back, text_slices, without_text
 from cohortlake.llm.registry import query, table
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -73,14 +73,15 @@ def text_counts(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines)
 
 
-def with_counts(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
-    """``keep`` columns and the figures of every text, in one pass over the texts."""
+def with_counts(docs: DataFrame, text: str, keep: list[Column], keep_text: bool = False) -> DataFrame:
+    """``keep`` columns, the text as ``_text`` if asked for, and the figures of every text, in one pass over the texts."""
     source = docs.select(*keep, F.col(text).alias("_text"))
-    kept = source.columns[:-1]
+    kept = source.columns if keep_text else source.columns[:-1]
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in COUNTS])
+    at = len(keep)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part, texts in text_slices(batch, len(kept)):
+        for part, texts in text_slices(batch, at):
             figures = np.array([text_counts(t) for t in texts], np.int64)
             yield {c: part.column(i) for i, c in enumerate(kept)} | {
                 c: pa.array(figures[:, i]) for i, c in enumerate(COUNTS)
@@ -223,13 +224,16 @@ def quality_kept(docs: DataFrame, text: str = "text", lang: str = "lang", source
     """The documents that pass, with all their columns.
 
     The texts stay where they are: one pass builds the sketches, a second one
-    measures each document again and joins the thresholds.
+    measures each document again and joins the thresholds. Null text counts
+    as empty and fails the base rules, null languages and sources form groups,
+    very long texts are measured whole, repeated rows share their fate, an
+    empty table stays empty, and names of further columns cannot clash.
     """
     counts = with_counts(docs, text, [F.col(lang).alias("_l"), F.col(source).alias("_s")])
     limits = stored(thresholds(counts, "_l", "_s"), "thresholds")
-    whole = docs.select(as_row(docs), F.col(text).alias("_t"), F.col(lang).alias("_l"), F.col(source).alias("_s"))
-    counted = with_counts(whole, "_t", [F.col("row"), F.col("_l"), F.col("_s")])
-    return judged(counted, limits, "_l", "_s").where("kept").select("row.*")
+    own = [without_text(docs, text), F.col(lang).alias("_l"), F.col(source).alias("_s")]
+    kept = judged(with_counts(docs, text, own, keep_text=True), limits, "_l", "_s").where("kept")
+    return text_back(kept, docs, text, {text: F.col("_text")})
 
 
 def _oracle() -> str:

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,13 +36,7 @@ WORDS = st.lists(st.sampled_from(["a", "b", "C", "é", "d1"]), max_size=30).map(
 def test_scan_equals_the_plain_rule(texts, items):
     named = [(str(i), t) for i, t in enumerate(items)]
     windows = dc.ItemWindows([(i, t.encode()) for i, t in named])
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    step = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("_at", T.ArrayType(T.LongType())),
-                         T.StructField("_items", T.ArrayType(T.StringType()))])
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])
-    out = dc.scan_slice(batch, [t.encode() for t in texts], windows, [], step)
+    out = dc.slice_hits([t.encode() for t in texts], windows)
     for i, t in enumerate(texts):
         at = out["_at"][i].as_py()
         got = out["n_words"][i].as_py(), sum(at[1::2]) - sum(at[::2]), out["_items"][i].as_py()
@@ -71,12 +66,39 @@ def test_several_sets_give_the_same(spark, make_docs):
     assert one == many and one[1].n_hit > 12
 
 
+def test_a_window_of_very_many_items_stands_once(spark, make_docs):
+    """Boilerplate that all items share is one window with a list of items, not a row per item and occurrence."""
+    items = [(str(i), f"{ITEM} number {i}".encode()) for i in range(3000)]
+    windows = dc.ItemWindows(items)
+    assert sum(len(s[2]) for s in windows.sets) < 4 * 3000
+    text = ((ITEM + " . ") * 400).encode()
+    at, width, window = windows.found(np.array([windows.number.get(w, 0) for w in dc.folded_words(text)]))
+    assert len(at) <= 400 * 13
+    hits = dc.slice_hits([text], windows)
+    assert len(hits["_items"][0]) == 3000
+
+
+def test_memory_of_a_full_set(spark):
+    """At the bound a set stays far below what a driver and a worker of the check tool hold."""
+    import pickle
+    import tracemalloc
+
+    text = " ".join(f"w{i}x" for i in range(dc.MOST_ITEM_WORDS))
+    tracemalloc.start()
+    windows = dc.ItemWindows([("1", text.encode())])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and len(pickle.dumps(windows)) < 60e6
+
+
 def test_spans_are_cut_and_emptied_documents_go(spark, make_docs):
     docs = make_docs([(1, "Intro words. " + ITEM + ", and the end."), (2, ITEM + "!"), (3, "clean text"), (4, None), (5, "")])
     out = dc.decontaminated(docs, bench(spark, [(1, ITEM)]))
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("Intro words. , and the end.", 27), 3: ("clean text", 10), 4: (None, None), 5: ("", 0)}
+    several = dc.decontaminated(docs, bench(spark, [(i, ITEM if i == 7 else f"only item {i}") for i in range(20)]), most_words=30)
+    assert {r.doc_id: (r.text, r.n_chars) for r in several.collect()} == got
 
 
 def test_empty_tables(spark, make_docs):
