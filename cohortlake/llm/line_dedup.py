@@ -18,7 +18,7 @@ WIDE_PERCENT, WIDE_TEXTS = 5, 20
 #: What ends a line of a page's text.
 _BLOCK = (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html"
           r"|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
-_TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def html_lines(html: str) -> Column:
@@ -27,7 +27,7 @@ def html_lines(html: str) -> Column:
     for pattern, by in ((r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), (r"(?s)<!--.*?-->", ""),
                         (_BLOCK, "\n"), (r"<[^>]*>", "")):
         text = F.regexp_replace(text, pattern, by)
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _TRIM, ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)))
     return F.filter(lines, lambda x: x != "")
 
 
