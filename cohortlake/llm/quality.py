@@ -22,13 +22,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Groups with fewer documents take the thresholds of their language, then of the whole table.
 MIN_GROUP = 100
-#: A fence lies this many half-quartile ranges from the median.
-SPREADS = 6
-#: Metric: (numerator, denominator, scale, least distance of a fence from the median, is there a lower fence).
+#: A fence lies this many spreads from the median; a spread is a quartile's distance from it, one unit at least.
+SPREADS = 12
+#: Metric: (numerator, denominator, scale, unit, is there a lower fence). The unit is what the smallest change makes
+#: in a small document: one symbol in the 250 characters of 50 words of five, one line of 20, one character in 50 words.
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 1000, 50, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, False),
-    "word_length": ("word_chars", "n_words", 100, 500, True),
+    "symbols": ("n_symbols", "word_chars", 1000, 4, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 50, False),
+    "word_length": ("word_chars", "n_words", 100, 2, True),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Sketch: values below 2**(SKETCH_BITS + 1) have their own bucket, others 2**SKETCH_BITS buckets per power of two.
@@ -147,7 +148,8 @@ def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source") ->
     """One row per (language, source) with ``<metric>_high`` and ``<metric>_low``.
 
     The upper fence is the median plus SPREADS times the distance to the lower
-    quartile, the lower one is its mirror, and both keep a least distance. The
+    quartile, the lower one is its mirror; a distance counts as one unit of
+    measurement at least, as no group shows a smaller one. The
     half of the distribution on the other side measures the spread, so junk of
     up to half of a source does not widen its own fence. A source with fewer
     than MIN_GROUP documents uses the merged sketch of its language, a language
@@ -171,12 +173,12 @@ def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source") ->
 
     chosen = joined.select("a.lang", "a.source", "a.metric", *[level(q).alias(q) for q in ("q1", "q2", "q3")])
     limits = []
-    for m, (_, _, _, least, lower) in METRICS.items():
+    for m, (_, _, _, unit, lower) in METRICS.items():
         here = F.col("metric") == m
-        high = F.col("q2") + F.greatest(SPREADS * (F.col("q2") - F.col("q1")), F.lit(least))
+        high = F.col("q2") + SPREADS * F.greatest(F.col("q2") - F.col("q1"), F.lit(unit))
         limits.append(F.max(F.when(here, high)).alias(f"{m}_high"))
         if lower:
-            low = F.col("q2") - F.greatest(SPREADS * (F.col("q3") - F.col("q2")), F.lit(least))
+            low = F.col("q2") - SPREADS * F.greatest(F.col("q3") - F.col("q2"), F.lit(unit))
             limits.append(F.max(F.when(here, low)).alias(f"{m}_low"))
     return chosen.groupBy("lang", "source").agg(*limits)
 
@@ -209,10 +211,13 @@ def quality_figures(docs: DataFrame, text: str = "text", lang: str = "lang", sou
 
     Null text counts as empty and fails the base rules. Null languages and
     sources form groups of their own. Repeated rows are judged one by one and
-    alike. An empty table gives an empty result. ``keep`` names the columns
-    carried along; columns with the names of the figures belong there only if
-    the caller renames them first.
+    alike. Long texts are measured whole. An empty table gives an empty
+    result. ``keep`` names the columns carried along; one that is named like a
+    figure is an error.
     """
+    clash = set(keep or []) & {*COUNTS[:-1], "base_failed", "kept"}
+    if clash:
+        raise ValueError(f"columns named like figures: {sorted(clash)}")
     own = [F.col(c) for c in keep or []] + [F.col(lang).alias("_l"), F.col(source).alias("_s")]
     counts = stored(with_counts(docs, text, own), "quality")
     return judged(counts, thresholds(counts, "_l", "_s"), "_l", "_s").select(
@@ -240,8 +245,8 @@ def _oracle() -> str:
     """Figures by plain lists and joins; sketches, quartiles and fences as the operator defines them."""
     each = " UNION ALL ".join(
         f"SELECT r, lang, source, failed, '{m}' AS metric, CASE WHEN {bottom} > 0 THEN {scale} * {top} // {bottom} ELSE 0 END AS v, "
-        f"{least} AS least, {lower} AS lower FROM judged"
-        for m, (top, bottom, scale, least, lower) in METRICS.items())
+        f"{unit} AS unit, {lower} AS lower FROM judged"
+        for m, (top, bottom, scale, unit, lower) in METRICS.items())
     size = 1 << SKETCH_BITS
     level = lambda name, keys: f"""
 {name} AS (
@@ -278,7 +283,7 @@ fences AS (
 outside AS (
   SELECT DISTINCT m.r FROM measured m JOIN fences f
     ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND m.metric = f.metric
-  WHERE v > q2 + greatest({SPREADS} * (q2 - q1), least) OR lower AND v < q2 - greatest({SPREADS} * (q3 - q2), least))
+  WHERE v > q2 + {SPREADS} * greatest(q2 - q1, unit) OR lower AND v < q2 - {SPREADS} * greatest(q3 - q2, unit))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
   NOT failed AND r NOT IN (SELECT r FROM outside) AS kept
 FROM judged

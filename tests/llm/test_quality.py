@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,6 +58,28 @@ def test_thresholds_follow_language_and_source(make_docs):
     assert kept == {r[0] for r in clean + code} | {3000}
 
 
+def test_fences_differ_by_group_and_several_metrics_reject(make_docs):
+    """Long words are natural in one language and junk in another; symbols are natural in one source only."""
+    de = [(i, words(i, 80, "lang" * (1 + i % 3)), "de", "web") for i in range(300)]
+    en = [(1000 + i, words(i, 80, "x" * (i % 2)), "en", "web") for i in range(300)]
+    code = [(2000 + i, words(i, 80) + " " + "#" * (20 + i % 60), "en", "code") for i in range(200)]
+    junk = [(3000 + i, words(i, 80, "langlanglang"), "en", "web") for i in range(15)]
+    junk += [(4000 + i, words(i, 80) + " " + "#" * 50, "en", "web") for i in range(15)]
+    junk += [(5000 + i, " ".join("ab"[j % 2] + "cd"[j // 2 % 2] for j in range(2)) + " " + words(i, 80).replace("r", "")[:160] + " a b" * 2, "de", "web") for i in range(5)]
+    docs = make_docs(de + en + code + junk)
+    kept = {r.doc_id for r in quality.quality_kept(docs).collect()}
+    assert kept >= {r[0] for r in de + en + code} and not kept & {r[0] for r in junk}
+    counts = quality.with_counts(docs, "text", [docs["lang"].alias("l"), docs["source"].alias("s")])
+    limits = {(r.lang, r.source): r for r in quality.thresholds(counts, "l", "s").collect()}
+    assert limits["de", "web"].word_length_high > 2 * limits["en", "web"].word_length_high
+    assert limits["en", "code"].symbols_high > 3 * limits["en", "web"].symbols_high
+
+
+def test_columns_named_like_figures_are_refused(make_docs):
+    with pytest.raises(ValueError):
+        quality.quality_figures(make_docs([(1, "a")]), keep=["doc_id", "n_words"])
+
+
 def test_kept_documents_keep_all_columns(make_docs, edges):
     docs = make_docs([(i, words(i, 80), "en", "s") for i in range(5)] + edges)
     out = quality.quality_kept(docs)
