@@ -341,24 +341,16 @@ def led_pairs(listed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return stored(first.select(F.least("x", "l.y").alias("x"), F.greatest("x", "l.y").alias("y")).distinct(), "led")
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
-                       percent: int = PERCENT) -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every row; the smallest key that its links reach.
+def prepared(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, ...]:
+    """Ids with texts; size and digest of every row; one node per different set; the index lists; sizes and parities.
 
-    Keys are whole numbers. Sets link when ``100 * intersection >= percent *
-    union``, exactly. Empty sets (null text, no word) link with nothing. Equal
-    sets are one node, so a group of copies is one row after the first
-    aggregate. Rows that share a key are one document and reach each other.
-    Rows without a key are not linked and have no component. ``percent`` is 50
-    to 100: below, sets that differ by more than a factor of two can link, and
-    the cells hold only neighbouring powers of two of the size.
+    Equal sets are one node, so a group of copies is one row after the first aggregate.
     """
     if not 50 <= percent <= 100:
         raise ValueError(f"percent must be 50 to 100, not {percent}")
     ids = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     each = described(ids, "_id", "_text", width, percent)
     rows = stored(each.select("key", "n", "digest"), "described")
-    full = rows.where("n > 0 and key is not null")
     classes = stored(
         each.where("n > 0 and key is not null").groupBy("digest")
         .agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "parity", "wide", "tokens")]), "classes")
@@ -366,7 +358,55 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     postings = classes.select("node", F.posexplode("tokens").alias("pos", "token"))
     tokens = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token"), "tokens")
     listed = stored(postings.join(tokens, "token"), "listed")
-    sizes = classes.select("node", "n", "parity")
+    return ids, rows, classes, listed, classes.select("node", "n", "parity")
+
+
+def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
+                  percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, ``(x, y)`` with x < y, and ``(key, node)``: the class of each document.
+
+    A class is named by its smallest key; documents of one class have equal
+    sets and are linked with each other and with all documents of the classes
+    that theirs links to. Every link is verified on whole sets and none is
+    left out, so a cluster of n different near copies gives its n * n links:
+    :func:`similar_components` does not need them. The rules for nulls, empty
+    and long texts, repeated rows and empty tables are the same; documents
+    with an empty set have no class, and rows that share a key are not linked
+    for that.
+    """
+    ids, rows, classes, listed, sizes = prepared(docs, key, text, width, percent)
+    own = listed.withColumn("label", F.col("node"))
+    pairs = likely(stored(searched(cells(own, sizes, percent), percent).distinct(), "candidates"), classes, percent)
+    sets = stored(whole_sets(ids, stored(nodes_of(pairs), "nodes"), "_id", "_text", width), "sets")
+    member = rows.where("n > 0 and key is not null").join(classes.select("digest", "node"), "digest")
+    return verified(pairs, sets, percent), member.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "node").distinct()
+
+
+def link_counts(links: DataFrame, member: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, n_links)``: how many other documents each document of a class is linked with."""
+    sizes = stored(member.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "class-sizes")
+    both = links.union(links.select("y", "x")).toDF("node", "other")
+    beside = both.join(sizes.withColumnsRenamed({"node": "_of", "size": "_size"}), F.col("other") == F.col("_of")).groupBy(
+        F.col("node").alias("_node")).agg(F.sum("_size").alias("_others"))
+    counted = sizes.join(beside, F.col("node") == F.col("_node"), "left").select(
+        F.col("node").alias("_node"), (F.col("size") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    return member.join(counted, F.col("node") == F.col("_node")).select(key, "n_links")
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
+                       percent: int = PERCENT) -> DataFrame:
+    """``(key, n_shingles, component_id)`` of every row; the smallest key that its links reach.
+
+    Keys are whole numbers. Sets link when ``100 * intersection >= percent *
+    union``, exactly. Empty sets (null text, no word) link with nothing. Long
+    texts give whole sets, an empty table an empty result, and further columns
+    are not read. :func:`similar_links` gives the links themselves. Rows that share a key are one document and reach each other.
+    Rows without a key are not linked and have no component. ``percent`` is 50
+    to 100: below, sets that differ by more than a factor of two can link, and
+    the cells hold only neighbouring powers of two of the size.
+    """
+    ids, rows, classes, listed, sizes = prepared(docs, key, text, width, percent)
+    full = rows.where("n > 0 and key is not null")
     led = led_pairs(listed, sizes, percent)
     pairs = likely(led, classes, percent)
     sets = stored(whole_sets(ids, stored(nodes_of(pairs), "nodes"), "_id", "_text", width), "sets")

@@ -75,6 +75,53 @@ def test_long_lists_are_searched_in_blocks(make_docs, monkeypatch):
     compare(make_docs, [(i, t) for i, t in enumerate(texts)])
 
 
+def links_by_hand(rows, width=3, percent=90):
+    """Pairs of documents with different sets that link, and links per document."""
+    keyed = [(k, s) for (k, _), s in zip(rows, sets_of(rows, width), strict=True) if k is not None and s]
+    pairs, counts = set(), {k: 0 for k, _ in keyed}
+    for i, (a, s) in enumerate(keyed):
+        for b, t in keyed[:i]:
+            both = len(s & t)
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                counts[a] += 1
+                counts[b] += 1
+                if s != t:
+                    pairs.add((min(a, b), max(a, b)))
+    return pairs, counts
+
+
+@pytest.mark.parametrize("settings", [{}, {"width": 5, "percent": 80}])
+def test_links_are_all_there(make_docs, settings):
+    """Every link between different texts, also inside a component, and the copies by their class."""
+    rng = np.random.default_rng(5)
+    texts = [t for n, w, e in ((40, 100, 4), (30, 60, 2), (5, 5, 1)) for t in near_copies(rng, n, w, e)]
+    chain = [f"c{i}" for i in range(300)]
+    texts += [" ".join(chain[8 * i:8 * i + 200]) for i in range(10)] + texts[:8] + texts[3:5] + ["one two", "solo", "", None]
+    rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)] + [(None, texts[0])]
+    pairs, counts = links_by_hand(rows, **settings)
+    links, member = jj.similar_links(make_docs(rows), **settings)
+    node, classes = {}, {}
+    for r in member.collect():
+        node[r.doc_id] = r.node
+        classes.setdefault(r.node, []).append(r.doc_id)
+    got = {(min(a, b), max(a, b)) for x, y in links.collect() for a in classes[x] for b in classes[y]}
+    assert got == pairs and all(n == min(c) for n, c in classes.items())
+    assert {r.doc_id: r.n_links for r in jj.link_counts(links, member).collect()} == counts
+
+
+def test_a_large_cluster_of_near_copies(make_docs):
+    """Eight hundred near copies of one page, all different, are one component."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(800):
+        w = list(base)
+        w[int(rng.integers(0, 150))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    out = jj.similar_components(make_docs(rows)).collect()
+    assert {r.component_id for r in out} == {0} and len(out) == 800
+
+
 def test_empty_table(make_docs):
     empty = make_docs([]).limit(0)
     assert jj.similar_components(empty).count() == 0
