@@ -4,19 +4,34 @@ from cohortlake.llm import line_dedup as ld
 from tests.oracle import connect, differences
 
 
-def by_hand(rows, percent=30, least=5):
-    """Kept texts of (site, text) rows."""
-    pages, total = defaultdict(Counter), Counter()
+def by_hand(rows, percent=30, least=5, wide=None):
+    """Kept texts of (site, text) rows; ``wide`` is the percentage and the least number of different texts."""
+    pages, total, texts = defaultdict(Counter), Counter(), defaultdict(set)
     for site, text in rows:
+        lines = tuple(dict.fromkeys(x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")))
         total[site] += 1
-        pages[site].update({x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")})
+        pages[site].update(lines)
+        texts[site].add(lines)
+    kinds = {site: Counter(x for lines in kept for x in lines) for site, kept in texts.items()}
     out = []
     for site, text in rows:
         drop = {x for x, n in pages[site].items() if n >= least and 100 * n > percent * total[site]}
+        if wide is not None:
+            drop |= {x for x, n in kinds[site].items() if n >= wide[1] and 100 * n > wide[0] * len(texts[site])}
         out.append(None if text is None else "\n".join(x for x in text.split("\n") if x not in drop))
     return out
 
 
+def test_lines_of_many_different_texts_go(make_docs, edges):
+    """Both rules against the plain ones: a line on a tenth of the different texts, copies counted once."""
+    rows = [(i, f"own {i}\nshared by tenth\nx" if i % 10 == 0 else f"own {i}\nx {i % 30}", "en", "many") for i in range(400)]
+    rows += [(1000 + i, "copied\ntwice", "en", "many") for i in range(60)] + [(2000 + i, f"few {i}\ntail", "en", "few") for i in range(15)] + edges
+    out = ld.documents_without_boilerplate(make_docs(rows), wide_percent=5).collect()
+    want = Counter((r[0], t) for r, t in zip(rows, by_hand([(r[3], r[1]) for r in rows], wide=(5, 20)), strict=True))
+    assert Counter((r.doc_id, r.text) for r in out) == want
+    assert not any("shared" in (r.text or "") for r in out)
+
+
 def test_documents_lose_the_lines_of_their_source(make_docs, edges):
     rows = [(i, f"head\nbody {i}\n\nhead\nfoot {i % 3}", "en", "a" if i % 4 else None) for i in range(40)]
     rows += [(100 + i, "head\nonly here", "en", "few") for i in range(3)] + edges

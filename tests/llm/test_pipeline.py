@@ -3,7 +3,9 @@ from collections import Counter
 import corpus_pipeline
 from cohortlake.llm import decontamination, jaccard_join, mixing, quality
 from cohortlake.llm.common import stored
+from cohortlake.llm.registry import ORACLES
 from tests.llm import test_decontamination, test_jaccard_join, test_line_dedup, test_quality
+from tests.oracle import connect
 
 
 def test_stages_equal_their_brute_force(spark, sf_dir):
@@ -21,8 +23,11 @@ def test_stages_equal_their_brute_force(spark, sf_dir):
                 if n < 50 or 100 * repeated > 50 * n:
                     assert r not in after
             assert set(after) <= set(before)
+            con = connect(sf_dir)  # the fences by the query's own SQL
+            kept_ids = con.execute(f"SELECT doc_id FROM ({ORACLES['op1_quality_rules']}) WHERE kept").fetchall()
+            assert sorted(r.doc_id for r in after) == sorted(i for i, in kept_ids)
         elif name == "line dedup":
-            want = test_line_dedup.by_hand([(r.source, r.text) for r in before])
+            want = test_line_dedup.by_hand([(r.source, r.text) for r in before], wide=(5, 20))
             assert Counter((r.doc_id, r.text) for r in after) == Counter((r.doc_id, t) for r, t in zip(before, want, strict=True))
         elif name == "n-gram Jaccard join":
             found = test_jaccard_join.by_hand([(r.doc_id, r.text) for r in before], 5, 80)
