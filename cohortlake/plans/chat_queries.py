@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlake import fixed_values as V
 from cohortlake.functions import text as tx
-from cohortlake.operators import changes as chg, chat, results as rs
+from cohortlake.operators import changes as chg, chat
 from cohortlake.plans.registry import query
 from cohortlake.sources.adapters import loader, table, view, with_views
 

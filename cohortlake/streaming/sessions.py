@@ -50,20 +50,27 @@ def earlier_batches(spark: SparkSession, path: str, columns: str, batch_id: int)
     return stored.where(F.col("batch") < batch_id)
 
 
+def with_user(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows with the columns of another table that has one row per user, null being a user too."""
+    renamed = other.withColumnRenamed("user_id", "_user")
+    return rows.join(renamed, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
+
+
 def states_before(states: DataFrame, starts: DataFrame) -> DataFrame:
     """Per user of ``starts`` the last state that holds all messages up to it and none after the user's start.
 
     A state no longer holds all of them once a later micro-batch brought a
     message from before it. ``again`` tells whether messages were walked that
-    come after the start. There is one state per user and micro-batch.
+    come after the start, or are sent once more. There is one state per user
+    and micro-batch; messages without a user are one user's.
     """
     since = Window.partitionBy("user_id").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
-    own = states.join(starts, "user_id").withColumn("_since", F.min("first").over(since))
+    own = with_user(states, starts).withColumn("_since", F.min("first").over(since))
     whole = (F.col("last") < F.col("start")) & (F.col("_since").isNull() | (F.col("_since") > F.col("last")))
     kept = [c for c in states.columns if c not in ("user_id", "batch")]
     return own.groupBy("user_id").agg(
         F.max_by(F.struct(*kept), F.when(whole, F.col("last"))).alias("state"),
-        (F.max("last") > F.first("start")).alias("again"),
+        (F.max("last") >= F.first("start")).alias("again"),
     )
 
 
@@ -96,7 +103,7 @@ def new_states(steps: DataFrame, starts: DataFrame) -> DataFrame:
         last("forced_language").alias("forced_language"), last("mention").alias("mention"),
         last("_event").alias("event"), last("_closing").alias("closing"),
     )
-    return ends.join(starts.withColumnRenamed("start", "first"), "user_id").select(
+    return with_user(ends, starts.withColumnRenamed("start", "first")).select(
         *[c.split()[0] for c in STATES.replace(PLACE, "p").replace(REQUEST, "r").split(", ")])
 
 
@@ -119,9 +126,9 @@ def walk_batch(batch: DataFrame, batch_id: int, results: DataFrame, root: str, p
             log = earlier_batches(spark, f"{root}/log", FEATURES, batch_id)
             if not without:  # one value bounds what is read of the log
                 log = log.where(F.col("timestamp") >= F.timestamp_micros(F.lit(back)))
-            late = chosen.where("again").select(F.col("user_id").alias("_user"), F.col("state.last").alias("_last"))
+            late = chosen.where("again").select("user_id", F.col("state.last").alias("_last"))
             after = F.col("_last").isNull() | (place() > F.col("_last"))
-            rows = rows.unionByName(message_rows(log.join(late, F.col("user_id") == F.col("_user")).where(after)))
+            rows = rows.unionByName(message_rows(with_user(log, late).where(after))).dropDuplicates(["user_id", *ORDER])
         ordered = OrderedRows.of(rows, ["user_id"], ORDER, find_hot_keys(rows, ["user_id"], hot_rows))
         walked = request_steps(session_scan(ordered), changeable(results.schema, "simulation_id"), pending_seconds, True).rows()
         walked.select(*outcome_columns(), "detected_language", "forced_language", "mention", "_event", "_closing",

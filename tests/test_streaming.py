@@ -100,6 +100,15 @@ def test_late_messages_walk_only_what_follows(spark, tmp_path):
     assert {r.user_id for r in again.collect()} == {r.user_id for r in parts[3].collect()}
 
 
+def test_messages_sent_again_and_messages_without_a_user(spark, tmp_path):
+    messages, results = hand_log(spark)
+    messages = messages.withColumn("user_id", F.when(F.col("user_id") != "u", F.col("user_id")))
+    sent = [messages.where("chat_id < 70"), messages.where("chat_id >= 50 AND chat_id < 90"), messages.where("chat_id >= 89")]
+    for i, part in enumerate(sent):
+        sessions.walk_batch(part, i, results, f"{tmp_path}/s", None, 1000)
+    same_rows(sessions.routed(spark, f"{tmp_path}/s"), chat.route(messages, results))
+
+
 def test_sessions_run_without_python(spark, tmp_path):
     messages, results = hand_log(spark)
     sessions.walk_batch(messages, 0, results, f"{tmp_path}/s", None, 1000)
