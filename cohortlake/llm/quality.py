@@ -33,7 +33,7 @@ METRICS = {
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Sketch: values below 2**(SKETCH_BITS + 1) have their own bucket, others 2**SKETCH_BITS buckets per power of two.
-SKETCH_BITS = 5
+SKETCH_BITS = 8
 
 
 def repeat_words(words: list[bytes], width: int = REPEAT_WINDOW) -> int:
@@ -149,7 +149,8 @@ def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source") ->
 
     The upper fence is the median plus SPREADS times the distance to the lower
     quartile, the lower one is its mirror; a distance counts as one unit of
-    measurement at least, as no group shows a smaller one. The
+    measurement at least, and as what the sketch can tell apart at the median,
+    as smaller ones cannot be seen. The
     half of the distribution on the other side measures the spread, so junk of
     up to half of a source does not widen its own fence. A source with fewer
     than MIN_GROUP documents uses the merged sketch of its language, a language
@@ -175,10 +176,11 @@ def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source") ->
     limits = []
     for m, (_, _, _, unit, lower) in METRICS.items():
         here = F.col("metric") == m
-        high = F.col("q2") + SPREADS * F.greatest(F.col("q2") - F.col("q1"), F.lit(unit))
+        least = F.greatest(F.lit(unit), F.expr(f"2 * (q2 div {1 << SKETCH_BITS})"))
+        high = F.col("q2") + SPREADS * F.greatest(F.col("q2") - F.col("q1"), least)
         limits.append(F.max(F.when(here, high)).alias(f"{m}_high"))
         if lower:
-            low = F.col("q2") - SPREADS * F.greatest(F.col("q3") - F.col("q2"), F.lit(unit))
+            low = F.col("q2") - SPREADS * F.greatest(F.col("q3") - F.col("q2"), least)
             limits.append(F.max(F.when(here, low)).alias(f"{m}_low"))
     return chosen.groupBy("lang", "source").agg(*limits)
 
@@ -283,7 +285,7 @@ fences AS (
 outside AS (
   SELECT DISTINCT m.r FROM measured m JOIN fences f
     ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND m.metric = f.metric
-  WHERE v > q2 + {SPREADS} * greatest(q2 - q1, unit) OR lower AND v < q2 - {SPREADS} * greatest(q3 - q2, unit))
+  WHERE v > q2 + {SPREADS} * greatest(q2 - q1, unit, 2 * (q2 // {size})) OR lower AND v < q2 - {SPREADS} * greatest(q3 - q2, unit, 2 * (q2 // {size})))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
   NOT failed AND r NOT IN (SELECT r FROM outside) AS kept
 FROM judged

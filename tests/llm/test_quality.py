@@ -75,6 +75,21 @@ def test_fences_differ_by_group_and_several_metrics_reject(make_docs):
     assert limits["en", "code"].symbols_high > 3 * limits["en", "web"].symbols_high
 
 
+def test_even_groups_keep_their_clean_documents(spark):
+    """Word lengths close to each other, around any median: the sketch's steps must not make a fence of their own."""
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for g in range(40):
+        middle = 440 + 3 * g
+        rows += [(f"s{g}", middle + int(r.gauss(0, 16))) for _ in range(300)] + [(f"s{g}", middle + 400) for _ in range(20)]
+    counts = spark.createDataFrame([("en", s, 100, v, 0, 0, 0, 10) for s, v in rows],
+                                   "l string, s string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    kept = quality.judged(counts, quality.thresholds(counts, "l", "s"), "l", "s").where("kept").count()
+    assert kept == 40 * 300
+
+
 def test_columns_named_like_figures_are_refused(make_docs):
     with pytest.raises(ValueError):
         quality.quality_figures(make_docs([(1, "a")]), keep=["doc_id", "n_words"])
@@ -93,7 +108,7 @@ def test_sketch_buckets_hold_their_values(spark):
     v = [*range(200), 1000, 12345, 10**9]
     df = spark.createDataFrame([(x,) for x in v], "v long").withColumn("_bucket", quality.bucket(F.col("v")))
     rows = df.withColumn("low", quality.bucket_value(F.col("_bucket"))).orderBy("v").collect()
-    assert all(r.low <= r.v <= r.low * (1 + 2 / 32) + 1 for r in rows)
+    assert all(r.low <= r.v <= r.low * (1 + 2 / 2**quality.SKETCH_BITS) + 1 for r in rows)
     assert [r._bucket for r in rows] == sorted(r._bucket for r in rows)
     assert all(r.low == r.v for r in rows if r.v < 64)
 
