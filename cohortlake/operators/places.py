@@ -12,6 +12,8 @@ from cohortlake.session import checkpointed
 BROADCAST_BITS = 12
 #: Sides of the cells that a nearest place is looked for in, on a globe of radius 1 (25 km to the whole globe).
 CELL_SIDES = (0.004, 0.032, 0.256, 2.1)
+#: Up to so many points, counted, are sent to all tasks with the 27 cells around each.
+BROADCAST_POINTS = 2_000
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -71,6 +73,32 @@ def on_globe(latitude: Column, longitude: Column) -> list[Column]:
     return [(F.cos(a) * F.cos(b)).alias("x"), (F.cos(a) * F.sin(b)).alias("y"), F.sin(a).alias("z")]
 
 
+def in_cells(points: DataFrame, xyz: tuple[str, str, str], side: float, around: bool) -> DataFrame:
+    """Points with the cell ``(_x, _y, _z)`` they lie in, or once for it and each of the 26 around it."""
+    for name, c in zip(("_x", "_y", "_z"), xyz, strict=True):
+        own = F.floor(F.col(c) / side)
+        points = points.withColumn(name, F.explode(F.array(*[own + d for d in (-1, 0, 1)])) if around else own)
+    return points
+
+
+def near_pairs(asked: DataFrame, spots: DataFrame, side: float, few_spots: bool, send: bool) -> DataFrame:
+    """Coordinates ``x, y, z`` with the spots ``px, py, pz`` within ``side`` of them, and ``_square`` of the distance.
+
+    One side stands in all cells around its own, the spots if they are the
+    fewer. Spark's size estimates do not know how often a row is repeated, so
+    they must not pick a side to broadcast: a counted one goes to all tasks,
+    or both are sorted by cell.
+    """
+    left, right = in_cells(asked, ("x", "y", "z"), side, not few_spots), in_cells(spots, ("px", "py", "pz"), side, few_spots)
+
+    def sent(some: DataFrame) -> DataFrame:
+        return F.broadcast(some) if send else some.hint("merge")
+
+    pairs = left.join(sent(right), ["_x", "_y", "_z"]) if few_spots else sent(left).join(right, ["_x", "_y", "_z"])
+    step = [F.col(c) - F.col(f"p{c}") for c in "xyz"]
+    return pairs.withColumn("_square", step[0] * step[0] + step[1] * step[1] + step[2] * step[2]).where(F.col("_square") <= side * side)
+
+
 def nearest_place(logins: DataFrame, places: DataFrame, sides: tuple[float, ...] = CELL_SIDES) -> DataFrame:
     """Place columns of the place with the least distance over the globe; every coordinate gets one.
 
@@ -82,32 +110,32 @@ def nearest_place(logins: DataFrame, places: DataFrame, sides: tuple[float, ...]
     whole globe. Of places at one point, and of equally near ones, the first
     in the order of their coordinates and columns counts. Logins without
     coordinates are labelled and kept.
+
+    The least distance of a coordinate is one number, so tasks keep no pairs
+    for it; the pairs at that distance are then told by meeting once more.
     """
     if sides[-1] <= 2:
         raise ValueError("the last cells must hold the whole globe")
     point = ["latitude", "longitude"]
     known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    spots = places.where(known).groupBy(*point).agg(F.min(F.struct(*GPS_PLACE)).alias("place"))
-    spots = checkpointed(spots.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "place",
-                                      *on_globe(F.col("latitude"), F.col("longitude"))))
+    held = places.where(known).groupBy(*point).agg(F.min(F.struct(*GPS_PLACE)).alias("place"))
+    held = checkpointed(held.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "place",
+                                    *on_globe(F.col("latitude"), F.col("longitude"))))
+    spots, number = held.select("_lat", "_lon", *[F.col(c).alias(f"p{c}") for c in "xyz"]), held.count()
     left = logins.where(known).select(*point).distinct().select(*point, *on_globe(F.col("latitude"), F.col("longitude")))
     left = checkpointed(left)
-    done = None
+    asked, done = left.count(), None
     for side in sides:
-        cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in "xyz"]
-        near = [F.explode(F.array(*[F.floor(F.col(c) / side) + d for d in (-1, 0, 1)])) for c in "xyz"]
-        asked = left
-        for c, cells in zip("xyz", near, strict=True):
-            asked = asked.withColumn(f"_{c}", cells)
-        held = spots.select("_lat", "_lon", "place", *[F.col(c).alias(f"p{c}") for c in "xyz"], *cell)
-        square = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "yz"), (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")))
-        pairs = asked.join(held, ["_x", "_y", "_z"]).withColumn("_square", square)
-        first = F.min(F.struct("_square", "_lat", "_lon", "place")).alias("_first")
-        found = checkpointed(pairs.where(F.col("_square") <= side * side).groupBy(*point).agg(first).select(*point, "_first.place"))
+        how = (side, number <= asked, min(number, asked) <= BROADCAST_POINTS)
+        best = near_pairs(left, spots, *how).groupBy(*point, "x", "y", "z").agg(F.min("_square").alias("_best"))
+        first = near_pairs(best, spots, *how).where("_square = _best").groupBy(*point).agg(F.min(F.struct("_lat", "_lon")).alias("_first"))
+        found = checkpointed(first.select(*point, "_first.*"))
         done = found if done is None else done.unionByName(found)
         if side != sides[-1]:
             left = checkpointed(left.join(found.select(*point), point, "left_anti"))
-            if left.isEmpty():
+            if (asked := left.count()) == 0:
                 break
-    return placed_by_gps(logins, done.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("place").alias("_place")),
+    named = held.select("_lat", "_lon", F.col("place").alias("_place"))
+    named = done.join(F.broadcast(named) if number <= BROADCAST_POINTS else named.hint("merge"), ["_lat", "_lon"])
+    return placed_by_gps(logins, named.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_place"),
                          F.col("latitude"), F.col("longitude"))

@@ -97,3 +97,33 @@ def test_nearest_place_of_missing_coordinates_and_places(spark):
     assert {x.login_id: x.country for x in none} == {0: "Unknown", 1: "Unknown", 2: "Unknown"}
     with pytest.raises(ValueError):
         pl.nearest_place(coordinates(spark, asked), place_table(spark, [(6.0, 6.0)]), sides=(0.1, 1.0))
+
+
+def broadcast_rows(node):
+    """Rows of every broadcast in an executed plan."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return broadcast_rows(node.executedPlan())
+    if "QueryStage" in name:
+        return broadcast_rows(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if name.startswith("BroadcastExchange") else []
+    return own + [x for i in range(node.children().size()) for x in broadcast_rows(node.children().apply(i))]
+
+
+@pytest.mark.parametrize("most", [pl.BROADCAST_POINTS, 10])
+@pytest.mark.parametrize("n_spots, n_asked", [(40, 3000), (300, 30)])
+def test_only_counted_points_are_broadcast(spark, tmp_path, monkeypatch, most, n_spots, n_asked):
+    """Coordinates are small in files and many in cells; fewer places than coordinates, and more; few enough to be sent, and not."""
+    r = random.Random(7)
+    spots, asked = ([(r.uniform(-80, 80), r.uniform(-180, 180)) for _ in range(n)] for n in (n_spots, n_asked))
+    coordinates(spark, asked).write.parquet(f"{tmp_path}/logins")
+    kept, real = [], pl.checkpointed
+    monkeypatch.setattr(pl, "checkpointed", lambda df: kept.append(df) or real(df))
+    monkeypatch.setattr(pl, "BROADCAST_POINTS", most)
+    rows = pl.nearest_place(spark.read.parquet(f"{tmp_path}/logins"), place_table(spark, spots))
+    pairs = [df for df in kept if "explode" in df._jdf.queryExecution().analyzed().toString().lower()]
+    sent = [n for df in pairs for n in broadcast_rows(df._jdf.queryExecution().executedPlan())]
+    assert len(pairs) > 1 and max(sent, default=0) <= 27 * min(n_spots, n_asked)
+    assert bool(sent) == (min(n_spots, n_asked) <= most)
+    want = {i: f"c{min(range(n_spots), key=lambda k: distance(a, spots[k]))}" for i, a in enumerate(asked)}
+    assert {x.login_id: x.country for x in rows.collect()} == want
