@@ -1,10 +1,10 @@
 """Substring search over a table through postings of three-letter parts.
 
 ``postings`` holds (part, key) for every part of three characters of a row's
-joined search fields, in folders by a hash of the part and sorted inside
-them; ``counts`` holds how many rows each part is in. A search reads the
-postings of the rarest parts of its term, keeps the keys that are in all of
-them, and compares those rows with the whole term. Terms that are shorter
+joined search fields, in folders by a hash of the part; ``counts`` holds how
+many rows each part is in. A search reads the folders of the rarest parts of
+its term, keeps the keys that are in all of them, and compares those rows
+with the whole term. Terms that are shorter
 than a part scan the table.
 """
 
@@ -17,6 +17,8 @@ from cohortlake.operators.results import SEARCH_FIELDS, search
 
 LENGTH = 3
 BUCKETS = 64
+#: Rows that one task takes apart; its postings, some dozens a row, are ordered in its memory.
+TASK_ROWS = 200_000
 #: Postings that are read for a term; more would hardly drop another key.
 PARTS_READ = 4
 #: A term whose rarest part is in more than this share of the rows scans the table.
@@ -34,20 +36,26 @@ def bucket(part: Column) -> Column:
 def build_search_index(rows: DataFrame, path: str, key: str = "simulation_id", fields: list[str] = SEARCH_FIELDS) -> None:
     """Write postings and counts of all rows; ``key`` is unique.
 
-    A part that most rows hold has a long list. It is dealt into ranges of
-    keys, so it neither meets in one task nor in one file.
+    Rows are dealt to tasks by a hash of the key before they are taken apart,
+    and each task writes its own postings, ordered by folder only: the
+    postings, many times the rows, are not shuffled. So a part that most rows
+    hold neither meets in one task nor in one file. Keys hardly repeat in a
+    file, so the files need no dictionary of them.
     """
+    spark = rows.sparkSession
+    rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{path}/size").first().n // TASK_ROWS))
     text = search_text(*[F.col(f) for f in fields if f in rows.columns])
     starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - (LENGTH - 1), F.lit(1)))
     each = F.array_distinct(F.transform(starts, lambda i: F.substring("_text", i, F.lit(LENGTH))))
-    parts = rows.select(key, text.alias("_text")).select(key, F.explode(each).alias("part"))
-    postings = parts.withColumn("bucket", bucket(F.col("part")))
-    dealt = postings.repartitionByRange("bucket", "part", key).sortWithinPartitions("bucket", "part", key)
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stored = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/postings")
+    texts = rows.select(key, text.alias("_text")).repartition(tasks, key).sortWithinPartitions(key)
+    postings = texts.select(key, F.explode(each).alias("part")).withColumn("bucket", bucket(F.col("part")))
+    dealt = postings.sortWithinPartitions("bucket")
+    files = dealt.write.mode("overwrite").option(f"parquet.enable.dictionary#{key}", "false")
+    files.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(dealt.schema).parquet(f"{path}/postings")
     counts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     counts.repartitionByRange("part").sortWithinPartitions("part").write.mode("overwrite").parquet(f"{path}/counts")
-    rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def rarest_parts(spark: SparkSession, path: str, term: str) -> list[str] | None:
@@ -65,9 +73,8 @@ def rarest_parts(spark: SparkSession, path: str, term: str) -> list[str] | None:
 
 
 def read_postings(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
-    """Postings of the parts; only the folders of their buckets are listed and read."""
-    named = spark.createDataFrame([(p,) for p in parts], "part string")
-    buckets = [r.b for r in named.select(bucket(F.col("part")).alias("b")).collect()]
+    """Postings of the parts; only the folders of their buckets are read."""
+    buckets = spark.range(1).select(F.array(*[bucket(F.lit(p)) for p in parts])).first()[0]
     return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("part").isin(parts))
 
 

@@ -76,6 +76,23 @@ def test_rare_terms_read_few_postings(spark, results, tmp_path):
     assert si.candidates(spark, path, rare).count() < 50
 
 
+def test_postings_are_whole_and_not_shuffled(spark, results, tmp_path, monkeypatch):
+    """Rows are dealt to tasks before they are taken apart; a part of all rows is in several files."""
+    dealt, frame = [], type(results)
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name): dealt.append(self) or f(self, *a))
+    si.build_search_index(results, str(tmp_path))
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in dealt]
+    assert plans and not [p for p in plans if "Generate" in p]
+    postings = spark.read.parquet(f"{tmp_path}/postings")
+    texts = {r.simulation_id: " ".join([r.simulation_id, r.trial_name, r.drug_name, r.indication, r.phase]).lower() for r in results.collect()}
+    want = sorted((p, k) for k, text in texts.items() for p in si.parts_of(text))
+    assert sorted((r.part, r.simulation_id) for r in postings.collect()) == want
+    assert postings.where("part = 'sim'").select(F.input_file_name()).distinct().count() > 1
+    counts = {r.part: r.n for r in spark.read.parquet(f"{tmp_path}/counts").collect()}
+    assert counts["sim"] == 2000 and sum(counts.values()) == len(want)
+
+
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.DoubleType())])
 
 
